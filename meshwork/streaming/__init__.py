@@ -1,0 +1 @@
+"""No streaming operators: clustering is defined on a complete graph, in one batch pass."""
