@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import importlib
+from . import op5_decontaminate, op6_secrets, op8_urls, op10_language
 
-MODULES = ("op1_packing", "op2_jaccard", "op3_quality", "op4_neighbours", "op5_decontaminate", "op6_secrets", "op7_suffixes", "op8_urls", "op9_lines", "op10_language")
-PENDING: set[str] = {"op1_packing", "op2_jaccard", "op3_quality", "op4_neighbours", "op5_decontaminate", "op6_secrets", "op7_suffixes", "op9_lines", "op10_language"}
+MODULES = (op5_decontaminate, op6_secrets, op8_urls, op10_language)
 
 
-def _modules() -> dict:
-    return {n: importlib.import_module(f"{__package__}.{n}") for n in MODULES if n not in PENDING}
+def _name(module) -> str:
+    return module.__name__.rpartition(".")[2]
 
 
 def queries() -> dict:
-    return {n: m.query for n, m in _modules().items()}
+    return {_name(m): m.query for m in MODULES}
 
 
 def oracle_sql() -> dict:
-    return {n: m.ORACLE_SQL for n, m in _modules().items() if getattr(m, "ORACLE_SQL", None)}
+    return {_name(m): m.ORACLE_SQL for m in MODULES if getattr(m, "ORACLE_SQL", None)}
