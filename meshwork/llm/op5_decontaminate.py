@@ -3,7 +3,7 @@
 Document frequencies of all benchmark words are counted over all documents. In each benchmark
 text, every window of `window` words is assigned to its rarest word; those words are the anchors.
 The index stores a posting for every occurrence of an anchor in the documents: row, position and
-the words up to `window` - 1 places to either side. A lookup subtracts the anchor's place in the
+the words up to `window` - 1 places to either side; it is written to the shared folder. A lookup subtracts the anchor's place in the
 benchmark text from its position (one alignment per posting), then intersects the neighbouring
 words place by place, outwards from the rarest: a run of at least one window around the anchor is
 an exact phrase. Proximity matches (all words of a window's two rarest within `slop` places) are
@@ -30,16 +30,23 @@ from .common import WORD, ascii_lower, document_key, materialize, table
 WINDOW = 10
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 END = ""  # a posting of its own at the end of each document: carries the number of words
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
+    """Words in order, letters as they are."""
+    return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), BETWEEN), "")
+
+
+def lower(word: Column) -> Column:
+    """A-Z lower-cased; words of ASCII only take the fast way."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(ascii_lower(word))
 
 
 def item_classes(items: DataFrame, window: int) -> DataFrame:
     """Benchmark texts by equal words: cid, ws, w (window length), ids."""
-    got = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    got = items.select(F.col("item_id").cast("string").alias("item_id"), F.transform(words(F.col("text")), lower).alias("ws")).where(F.size("ws") > 0)
     return got.groupBy("ws").agg(F.collect_set("item_id").alias("ids")).select(F.xxhash64("ws").alias("cid"), "ws", F.least(F.size("ws"), F.lit(window)).alias("w"), "ids")
 
 
@@ -49,11 +56,11 @@ def _small(df: DataFrame, size: Column) -> bool:
 
 
 def _lookup(tokens: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """Inner join on `term`: broadcast below the bound, else salted by place."""
+    """Inner join on the word's hash: broadcast below the bound, else salted by place."""
     if small:
-        return tokens.join(F.broadcast(terms), "term")
+        return tokens.join(F.broadcast(terms), "h")
     salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return tokens.withColumn("salt", F.pmod(F.hash("row", "pos"), F.lit(SALTS))).join(salted, ["term", "salt"]).drop("salt")
+    return tokens.withColumn("salt", F.pmod(F.hash("row", "pos"), F.lit(SALTS))).join(salted, ["h", "salt"]).drop("salt")
 
 
 def _tokens(docs: DataFrame, end: bool, row: Column | None = None) -> DataFrame:
@@ -61,59 +68,67 @@ def _tokens(docs: DataFrame, end: bool, row: Column | None = None) -> DataFrame:
     row = F.monotonically_increasing_id() if row is None else row
     ws = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("ws"))
     seen = F.concat("ws", F.array(F.lit(END))) if end else F.col("ws")
-    return ws.select("row", "doc_id", "ws", F.posexplode(seen).alias("pos", "term"))
+    return ws.select("row", "doc_id", "ws", F.posexplode(seen).alias("pos", "word")).withColumn("h", F.xxhash64(lower(F.col("word"))))
 
 
 def anchors(docs: DataFrame, classes: DataFrame, window: int) -> DataFrame:
-    """term, cid, q (its place in the text), w and the neighbouring words of the anchors."""
-    at = classes.select("cid", "w", F.size("ws").alias("n"), F.posexplode("ws").alias("q", "term"))
-    vocabulary = at.select("term").distinct()
-    small = _small(vocabulary, F.octet_length("term") + 16)
-    seen = _lookup(_tokens(docs, end=False).select("row", "pos", "term"), vocabulary, small).groupBy("term").agg(F.count("*").alias("df"))
-    ranked = at.join(seen, "term", "left").fillna(0, ["df"])
+    """h and term, cid, q (its place in the text), w and the neighbouring words of the anchors."""
+    at = classes.select("cid", "w", F.size("ws").alias("n"), F.posexplode("ws").alias("q", "term")).withColumn("h", F.xxhash64("term"))
+    vocabulary = at.select("h").distinct()
+    seen = _lookup(_tokens(docs, end=False).select("row", "pos", "h"), vocabulary, _small(vocabulary, F.lit(32))).groupBy("h").agg(F.count("*").alias("df"))
+    ranked = at.join(seen, "h", "left").fillna(0, ["df"])
     start = ranked.withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("q") - F.col("w") + 1), F.least(F.col("q"), F.col("n") - F.col("w")))))
     rarest = start.groupBy("cid", "s").agg(F.min(F.struct("df", "term", "q")).alias("m")).select("cid", F.col("m.term").alias("term"), F.col("m.q").alias("q")).distinct()
     k = window - 1
     return rarest.join(classes, "cid").select(
-        "term", "cid", "q", "w",
+        F.xxhash64("term").alias("h"), "term", "cid", "q", "w",
         F.reverse(F.slice("ws", F.greatest(F.lit(1), F.col("q") + 1 - k), F.least(F.lit(k), F.col("q")))).alias("il"),
         F.slice("ws", F.col("q") + 2, F.lit(k)).alias("ir"),
     )
 
 
+def index(docs: DataFrame, found: DataFrame, window: int = WINDOW, row: Column | None = None, ends: bool = True) -> DataFrame:
+    """The stored postings of the anchor words, and one of END per document: row, doc_id, pos, h and neighbours."""
+    terms, k = found.select("h").distinct(), window - 1
+    if ends:
+        terms = terms.union(found.sparkSession.range(1).select(F.xxhash64(F.lit(END)))).distinct()
+    return materialize(_lookup(_tokens(docs, ends, row), terms, _small(terms, F.lit(32))).select(
+        "row", "doc_id", "pos", "h", "word",
+        F.when(F.col("word") != END, F.slice("ws", F.greatest(F.lit(1), F.col("pos") + 1 - k), F.least(F.lit(k), F.col("pos")))).alias("dl"),
+        F.when(F.col("word") != END, F.slice("ws", F.col("pos") + 2, F.lit(k))).alias("dr"),
+    ))
+
+
+def aligned(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """Each posting with each place of its word in a benchmark text; neighbours lower-cased, outwards."""
+    small = _small(found, F.lit(64) + F.octet_length(F.concat_ws(" ", "il", "ir")))
+    got = _lookup(postings.where(F.col("word") != END), found, small).where(lower(F.col("word")) == F.col("term"))
+    return got.withColumns({"dl": F.transform(F.reverse("dl"), lower), "dr": F.transform("dr", lower)})
+
+
 def _common(a: str, b: str) -> Column:
     """Length of the common beginning of two arrays."""
     differs = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
     return F.when(differs == 0, F.greatest(F.size(a), F.size(b)).cast("bigint")).otherwise(differs - 1)
 
 
-def index(docs: DataFrame, terms: DataFrame, small: bool, window: int = WINDOW, row: Column | None = None) -> DataFrame:
-    """Postings of the anchor terms, with their neighbours and the alignments they are looked up for."""
-    k = window - 1
-    return _lookup(_tokens(docs, end=True, row=row), terms, small).select(
-        "row", "doc_id", "pos", "cid", "q", "w", "il", "ir",
-        F.reverse(F.slice("ws", F.greatest(F.lit(1), F.col("pos") + 1 - k), F.least(F.lit(k), F.col("pos")))).alias("dl"),
-        F.slice("ws", F.col("pos") + 2, F.lit(k)).alias("dr"),
-    )
-
-
 def phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The item classes and their exact matches: row, doc_id, cid, [start, end) of word runs; a row with null cid per document gives its words."""
     classes = materialize(item_classes(items, window))
     found = materialize(anchors(docs, classes, window))
-    mark = found.sparkSession.createDataFrame([(END, None, 0, 0, None, None)], found.schema)
-    small = _small(found, F.lit(400) + F.octet_length("term"))
-    hits = index(docs, found.unionByName(mark), small, window, row)
+    postings = index(docs, found, window, row)
     left, right = _common("dl", "il"), _common("dr", "ir")
-    run = hits.withColumns({"l": F.when(F.col("cid").isNotNull(), left), "r": F.when(F.col("cid").isNotNull(), right)})
-    return run.where(F.col("cid").isNull() | (F.col("l") + F.col("r") + 1 >= F.col("w"))).select("row", "doc_id", "cid", "pos", (F.col("pos") - F.col("l")).cast("int").alias("start"), (F.col("pos") + F.col("r") + 1).cast("int").alias("end")), classes
+    runs = aligned(postings, found).select("row", "doc_id", "pos", "cid", "w", left.alias("l"), right.alias("r")).where(F.col("l") + F.col("r") + 1 >= F.col("w"))
+    hits = runs.select("row", "doc_id", "cid", "pos", (F.col("pos") - F.col("l")).cast("int").alias("start"), (F.col("pos") + F.col("r") + 1).cast("int").alias("end"))
+    ends = postings.where(F.col("word") == END).select("row", "doc_id", F.lit(None).cast("bigint").alias("cid"), "pos", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    return hits.unionByName(ends), classes
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 3, share: float = 0.8, window: int = WINDOW) -> DataFrame:
     """doc_id, cid, place: around an anchor, at least `share` of the window's words stand within `slop` places of theirs."""
     classes = materialize(item_classes(items, window))
     found = materialize(anchors(docs, classes, window))
-    hits = index(docs, found, _small(found, F.lit(400) + F.octet_length("term")), window)
+    hits = aligned(index(docs, found, window, ends=False), found)
 
     def near(mine: str, theirs: str) -> Column:
         return F.size(F.filter(F.transform(mine, lambda x, i: F.exists(F.slice(F.col(theirs), F.greatest(F.lit(1), i + 1 - slop), F.lit(2 * slop + 1)), lambda y: y == x)), lambda b: b))
