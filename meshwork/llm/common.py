@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwork.plans.storage import materialize, shared_dir  # noqa: F401
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -19,24 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-        at = sc.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, everything else kept."""
     return F.translate(c, UPPER, LOWER)
@@ -47,6 +29,11 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(of)).cast("int")
 
 
+def key_columns(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """Join a document to facts found about it: rows equal in id and text share both numbers."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Joins a document to facts found about it: rows equal in id and text share it."""
-    return F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    """The same as one column."""
+    return F.struct(*key_columns(doc_id, text))
