@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import document_key, materialize, remainder, table
+from .common import key_columns, materialize, remainder, table
 
 FOLDS, HELD, CALIBRATION = 5, 0, 1
 MAX_LABELLED, FIT_PARTITIONS = 16_000, 8
@@ -180,7 +180,8 @@ def score(docs: DataFrame, model: Model, extra: list[str] | None = None) -> Data
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are not rejected, columns kept."""
-    keyed = docs.withColumn("_key", document_key()).withColumns({"_i": F.col("_key.id"), "_h": F.col("_key.h")}).drop("_key")
+    i, h = key_columns()
+    keyed = docs.withColumns({"_i": i, "_h": h})
     bad = score(keyed, fit(docs, labels), ["_i", "_h"]).where(F.col("score") < REJECT).select("_i", "_h").distinct()
     return keyed.join(bad, ["_i", "_h"], "left_anti").select(*docs.columns)
 

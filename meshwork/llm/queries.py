@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_packing, op3_quality, op4_neighbours, op5_decontaminate, op6_secrets, op8_urls, op10_language
+from . import op1_packing, op2_jaccard, op3_quality, op4_neighbours, op5_decontaminate, op6_secrets, op7_suffixes, op8_urls, op9_lines, op10_language
 
-MODULES = (op1_packing, op3_quality, op4_neighbours, op5_decontaminate, op6_secrets, op8_urls, op10_language)
+MODULES = (op1_packing, op2_jaccard, op3_quality, op4_neighbours, op5_decontaminate, op6_secrets, op7_suffixes, op8_urls, op9_lines, op10_language)
 
 
 def _name(module) -> str:
