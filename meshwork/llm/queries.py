@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import op1_packing, op2_jaccard, op3_quality, op4_neighbours, op5_decontaminate, op6_secrets, op7_suffixes, op8_urls, op9_lines, op10_language
 
 MODULES = (op1_packing, op2_jaccard, op3_quality, op4_neighbours, op5_decontaminate, op6_secrets, op7_suffixes, op8_urls, op9_lines, op10_language)
@@ -12,8 +14,9 @@ def _name(module) -> str:
 
 
 def queries() -> dict:
-    return {_name(m): m.query for m in MODULES}
+    return {_name(m): m.query for m in MODULES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {_name(m): m.ORACLE_SQL for m in MODULES if getattr(m, "ORACLE_SQL", None)}
+    known = {_name(m): getattr(m, "ORACLE_SQL", None) for m in MODULES} | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {n: sql for n, sql in known.items() if sql}
