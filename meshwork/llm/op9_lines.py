@@ -31,6 +31,7 @@ from .common import key_columns, materialize, table
 
 THRESHOLD, MIN_CHARS = 1, 20
 BROADCAST_BYTES = 32 << 20
+FULL = r"[^ \t\r]"
 LETTERS = "etaoin"  # counted to rule candidates out; any letters would do
 
 
@@ -42,13 +43,14 @@ def lines(docs: DataFrame) -> DataFrame:
     """Every line that counts: _i, _h (its document), no (its place from 0), line."""
     i, h = key_columns()
     at = docs.select(i.alias("_i"), h.alias("_h"), F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("no", "line"))
-    return at.where(F.trim(F.translate(F.col("line"), "\t\r", "  ")) != "")
+    return at.where(F.col("line").rlike(FULL))
 
 
 def distinct_lines(at: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     """One row per different line: k (hash), first (where it stands first), times, c (letters), own and asked (keys it is indexed and probes under)."""
-    own, asked = keys(F.col("line"), F.length("line"), threshold, min_chars)
-    rows = at.select("_i", "_h", "no", line_hash(F.col("line")).alias("k"), F.length("line").alias("n"), _letter_counts(F.col("line")).alias("c"), own.alias("own"), asked.alias("asked"))
+    at = at.withColumn("n", F.length("line"))  # once: each count of code points reads the line
+    own, asked = keys(F.col("line"), F.col("n"), threshold, min_chars)
+    rows = at.select("_i", "_h", "no", line_hash(F.col("line")).alias("k"), "n", _letter_counts(F.col("line")).alias("c"), own.alias("own"), asked.alias("asked"))
     return rows.groupBy("k").agg(F.min(F.struct("_i", "_h", "no")).alias("first"), F.count("*").alias("times"), *[F.first(x).alias(x) for x in ("n", "c", "own", "asked")])
 
 
@@ -56,7 +58,7 @@ def _letter_counts(line: Column) -> Column:
     """Counts of LETTERS modulo 1,024 in one number, ten bits each."""
     total = F.lit(0).cast("bigint")
     for j, c in enumerate(LETTERS):
-        total = total + F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("bigint").bitwiseAND(F.lit(1023)), 10 * j)
+        total = total + F.shiftleft((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("bigint").bitwiseAND(F.lit(1023)), 10 * j)
     return total
 
 
@@ -92,12 +94,12 @@ def keys(line: Column, n: Column, threshold: int, min_chars: int) -> tuple[Colum
             for shift in range(max(-before, less - after), min(before, less + after) + 1):
                 fits = (s + shift >= 0) & (s + shift + z <= n) & (m >= min_chars)
                 probes.append(F.when(fits, _key(line, m, i, s + shift, z)))
-    return F.when(n >= min_chars, own).otherwise(none), F.when(n >= min_chars, F.array_distinct(F.array_compact(F.array(*probes)))).otherwise(none)
+    return F.when(n >= min_chars, own).otherwise(none), F.when(n >= min_chars, F.array_distinct(F.array(*probes))).otherwise(none)
 
 
 def edit_pairs(at: DataFrame, different: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(x, y): hashes of different lines within `threshold` edits, each pair once."""
-    a = different.select(F.explode("asked").alias("s"), F.col("k").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"))
+    a = different.select(F.explode("asked").alias("s"), F.col("k").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc")).where("s is not null")
     b = different.select(F.explode("own").alias("s"), F.col("k").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
     near = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("x") < F.col("y")))
     likely = materialize(a.join(b, (a["s"] == b["s"]) & near & (F.col("yn") - F.col("xn") <= threshold) & _letters_agree("xc", "yc", threshold)).select("x", "y").distinct())
@@ -138,7 +140,7 @@ def kept_text() -> Column:
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """`docs`, columns kept, without repeated lines; documents of which no line is left go, n_chars follows the text."""
     got = marked(docs, threshold, min_chars).withColumn("_kept", kept_text())
-    got = got.where((F.coalesce(F.size("_gone"), F.lit(0)) == 0) | (F.trim("_kept") != "")).withColumn("text", F.col("_kept"))
+    got = got.where((F.coalesce(F.size("_gone"), F.lit(0)) == 0) | F.col("_kept").rlike(r"[^ \t\r\n]")).withColumn("text", F.col("_kept"))
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.when(F.coalesce(F.size("_gone"), F.lit(0)) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return got.select(*docs.columns)
