@@ -1,20 +1,22 @@
 """Removal of long repeated byte strings by suffix arrays.
 
 A byte goes if it lies in a string of `length` bytes that starts at another place too. Places that
-can matter are found first: among any `length` consecutive bytes, the 64-byte gram with the least
+can matter are found first: among any `length` consecutive bytes, the GRAM-byte gram with the least
 hash is an anchor (winnowing), so equal strings share an anchor at one offset. What surrounds an
 anchor closely enough is its region. Equal regions of different places are repeated throughout and
-need no sorting. Anchors with different regions go, one row per region, to shards by their hash:
-each shard sorts its suffixes by Larsson-Sadakane refinement (doubling the compared length,
-unsorted groups only) in numpy, and takes common prefixes by Kasai's rule, which runs through all
-regions side by side. Suffixes that share `length` bytes and start at different places are covered.
+need no sorting. Anchors with different regions go, one row per region, to shards by their hash.
+A shard drops what cannot be repeated (no other string of `length` bytes in it has the same rolling
+hash), cuts regions to what can, and sorts the suffixes of the different rest by Larsson-Sadakane
+refinement (doubling the compared length, unsorted groups only) in numpy, with common prefixes by
+Kasai's rule, which runs through all regions side by side. Suffixes that share `length` bytes and
+start at different places are covered.
 
 Since the strings that a shard must compare all meet in it, shards need no merging. The exception
 is an anchor with more than `HOT` different regions, which one task should not sort: its regions
 are compared across tasks by exact window digests (one row per window) instead of by binary search
 in each other's suffix arrays, whose number of searches would grow with the square of the shards.
 
-Scale: shuffled are anchors (about two in `length` - 64 bytes), the texts twice (to cut regions,
+Scale: shuffled are anchors (about two in `length` - GRAM bytes), the texts twice (to cut regions,
 to cut results), and the regions that differ. Counts by region are combined on the map side, so
 copies that make up a third of the corpus are one row per task.
 
@@ -36,28 +38,39 @@ from pyspark.sql import functions as F
 
 from .common import key_columns, materialize, table
 
-LENGTH, GRAM = 400, 64
+LENGTH, GRAM = 400, 200
 HOT = 20_000
 SHARD_BYTES = 4 << 20
 CHUNK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 @functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(1 << bits, base, np.uint64), np.full(1 << bits, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place on."""
-    up, down = _powers(CHUNK + 2 * LENGTH)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-    h = (sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+class Rolling:
+    """Hashes of any stretch of `data`, from running sums."""
+
+    def __init__(self, data: np.ndarray, base: int = _BASE):
+        up, self.down = _powers(base, max(16, len(data).bit_length()))
+        self.sums = np.empty(len(data) + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
+
+    def __call__(self, starts, ends) -> np.ndarray:
+        h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+    def every(self, size: int) -> np.ndarray:
+        """The hash of `size` bytes from each place on."""
+        n = len(self.sums) - size
+        return self(slice(0, n), slice(size, n + size))
 
 
 def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
@@ -69,28 +82,36 @@ def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchor_places(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a text."""
-    places, hashes = [], []
-    raw = np.frombuffer(data, np.uint8)
-    for s in range(0, max(1, len(raw) - length + 1), CHUNK):
-        part = raw[s : s + CHUNK + length - 1]
+def region(p, n: int, length: int = LENGTH):
+    """The bytes of all strings that hold the gram at p."""
+    return np.maximum(0, p - (length - GRAM)), np.minimum(n, p + length)
+
+
+def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Places and hashes of the anchors of a text, and two hashes of their regions."""
+    raw, out = np.frombuffer(data, np.uint8), []
+    n = len(raw)
+    for s in range(0, n, CHUNK) if n >= length else ():
+        a, b = max(0, s - length), min(n, s + CHUNK + 2 * length)
+        part = raw[a:b]
         if len(part) < length:
-            break
-        h = gram_hashes(part)
+            continue
+        roll, other = Rolling(part), Rolling(part, _OTHER)
+        h = roll.every(GRAM)
         least = _window_minima(h, length - GRAM + 1)
         p = np.flatnonzero(np.isin(h, np.unique(least[np.r_[True, least[1:] != least[:-1]]])))
-        places.append(p + s)
-        hashes.append(h[p])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    p, first = np.unique(np.concatenate(places), return_index=True)
-    return p, np.concatenate(hashes)[first]
-
-
-def region(p: int, n: int, length: int = LENGTH) -> tuple[int, int]:
-    """The bytes of all strings that hold the gram at p."""
-    return max(0, p - (length - GRAM)), min(n, p + length)
+        x, y = region(p, len(part), length)
+        inner = ((p >= length - GRAM) | (a == 0)) & ((p + length <= len(part)) | (b == n))  # others lie within the next or last part
+        p, x, y = p[inner], x[inner], y[inner]
+        cut = (p - x).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)  # a region cut short by the text's start is another
+        out.append((p + a, h[p], roll(x, y) ^ cut, other(x, y) + (y - x).astype(np.uint64)))
+    if not out:
+        return np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+    if len(out) > 1:
+        _, first = np.unique(cols[0], return_index=True)
+        cols = [c[first] for c in cols]
+    return tuple(cols)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -173,31 +194,30 @@ def common_prefixes(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray, end
     return out
 
 
-def repeated_spans(regions: list[bytes], absolute: list[tuple[int, int]], many: list[bool], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each region, the bytes in strings of `length` that start at a second place.
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
 
-    `absolute`: the document and the place where each region starts; regions of one document may
-    overlap. `many`: whether the region is known to occur at several places.
-    """
+
+def _several(order: np.ndarray, first: np.ndarray, where: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For each run of `order` that begins at `first`: whether it holds several places."""
+    w = where[order]
+    several = (np.minimum.reduceat(w, first) != np.maximum.reduceat(w, first)) | (np.maximum.reduceat(many[order].astype(np.int8), first) > 0)
+    return several & (np.diff(np.r_[first, len(order)]) > 1)
+
+
+def sorted_spans(regions: list[bytes], absolute: np.ndarray, many: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
+    """For each region, the bytes in strings of `length` that start at a second place. `absolute`
+    numbers the place where each region starts."""
     sizes = np.array([len(r) for r in regions], np.int64)
-    if not len(sizes) or not sizes.sum():
-        return [[] for _ in regions]
     text = np.frombuffer(b"".join(regions), np.uint8)
-    begins = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    begins, owner = _starts(sizes), np.repeat(np.arange(len(sizes)), sizes)
     ends = (begins + sizes)[owner]
     order = suffix_array(text, ends, int(sizes.max()))  # to the end: Kasai's rule needs a full order
     shared = common_prefixes(text, begins, sizes, ends, order, length)[order]
-    group = np.cumsum(shared < length) - 1
     first = np.flatnonzero(shared < length)
-    docs, starts = np.array([a for a, _ in absolute], np.int64), np.array([b for _, b in absolute], np.int64)
-    where = (docs[owner] << 40) + starts[owner] + (np.arange(len(text)) - begins[owner])
-    where = where[order]
-    lo, hi = np.minimum.reduceat(where, first), np.maximum.reduceat(where, first)
-    several = np.maximum.reduceat(np.array(many)[owner[order]].astype(np.int8), first)
-    size = np.diff(np.r_[first, len(text)])
-    good = (size > 1) & ((lo != hi) | (several > 0))
-    at = order[good[group]]
+    where = absolute[owner] + np.arange(len(text)) - begins[owner]
+    good = _several(order, first, where, many[owner])
+    at = order[good[np.cumsum(shared < length) - 1]]
     at = at[ends[at] - at >= length]
     change = np.zeros(len(text) + 1, np.int64)
     np.add.at(change, at, 1)
@@ -210,8 +230,46 @@ def repeated_spans(regions: list[bytes], absolute: list[tuple[int, int]], many:
     return out
 
 
-def _signed(x) -> int:
-    return int(x) - (1 << 64) if int(x) >= 1 << 63 else int(x)
+def repeated_spans(regions: list[bytes], absolute: list[tuple[int, int]], many: list[bool], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """The same, for regions most of which have nothing repeated: those, and ends that cannot be, are
+    dropped before the rest is sorted, and equal pieces are sorted once.
+
+    `absolute`: the document and the place where each region starts; regions of one document may
+    overlap. `many`: whether the region is known to occur at several places.
+    """
+    sizes = np.array([len(r) for r in regions], np.int64)
+    out: list[list[tuple[int, int]]] = [[] for _ in regions]
+    if not len(sizes) or sizes.max() < length:
+        return out
+    text = np.frombuffer(b"".join(regions), np.uint8)
+    begins, valid = _starts(sizes), np.maximum(0, sizes - length + 1)
+    owner = np.repeat(np.arange(len(sizes)), valid)
+    at = begins[owner] + np.arange(len(owner)) - _starts(valid)[owner]  # where a string of `length` can start
+    spot = np.array([(a << 40) + b for a, b in absolute], np.int64)
+    flags = np.array(many, bool)
+    key = Rolling(text)(at, at + length)
+    order = np.argsort(key)
+    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    good = np.repeat(_several(order, first, spot[owner] + at - begins[owner], flags[owner]), np.diff(np.r_[first, len(order)]))
+    hit = np.sort(order[good])
+    if not len(hit):
+        return out
+    mine, begin = np.unique(owner[hit], return_index=True)
+    lo, hi = at[hit[begin]] - begins[mine], at[hit[np.r_[begin[1:], len(hit)] - 1]] - begins[mine] + length
+    pieces: dict[bytes, list] = {}  # content -> its place, whether it has several, the regions that hold it
+    for r, x, y in zip(mine.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        place = int(spot[r]) + x
+        got = pieces.setdefault(regions[r][x:y], [place, bool(many[r]), []])
+        got[1] |= place != got[0] or bool(many[r])
+        got[2].append((r, x))
+    if all(g[1] for g in pieces.values()):
+        found = [[(0, len(p))] for p in pieces]
+    else:
+        found = sorted_spans(list(pieces), np.array([g[0] for g in pieces.values()], np.int64), np.array([g[1] for g in pieces.values()]), length)
+    for (content, (_, several, held)), spans in zip(pieces.items(), found, strict=True):
+        for r, x in held:
+            out[r] = [(x, x + len(content))] if several else [(x + a, x + b) for a, b in spans]
+    return out
 
 
 def _text(t) -> bytes:
@@ -223,24 +281,31 @@ def occurrences(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            cols, own = [], []
             for i, h, t in zip(b["_i"], b["_h"], b["text"], strict=True):
                 data = _text(t)
                 n = len(data)
                 if n < length:
                     continue
-                seen: dict[tuple, list[int]] = {}
-                for p, fp in zip(*(x.tolist() for x in anchor_places(data, length)), strict=True):
-                    a, e = region(p, n, length)
-                    d = hashlib.blake2b(data[a:e], digest_size=16, person=(p - a).to_bytes(4, "little")).digest()
-                    seen.setdefault((fp, d), []).append(p)
-                own = []
-                for (fp, d), ps in seen.items():
-                    rows.append((i, h, _signed(fp), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), ps[0], len(ps), 0))
-                    if len(ps) > 1:
-                        own += [region(p, n, length) for p in ps]
-                rows += [(i, h, None, None, None, a, 0, e) for a, e in merged(own)]
-            yield pd.DataFrame(rows, columns=["_i", "_h", "fp", "d1", "d2", "pos", "times", "upto"]).astype({"fp": "Int64", "d1": "Int64", "d2": "Int64"})
+                p, fp, d1, d2 = anchors(data, length)
+                times = np.ones(len(p), np.int64)
+                if len(np.unique(fp)) < len(fp):  # an anchor that comes again within the text
+                    o = np.lexsort((p, d2, d1, fp))
+                    p, fp, d1, d2 = p[o], fp[o], d1[o], d2[o]
+                    new = np.r_[True, (fp[1:] != fp[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]
+                    first = np.flatnonzero(new)
+                    times = np.diff(np.r_[first, len(p)])
+                    again = np.repeat(times > 1, times)
+                    own += [(i, h, a, e) for a, e in merged(list(zip(*(x.tolist() for x in region(p[again], n, length)), strict=True)))]
+                    p, fp, d1, d2 = p[first], fp[first], d1[first], d2[first]
+                cols.append((np.full(len(p), i), np.full(len(p), h), fp.view(np.int64), d1.view(np.int64), d2.view(np.int64), p, times))
+            if cols:
+                got = [np.concatenate(c) for c in zip(*cols, strict=True)]
+                yield pd.DataFrame(dict(zip(("_i", "_h", "fp", "d1", "d2", "pos", "times"), got, strict=True))).assign(upto=0)
+            if own:
+                o = pd.DataFrame(own, columns=["_i", "_h", "pos", "upto"])
+                none = pd.array([None] * len(o), "Int64")
+                yield o.assign(fp=none, d1=none, d2=none, times=0)[["_i", "_h", "fp", "d1", "d2", "pos", "times", "upto"]]
 
     return keyed.mapInPandas(run, "_i long, _h long, fp long, d1 long, d2 long, pos long, times long, upto long")
 
@@ -250,12 +315,21 @@ def _regions(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     per = wanted.groupBy("_i", "_h").agg(F.collect_list(F.struct("fp", "d1", "d2", "pos", "many", "hot")).alias("w"))
     joined = keyed.join(per, ["_i", "_h"]).dropDuplicates(["_i", "_h"]).select("_i", "_h", "text", *[F.col(f"w.{c}").alias(c) for c in ("fp", "d1", "d2", "pos", "many", "hot")])
 
+    names = ["i", "h", "fp", "d1", "d2", "pos", "many", "hot", "start", "bytes"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples(index=False, name=None):
-                data = _text(r[2])
-                spans = [region(int(p), len(data), length) for p in r[6]]
-                yield pd.DataFrame({"i": r[0], "h": r[1], "fp": r[3], "d1": r[4], "d2": r[5], "pos": r[6], "many": r[7], "hot": r[8], "start": [a for a, _ in spans], "bytes": [data[a:e] for a, e in spans]})
+            rows: list[tuple] = []
+            for i, h, t, *cols in b.itertuples(index=False, name=None):
+                data = _text(t)
+                for fp, d1, d2, p, many, hot in zip(*cols, strict=True):
+                    a, e = max(0, p - (length - GRAM)), min(len(data), p + length)
+                    rows.append((i, h, fp, d1, d2, p, many, hot, a, data[a:e]))
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return joined.mapInPandas(run, "i long, h long, fp long, d1 long, d2 long, pos long, many boolean, hot boolean, start long, bytes binary")
 
@@ -278,7 +352,7 @@ def _window_spans(regions: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples(index=False):
+            for r in b.itertuples(index=False):  # one row per window each
                 at = range(len(r.bytes) - length + 1)
                 d = [hashlib.blake2b(r.bytes[x : x + length], digest_size=16).digest() for x in at]
                 yield pd.DataFrame({"fp": r.fp, "d1": r.d1, "d2": r.d2, "x": [r.start - r.pos + x for x in at], "w": d, "place": [f"{r.i}:{r.h}:{r.start + x}" for x in at], "many": r.many})
