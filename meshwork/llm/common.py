@@ -34,6 +34,24 @@ def key_columns(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Col
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """The same as one column."""
-    return F.struct(*key_columns(doc_id, text))
+def wrapped(docs: DataFrame) -> DataFrame:
+    """`doc` (all columns, whatever their names), _i and _h: what can be joined without a clash."""
+    i, h = key_columns()
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), i.alias("_i"), h.alias("_h"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose document is not in `gone` (_i, _h), columns kept."""
+    return wrapped(docs).join(gone.select("_i", "_h").distinct(), ["_i", "_h"], "left_anti").select("doc.*")
+
+
+#: Rows that a Python worker holds at a time: texts are long, and two workers share an executor's memory.
+BATCH_ROWS = 1000
+
+
+def mapped(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInPandas over batches of at most BATCH_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df.mapInPandas(function, schema)

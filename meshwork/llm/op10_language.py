@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import mapped, remainder, table
 
 ORDER, DISCOUNT = 4, 0.75
 PER_LANGUAGE, TRAIN_CHARS, MAX_LANGUAGES = 600, 40_000, 64
@@ -235,7 +235,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [x for p in parts for x in p[0]], "score": np.concatenate([p[1] for p in parts]), "rejected": np.concatenate([p[2] for p in parts])})
 
     held = F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")), run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

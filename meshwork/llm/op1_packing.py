@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import mapped, materialize, table
 
 CAPACITY, END_ID = 2048, 0
 BUCKETS = 1024
@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: tuple[str, str
             if got:
                 yield pd.DataFrame(got).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_histogram(counts: dict[int, int], tokens: int, documents: int, attention: int, rule: str = "dot", weights=(1.0, 0.05, 0.2)) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -183,10 +183,8 @@ def pack(items: DataFrame, order: list[str], tokens: int = CAPACITY, documents:
     """`items` (length, the `order` columns that tell pieces apart, more) with sequence_id and offset appended."""
     histogram = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row per length: at most `tokens`
     placed = slots(pack_histogram(histogram, tokens, documents, attention, rule))
-    by: dict[int, tuple[np.ndarray, ...]] = {}
-    for length in histogram:
-        mine = sorted(s[1:] for s in placed if s[0] == length)
-        by[length] = tuple(np.array(x, np.int64) for x in zip(*mine, strict=True))
+    length, first, _, each, sequence, offset = (np.array(x, np.int64) for x in zip(*sorted(placed), strict=True)) if placed else [np.zeros(0, np.int64)] * 6
+    key = (length << 40) + first  # a length has fewer than 2**40 pieces
 
     keyed = items.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)))
     base = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
@@ -196,18 +194,14 @@ def pack(items: DataFrame, order: list[str], tokens: int = CAPACITY, documents:
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seq, off = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            for length, at in b.groupby("length").indices.items():
-                first, _, k, sequence, offset = by[int(length)]
-                rank = b["_rank"].to_numpy()[at]
-                s = np.searchsorted(first, rank, "right") - 1
-                i = rank - first[s]
-                seq[at], off[at] = sequence[s] + i // k[s], offset[s] + (i % k[s]) * length
-            yield b.drop(columns="_rank").assign(sequence_id=seq, offset=off)
+            mine, rank = b["length"].to_numpy(np.int64), b["_rank"].to_numpy(np.int64)
+            s = np.searchsorted(key, (mine << 40) + rank, "right") - 1
+            i = rank - first[s]
+            yield b.drop(columns="_rank").assign(sequence_id=sequence[s] + i // each[s], offset=offset[s] + i % each[s] * mine)
 
     kept = [c for c in ranked.columns if c != "_rank"]
     schema = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes if c != "_rank") + ", sequence_id long, offset long"
-    return ranked.select(*kept, "_rank").mapInPandas(place, schema)
+    return mapped(ranked.select(*kept, "_rank"), place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: tuple[str, str | None] | None = None, capacity: int = CAPACITY) -> DataFrame:

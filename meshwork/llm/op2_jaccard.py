@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from meshwork.operators.components import connected_components
 
-from .common import key_columns, materialize, table
+from .common import key_columns, mapped, materialize, table, wrapped
 
 WORDS, THRESHOLD = 5, 0.8
 T, RECALL = 64, 1 - 1e-6
@@ -163,7 +163,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     "n": [len(x) for x in sets], "sig": [next(sig).tobytes() if len(x) else None for x in sets],
                 }).astype({"doc_id": "Int64"})
 
-    return had.mapInPandas(run, "doc_id long, _i long, _h long, d1 long, d2 long, n long, sig binary")
+    return mapped(had, run, "doc_id long, _i long, _h long, d1 long, d2 long, n long, sig binary")
 
 
 def _children(nodes: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def _children(nodes: DataFrame) -> DataFrame:
                 for k, c in enumerate(chosen):
                     yield pd.DataFrame({"parent": path, "path": child_key(int(path), c, sig[:, c]), "differ": [differ + chosen[:k]] * len(part), "used": ",".join(map(str, sorted({*taken, c}))), "d1": part["d1"].to_numpy(), "d2": part["d2"].to_numpy()})
 
-    return nodes.mapInPandas(run, "parent long, path long, differ array<int>, used string, d1 long, d2 long")
+    return mapped(nodes, run, "parent long, path long, differ array<int>, used string, d1 long, d2 long")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -327,10 +327,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs`, columns kept, without all but the least document of each group; rows without words stay."""
-    i, h = key_columns()
-    gone = groups(docs).where((F.col("n_shingles") > 0) & (F.col("rep") != F.struct("_i", "_h"))).select("_i", "_h").distinct()
-    keyed = docs.withColumns({"_i": i, "_h": h})
-    return keyed.join(gone, ["_i", "_h"], "left_anti").dropDuplicates(["_i", "_h"]).select(*docs.columns)
+    found = groups(docs).where("n_shingles > 0").select("_i", "_h", (F.col("rep") != F.struct("_i", "_h")).alias("gone")).distinct()
+    joined = wrapped(docs).join(found, ["_i", "_h"], "left")
+    alone = joined.where("gone is null").select("doc")
+    return joined.where("not gone").dropDuplicates(["_i", "_h"]).select("doc").unionAll(alone).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_columns, materialize, remainder, table
+from .common import key_columns, mapped, materialize, remainder, table, without
 
 FOLDS, HELD, CALIBRATION = 5, 0, 1
 MAX_LABELLED, FIT_PARTITIONS = 16_000, 8
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             v += z.T @ b["label"].to_numpy()
         yield pd.DataFrame({"a": [a.tobytes()], "v": [v.tobytes()]})
 
-    parts = rows.where("not calibration").coalesce(FIT_PARTITIONS).mapInPandas(sums, "a binary, v binary").collect()
+    parts = mapped(rows.where("not calibration").coalesce(FIT_PARTITIONS), sums, "a binary, v binary").collect()
     a = sum(np.frombuffer(p["a"]).reshape(FEATURES + 1, -1) for p in parts)
     v = sum(np.frombuffer(p["v"]) for p in parts)
     penalty = RIDGE * np.eye(FEATURES + 1)
@@ -175,15 +175,14 @@ def score(docs: DataFrame, model: Model, extra: list[str] | None = None) -> Data
 
     had = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in had.dtypes if c != "text") + ", score double"
-    return had.mapInPandas(run, schema)
+    return mapped(had, run, schema)
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are not rejected, columns kept."""
     i, h = key_columns()
-    keyed = docs.withColumns({"_i": i, "_h": h})
-    bad = score(keyed, fit(docs, labels), ["_i", "_h"]).where(F.col("score") < REJECT).select("_i", "_h").distinct()
-    return keyed.join(bad, ["_i", "_h"], "left_anti").select(*docs.columns)
+    plain = docs.select(i.alias("_i"), h.alias("_h"), "doc_id", "text")
+    return without(docs, score(plain, fit(docs, labels), ["_i", "_h"]).where(F.col("score") < REJECT))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

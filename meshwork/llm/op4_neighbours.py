@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import mapped, materialize, table
 
 K, EVERY = 20, 20
 SAMPLE, BRANCH, LEAF_SAMPLE, ROUNDS, SEED = 20_000, 8, 400, 12, 7
@@ -157,13 +157,23 @@ def exact_neighbours(rows: DataFrame, queries: list[tuple[int, list[float]]], k:
     qid, q = np.array([i for i, _ in queries]), np.array([v for _, v in queries], float)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def found() -> pd.DataFrame:
+            b = pd.concat(held)
+            at, ids, s = best(qid, q, b["id"].to_numpy(), _stack(b["v"]), k)
+            return pd.DataFrame({"query_id": qid[at], "vec_id": ids, "score": s})
+
         for b in batches:
-            if len(b):
-                at, ids, s = best(qid, q, b["id"].to_numpy(), _stack(b["v"]), k)
-                yield pd.DataFrame({"query_id": qid[at], "vec_id": ids, "score": s})
+            held += [b] if len(b) else []
+            if sum(map(len, held)) >= BLOCK:
+                yield found()
+                held.clear()
+        if held:
+            yield found()
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    got = rows.mapInPandas(run, "query_id long, vec_id long, score double").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).collect()
+    got = mapped(rows, run, "query_id long, vec_id long, score double").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).collect()
     out: dict[int, list[int]] = {}
     for r in got:
         out.setdefault(r["query_id"], []).append(r["vec_id"])
@@ -224,7 +234,7 @@ def search(rows: DataFrame, is_query, k: int = K, target: float = TARGET) -> Dat
                 got = [(i, x, leaf, salt) for i, x, y in zip(b["id"], b["v"], _stack(b["v"]), strict=True) for leaf in tree.visit(y, budget) if leaf in sizes for salt in range(sizes[leaf])]
                 yield pd.DataFrame(got, columns=["id", "v", "leaf", "salt"])
 
-    asked = queries.mapInPandas(route, f"id long, v {kind}, leaf long, salt int")
+    asked = mapped(queries, route, f"id long, v {kind}, leaf long, salt int")
 
     def look(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

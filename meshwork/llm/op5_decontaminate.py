@@ -6,8 +6,8 @@ The index stores a posting for every occurrence of an anchor in the documents: r
 the words up to `window` - 1 places to either side; it is written to the shared folder. A lookup subtracts the anchor's place in the
 benchmark text from its position (one alignment per posting), then intersects the neighbouring
 words place by place, outwards from the rarest: a run of at least one window around the anchor is
-an exact phrase. Proximity matches (all words of a window's two rarest within `slop` places) are
-found from the same postings by `proximity`.
+an exact phrase. Proximity matches (the rarest word, and most of its neighbours within `slop` places
+of theirs) are found from the same postings by `proximity`.
 
 Scale: documents are never shuffled, only postings of anchors and one count row per document.
 Benchmark tables are broadcast only up to `BROADCAST_BYTES` (measured); beyond that they are
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, document_key, materialize, table
+from .common import WORD, ascii_lower, key_columns, materialize, table, without
 
 WINDOW = 10
 BROADCAST_BYTES = 64 << 20
@@ -155,10 +155,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs` that no benchmark window occurs in, columns kept."""
-    key = document_key()
-    found, _ = phrases(docs, items, window, key)
-    bad = found.where("cid is not null").select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", key).join(bad, "_row", "left_anti").drop("_row")
+    found, _ = phrases(docs, items, window, F.struct(*[c.alias(n) for c, n in zip(key_columns(), ("_i", "_h"), strict=True)]))
+    return without(docs, found.where("cid is not null").select("row._i", "row._h"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_columns, materialize, table
+from .common import key_columns, mapped, materialize, table
 
 LENGTH, GRAM = 400, 200
 HOT = 20_000
@@ -307,7 +307,7 @@ def occurrences(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
                 none = pd.array([None] * len(o), "Int64")
                 yield o.assign(fp=none, d1=none, d2=none, times=0)[["_i", "_h", "fp", "d1", "d2", "pos", "times", "upto"]]
 
-    return keyed.mapInPandas(run, "_i long, _h long, fp long, d1 long, d2 long, pos long, times long, upto long")
+    return mapped(keyed, run, "_i long, _h long, fp long, d1 long, d2 long, pos long, times long, upto long")
 
 
 def _regions(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -331,7 +331,7 @@ def _regions(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    return joined.mapInPandas(run, "i long, h long, fp long, d1 long, d2 long, pos long, many boolean, hot boolean, start long, bytes binary")
+    return mapped(joined, run, "i long, h long, fp long, d1 long, d2 long, pos long, many boolean, hot boolean, start long, bytes binary")
 
 
 def _sorted_spans(regions: DataFrame, shards: int, length: int) -> DataFrame:
@@ -357,7 +357,7 @@ def _window_spans(regions: DataFrame, length: int) -> DataFrame:
                 d = [hashlib.blake2b(r.bytes[x : x + length], digest_size=16).digest() for x in at]
                 yield pd.DataFrame({"fp": r.fp, "d1": r.d1, "d2": r.d2, "x": [r.start - r.pos + x for x in at], "w": d, "place": [f"{r.i}:{r.h}:{r.start + x}" for x in at], "many": r.many})
 
-    rows = regions.mapInPandas(run, "fp long, d1 long, d2 long, x long, w binary, place string, many boolean")
+    rows = mapped(regions, run, "fp long, d1 long, d2 long, x long, w binary, place string, many boolean")
     twice = rows.groupBy("w").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("many").alias("many")).where("many or lo <> hi").select("w")
     return rows.join(twice, "w").select("fp", "d1", "d2", "x", (F.col("x") + length).alias("y"))
 
@@ -403,7 +403,7 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows.append((i, len(data), sum(y - x for x, y in gone), len(gone), b"".join(kept), [x for s in gone for x in s]))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"]).astype({"doc_id": "Int64"})
 
-    return had.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<long>")
+    return mapped(had, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<long>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

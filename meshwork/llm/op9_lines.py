@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_columns, materialize, table
+from .common import key_columns, materialize, table, wrapped
 
 THRESHOLD, MIN_CHARS = 1, 20
 BROADCAST_BYTES = 32 << 20
@@ -126,30 +126,25 @@ def decisions(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_
 
 
 def marked(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """`docs` with _gone (places of the lines that go, null for none) and _links appended."""
-    per = decisions(docs, threshold, min_chars).distinct().groupBy("_i", "_h").agg(F.collect_list(F.when(F.col("gone"), F.col("no"))).alias("_gone"), F.sum("links").alias("_links"))
-    i, h = key_columns()
-    return docs.withColumns({"_i": i, "_h": h}).join(per, ["_i", "_h"], "left").drop("_i", "_h")
-
-
-def kept_text() -> Column:
-    parts = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    return F.when(F.coalesce(F.size("_gone"), F.lit(0)) > 0, F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")).otherwise(F.col("text"))
+    """doc (all columns of `docs`), gone (places of the lines that go; null or empty for none), links, text without them."""
+    per = decisions(docs, threshold, min_chars).distinct().groupBy("_i", "_h").agg(F.collect_list(F.when(F.col("gone"), F.col("no"))).alias("gone"), F.sum("links").alias("links"))
+    parts = F.split(F.coalesce(F.col("doc.text"), F.lit("")), "\n")
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    joined = wrapped(docs).join(per, ["_i", "_h"], "left").withColumn("any", F.coalesce(F.size("gone"), F.lit(0)) > 0)
+    return joined.select("doc", "gone", "links", "any", F.when(F.col("any"), kept).otherwise(F.col("doc.text")).alias("kept"))
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """`docs`, columns kept, without repeated lines; documents of which no line is left go, n_chars follows the text."""
-    got = marked(docs, threshold, min_chars).withColumn("_kept", kept_text())
-    got = got.where((F.coalesce(F.size("_gone"), F.lit(0)) == 0) | F.col("_kept").rlike(r"[^ \t\r\n]")).withColumn("text", F.col("_kept"))
-    if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.when(F.coalesce(F.size("_gone"), F.lit(0)) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return got.select(*docs.columns)
+    got = marked(docs, threshold, min_chars).where(~F.col("any") | F.col("kept").rlike(r"[^ \t\r\n]"))
+    new = {"text": F.col("kept"), "n_chars": F.when(F.col("any"), F.length("kept").cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
+    return got.select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).cast("long")
-    return marked(docs).select("doc_id", n.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_gone"), F.coalesce("_links", F.lit(0)).alias("n_links"), F.sha2(F.coalesce(kept_text(), F.lit("")), 256).alias("kept_sha256"))
+    n = F.size(F.split(F.coalesce(F.col("doc.text"), F.lit("")), "\n")).cast("long")
+    return marked(docs).select("doc.doc_id", n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"), F.coalesce("links", F.lit(0)).alias("n_links"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = rf"""
