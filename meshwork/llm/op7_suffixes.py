@@ -2,8 +2,8 @@
 
 A byte goes if it lies in a string of `length` bytes that starts at another place too. Places that
 can matter are found first: among any `length` consecutive bytes, the GRAM-byte gram with the least
-hash is an anchor (winnowing), so equal strings share an anchor at one offset. What surrounds an
-anchor closely enough is its region. Equal regions of different places are repeated throughout and
+hash is an anchor (winnowing), so equal strings have equal anchors at one offset. The strings that chose an
+anchor make up its region. Equal regions of different places are repeated throughout and
 need no sorting. Anchors with different regions go, one row per region, to shards by their hash.
 A shard drops what cannot be repeated (no other string of `length` bytes in it has the same rolling
 hash), cuts regions to what can, and sorts the suffixes of the different rest by Larsson-Sadakane
@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 
 from .common import key_columns, mapped, materialize, table
 
-LENGTH, GRAM = 400, 200
+LENGTH, GRAM = 400, 128
 HOT = 20_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 CHUNK = 1 << 20
-_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_BASE = 0x9E3779B97F4A7C15
 
 
 @functools.cache
@@ -55,8 +55,8 @@ def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
 class Rolling:
     """Hashes of any stretch of `data`, from running sums."""
 
-    def __init__(self, data: np.ndarray, base: int = _BASE):
-        up, self.down = _powers(base, max(16, len(data).bit_length()))
+    def __init__(self, data: np.ndarray):
+        up, self.down = _powers(_BASE, max(16, len(data).bit_length()))
         self.sums = np.empty(len(data) + 1, np.uint64)
         self.sums[0] = 0
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
@@ -82,36 +82,50 @@ def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def region(p, n: int, length: int = LENGTH):
-    """The bytes of all strings that hold the gram at p."""
-    return np.maximum(0, p - (length - GRAM)), np.minimum(n, p + length)
+def _chosen(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the windows of w places: the first place of the least value, and the first and last window
+    that chose it, run by run."""
+    least = _window_minima(h, w)
+    begin = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    end = np.r_[begin[1:], len(least)]
+    value = least[begin]
+    at = np.flatnonzero(np.isin(h, value))
+    order = np.lexsort((at, h[at]))
+    sorted_h, sorted_at = h[at][order], at[order]
+    out = []
+    while len(begin):
+        # the first place from `begin` on that has the run's value
+        k = np.searchsorted(sorted_h, value)
+        while (late := sorted_at[k] < begin).any():
+            k[late] += 1
+        p = sorted_at[k]
+        out.append((p, begin, np.minimum(end, p + 1)))
+        more = p + 1 < end  # windows beyond it chose the next such place
+        begin, end, value = p[more] + 1, end[more], value[more]
+    p, x, y = (np.concatenate(c) for c in zip(*out, strict=True))
+    o = np.argsort(p, kind="stable")
+    p, x, y = p[o], x[o], y[o]
+    first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+    return p[first], np.minimum.reduceat(x, first), np.maximum.reduceat(y, first) - 1
 
 
 def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Places and hashes of the anchors of a text, and two hashes of their regions."""
+    """Anchors of a text: place, hash, region (start, end) and the region's hash."""
     raw, out = np.frombuffer(data, np.uint8), []
     n = len(raw)
     for s in range(0, n, CHUNK) if n >= length else ():
-        a, b = max(0, s - length), min(n, s + CHUNK + 2 * length)
-        part = raw[a:b]
+        # a part holds the strings that start in it; what chose one anchor may be split at its ends
+        part = raw[s : s + CHUNK + length - 1]
         if len(part) < length:
             continue
-        roll, other = Rolling(part), Rolling(part, _OTHER)
+        roll = Rolling(part)
         h = roll.every(GRAM)
-        least = _window_minima(h, length - GRAM + 1)
-        p = np.flatnonzero(np.isin(h, np.unique(least[np.r_[True, least[1:] != least[:-1]]])))
-        x, y = region(p, len(part), length)
-        inner = ((p >= length - GRAM) | (a == 0)) & ((p + length <= len(part)) | (b == n))  # others lie within the next or last part
-        p, x, y = p[inner], x[inner], y[inner]
-        cut = (p - x).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)  # a region cut short by the text's start is another
-        out.append((p + a, h[p], roll(x, y) ^ cut, other(x, y) + (y - x).astype(np.uint64)))
+        p, x, y = _chosen(h, length - GRAM + 1)
+        y += length
+        out.append((p + s, h[p], x + s, y + s, roll(x, y) ^ ((p - x).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))))
     if not out:
-        return np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-    if len(out) > 1:
-        _, first = np.unique(cols[0], return_index=True)
-        cols = [c[first] for c in cols]
-    return tuple(cols)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.uint64))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -277,74 +291,70 @@ def _text(t) -> bytes:
 
 
 def occurrences(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Anchors of every text: _i, _h, fp, d1, d2 (digest of the region), pos, times; and, with null fp, spans found repeated within the text."""
+    """Anchors of every text: _i, _h, fp and d (hashes of anchor and region), a and e (the region), times;
+    with null fp, spans [a, e) found repeated within the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             cols, own = [], []
             for i, h, t in zip(b["_i"], b["_h"], b["text"], strict=True):
                 data = _text(t)
-                n = len(data)
-                if n < length:
+                if len(data) < length:
                     continue
-                p, fp, d1, d2 = anchors(data, length)
-                times = np.ones(len(p), np.int64)
-                if len(np.unique(fp)) < len(fp):  # an anchor that comes again within the text
-                    o = np.lexsort((p, d2, d1, fp))
-                    p, fp, d1, d2 = p[o], fp[o], d1[o], d2[o]
-                    new = np.r_[True, (fp[1:] != fp[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]
-                    first = np.flatnonzero(new)
-                    times = np.diff(np.r_[first, len(p)])
+                _, fp, a, e, d = anchors(data, length)
+                times = np.ones(len(a), np.int64)
+                if len(np.unique(d)) < len(d):  # a region that comes again within the text
+                    o = np.lexsort((a, d, fp))
+                    fp, a, e, d = fp[o], a[o], e[o], d[o]
+                    first = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (d[1:] != d[:-1])])
+                    times = np.diff(np.r_[first, len(a)])
                     again = np.repeat(times > 1, times)
-                    own += [(i, h, a, e) for a, e in merged(list(zip(*(x.tolist() for x in region(p[again], n, length)), strict=True)))]
-                    p, fp, d1, d2 = p[first], fp[first], d1[first], d2[first]
-                cols.append((np.full(len(p), i), np.full(len(p), h), fp.view(np.int64), d1.view(np.int64), d2.view(np.int64), p, times))
+                    own += [(i, h, x, y) for x, y in merged(list(zip(a[again].tolist(), e[again].tolist(), strict=True)))]
+                    fp, a, e, d = fp[first], a[first], e[first], d[first]
+                cols.append((np.full(len(a), i), np.full(len(a), h), fp.view(np.int64), d.view(np.int64), a, e, times))
             if cols:
                 got = [np.concatenate(c) for c in zip(*cols, strict=True)]
-                yield pd.DataFrame(dict(zip(("_i", "_h", "fp", "d1", "d2", "pos", "times"), got, strict=True))).assign(upto=0)
+                yield pd.DataFrame(dict(zip(("_i", "_h", "fp", "d", "a", "e", "times"), got, strict=True)))
             if own:
-                o = pd.DataFrame(own, columns=["_i", "_h", "pos", "upto"])
+                o = pd.DataFrame(own, columns=["_i", "_h", "a", "e"])
                 none = pd.array([None] * len(o), "Int64")
-                yield o.assign(fp=none, d1=none, d2=none, times=0)[["_i", "_h", "fp", "d1", "d2", "pos", "times", "upto"]]
+                yield o.assign(fp=none, d=none, times=0)[["_i", "_h", "fp", "d", "a", "e", "times"]]
 
-    return mapped(keyed, run, "_i long, _h long, fp long, d1 long, d2 long, pos long, times long, upto long")
+    return mapped(keyed, run, "_i long, _h long, fp long, d long, a int, e int, times int")
 
 
 def _regions(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the regions that `wanted` (_i, _h, fp, d1, d2, pos, many, hot) names."""
-    per = wanted.groupBy("_i", "_h").agg(F.collect_list(F.struct("fp", "d1", "d2", "pos", "many", "hot")).alias("w"))
-    joined = keyed.join(per, ["_i", "_h"]).dropDuplicates(["_i", "_h"]).select("_i", "_h", "text", *[F.col(f"w.{c}").alias(c) for c in ("fp", "d1", "d2", "pos", "many", "hot")])
-
-    names = ["i", "h", "fp", "d1", "d2", "pos", "many", "hot", "start", "bytes"]
+    """The bytes of the regions that `wanted` (_i, _h, fp, d, a, e, many, hot) names."""
+    per = wanted.groupBy("_i", "_h").agg(F.collect_list(F.struct("fp", "d", "a", "e", "many", "hot")).alias("w"))
+    joined = keyed.join(per, ["_i", "_h"]).dropDuplicates(["_i", "_h"]).select("_i", "_h", "text", *[F.col(f"w.{c}").alias(c) for c in ("fp", "d", "a", "e", "many", "hot")])
+    names = ["i", "h", "fp", "d", "many", "hot", "start", "bytes"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows: list[tuple] = []
             for i, h, t, *cols in b.itertuples(index=False, name=None):
                 data = _text(t)
-                for fp, d1, d2, p, many, hot in zip(*cols, strict=True):
-                    a, e = max(0, p - (length - GRAM)), min(len(data), p + length)
-                    rows.append((i, h, fp, d1, d2, p, many, hot, a, data[a:e]))
-                if len(rows) > 20_000:
+                rows += [(i, h, fp, d, many, hot, a, data[a:e]) for fp, d, a, e, many, hot in zip(*cols, strict=True)]
+                if len(rows) > 5_000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    return mapped(joined, run, "i long, h long, fp long, d1 long, d2 long, pos long, many boolean, hot boolean, start long, bytes binary")
+    return mapped(joined, run, "i long, h long, fp long, d long, many boolean, hot boolean, start int, bytes binary")
 
 
 def _sorted_spans(regions: DataFrame, shards: int, length: int) -> DataFrame:
-    """Spans of regions, relative to their anchors, by suffix arrays of shards."""
+    """Spans of regions, relative to their starts, by suffix arrays of shards."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         docs = pd.MultiIndex.from_frame(b[["i", "h"]]).factorize()[0]
-        found = repeated_spans(list(b["bytes"]), list(zip(docs, b["start"], strict=True)), list(b["many"]), length)
-        rows = [(fp, d1, d2, s - p + x, s - p + y) for fp, d1, d2, p, s, spans in zip(b["fp"], b["d1"], b["d2"], b["pos"], b["start"], found, strict=True) for x, y in spans]
-        return pd.DataFrame(rows, columns=["fp", "d1", "d2", "x", "y"])
+        found = repeated_spans(list(b["bytes"]), list(zip(docs.tolist(), b["start"].tolist(), strict=True)), list(b["many"]), length)
+        rows = [(fp, d, x, y) for fp, d, spans in zip(b["fp"], b["d"], found, strict=True) for x, y in spans]
+        return pd.DataFrame(rows, columns=["fp", "d", "x", "y"])
 
     shard = F.pmod(F.xxhash64("fp"), F.lit(shards))
-    return regions.withColumn("shard", shard).groupBy("shard").applyInPandas(lambda b: run(b), "fp long, d1 long, d2 long, x long, y long")
+    return regions.withColumn("shard", shard).groupBy("shard").applyInPandas(lambda b: run(b), "fp long, d long, x int, y int")
 
 
 def _window_spans(regions: DataFrame, length: int) -> DataFrame:
@@ -354,12 +364,12 @@ def _window_spans(regions: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for r in b.itertuples(index=False):  # one row per window each
                 at = range(len(r.bytes) - length + 1)
-                d = [hashlib.blake2b(r.bytes[x : x + length], digest_size=16).digest() for x in at]
-                yield pd.DataFrame({"fp": r.fp, "d1": r.d1, "d2": r.d2, "x": [r.start - r.pos + x for x in at], "w": d, "place": [f"{r.i}:{r.h}:{r.start + x}" for x in at], "many": r.many})
+                w = [hashlib.blake2b(r.bytes[x : x + length], digest_size=16).digest() for x in at]
+                yield pd.DataFrame({"fp": r.fp, "d": r.d, "x": list(at), "w": w, "place": [f"{r.i}:{r.h}:{r.start + x}" for x in at], "many": r.many})
 
-    rows = mapped(regions, run, "fp long, d1 long, d2 long, x long, w binary, place string, many boolean")
+    rows = mapped(regions, run, "fp long, d long, x int, w binary, place string, many boolean")
     twice = rows.groupBy("w").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("many").alias("many")).where("many or lo <> hi").select("w")
-    return rows.join(twice, "w").select("fp", "d1", "d2", "x", (F.col("x") + length).alias("y"))
+    return rows.join(twice, "w").select("fp", "d", "x", (F.col("x") + length).alias("y"))
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -368,31 +378,34 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = docs.select(i.alias("_i"), h.alias("_h"), F.col("text").cast("string").alias("text"))
     found = materialize(occurrences(keyed, length))
     occ = found.where("fp is not null")
-    groups = materialize(occ.groupBy("fp", "d1", "d2").agg((F.sum("times") > 1).alias("many"), F.min(F.struct("_i", "_h", "pos")).alias("rep")))
-    crowded = groups.groupBy("fp").agg(F.count("*").alias("m")).where("m > 1").select("fp", (F.col("m") > HOT).alias("hot"))
-    wanted = groups.join(crowded, "fp").select("rep._i", "rep._h", "fp", "d1", "d2", "rep.pos", "many", "hot")
+    groups = occ.groupBy("fp", "d").agg((F.sum("times") > 1).alias("many"), F.min(F.struct("_i", "_h", "a", "e")).alias("rep"))
+    # what is met once, alone with its anchor, is repeated nowhere
+    crowds = materialize(groups.groupBy("fp").agg(F.count("*").alias("m"), F.max("many").alias("many")).where("m > 1 or many").select("fp", (F.col("m") > 1).alias("crowded"), (F.col("m") > HOT).alias("hot")))
+    groups = materialize(groups.join(crowds, "fp"))
+    wanted = groups.where("crowded").select("rep._i", "rep._h", "fp", "d", "rep.a", "rep.e", "many", "hot")
     regions = materialize(_regions(keyed, wanted, length))
-    shards = max(1, int((regions.agg(F.sum(F.octet_length("bytes"))).head()[0] or 0) // SHARD_BYTES + 1) * 2)
+    shards = max(1, int((regions.agg(F.sum(F.octet_length("bytes"))).head()[0] or 0) // SHARD_BYTES) + 1)
     some = _sorted_spans(regions.where("not hot"), shards, length).unionByName(_window_spans(regions.where("hot"), length))
     # what is known of a region holds wherever it occurs; regions that occur twice are covered whole
-    facts = some.groupBy("fp", "d1", "d2").agg(F.collect_list(F.struct("x", "y")).alias("cover"))
-    whole = groups.where("many").select("fp", "d1", "d2", F.array(F.struct(F.lit(-(length - GRAM)).cast("long").alias("x"), F.lit(length).cast("long").alias("y"))).alias("cover"))
-    covers = materialize(facts.join(whole.select("fp", "d1", "d2"), ["fp", "d1", "d2"], "left_anti").unionByName(whole))
-    placed = occ.select("_i", "_h", "fp", "d1", "d2", "pos").join(covers, ["fp", "d1", "d2"]).select("_i", "_h", F.transform("cover", lambda c: F.struct((F.col("pos") + c["x"]).alias("a"), (F.col("pos") + c["y"]).alias("b"))).alias("cut"))
-    own = found.where("fp is null").select("_i", "_h", F.array(F.struct(F.col("pos").alias("a"), F.col("upto").alias("b"))).alias("cut"))
+    whole = groups.where("many").select("fp", "d", F.lit(None).cast("array<struct<x:int,y:int>>").alias("cover"))
+    facts = some.groupBy("fp", "d").agg(F.collect_list(F.struct("x", "y")).alias("cover")).join(whole.select("fp", "d"), ["fp", "d"], "left_anti")
+    covers = materialize(facts.unionByName(whole))
+    cut = F.when(F.col("cover").isNull(), F.array(F.struct("a", "e"))).otherwise(F.transform("cover", lambda c: F.struct((F.col("a") + c["x"]).alias("a"), (F.col("a") + c["y"]).alias("e"))))
+    placed = occ.select("_i", "_h", "fp", "d", "a", "e").join(covers, ["fp", "d"]).select("_i", "_h", cut.alias("cut"))
+    own = found.where("fp is null").select("_i", "_h", F.array(F.struct("a", "e")).alias("cut"))
     return placed.unionByName(own).groupBy("_i", "_h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"))
 
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), removed (spans) per row."""
     i, h = key_columns()
-    cut = spans(docs, length).select("_i", "_h", F.col("cut.a").alias("a"), F.col("cut.b").alias("b"))
+    cut = spans(docs, length).select("_i", "_h", F.col("cut.a").alias("a"), F.col("cut.e").alias("e"))
     had = docs.select(i.alias("_i"), h.alias("_h"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(cut, ["_i", "_h"], "left").drop("_i", "_h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, t, a, e in zip(b["doc_id"], b["text"], b["a"], b["b"], strict=True):
+            for i, t, a, e in zip(b["doc_id"], b["text"], b["a"], b["e"], strict=True):
                 data = _text(t)
                 gone = merged([(max(0, int(x)), min(len(data), int(y))) for x, y in zip(a, e, strict=True)]) if a is not None else []
                 kept, at = [], 0

@@ -298,16 +298,21 @@ def test_suffix_array_and_common_prefixes():
         assert shared[i] == len(os.path.commonprefix([a, b]))
 
 
-def test_long_texts_are_cut_into_parts_without_loss(monkeypatch):
+@pytest.mark.parametrize("chunk", [1 << 20, 1500])
+def test_every_string_chooses_one_anchor(monkeypatch, chunk):
+    monkeypatch.setattr(op7_suffixes, "CHUNK", chunk)
     rng = random.Random(12)
-    data = bytes(rng.choice(b"abcdefgh") for _ in range(9000))
-    want = {int(p) for p in op7_suffixes.anchors(data)[0]}
-    monkeypatch.setattr(op7_suffixes, "CHUNK", 1500)
-    p, fp, d1, d2 = op7_suffixes.anchors(data)
-    assert want <= set(p.tolist())
-    monkeypatch.undo()
-    whole = {int(q): x for q, *x in zip(*(c.tolist() for c in op7_suffixes.anchors(data)), strict=True)}
-    assert all(whole[int(q)] == x for q, *x in zip(p, fp.tolist(), d1.tolist(), d2.tolist(), strict=True) if int(q) in whole)
+    for data in (bytes(rng.choice(b"abcdefgh") for _ in range(5000)), b"abcab" * 400, b"z" * 900 + bytes(range(256)) * 3, b"q" * 400):
+        p, fp, a, e, _ = op7_suffixes.anchors(data)
+        raw = np.frombuffer(data, np.uint8)
+        h = op7_suffixes.Rolling(raw).every(op7_suffixes.GRAM)
+        starts = Counter()
+        for q, f, x, y in zip(p.tolist(), fp, a.tolist(), e.tolist(), strict=True):
+            assert h[q] == f
+            for s in range(x, y - 400 + 1):
+                starts[s] += 1
+                assert q == s + int(h[s : s + 400 - op7_suffixes.GRAM + 1].argmin())
+        assert starts == Counter(range(len(data) - 399))
 
 
 # the pipeline
