@@ -18,7 +18,8 @@ per task. The texts of the documents move once, where the repeated lines are tak
 
 Defined results: a null text has one empty line, like an empty text. Empty lines and lines of
 white space only are never dropped or linked. Rows that repeat a doc_id and text are one document
-and get the same decisions; null ids come first. A line nearer to none than the threshold stays.
+and get the same decisions; null ids count as -1; of different texts with one id, lines at the same
+place are both first. A line nearer to none than the threshold stays.
 Empty tables give no rows; extra columns are kept by `dedup`, ignored by `query`.
 """
 
@@ -42,16 +43,24 @@ def line_hash(line: Column) -> Column:
 def lines(docs: DataFrame) -> DataFrame:
     """Every line that counts: _i, _h (its document), no (its place from 0), line."""
     i, h = key_columns()
-    at = docs.select(i.alias("_i"), h.alias("_h"), F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("no", "line"))
+    split = docs.select(i.alias("_i"), h.alias("_h"), F.split(F.coalesce(F.col("text"), F.lit("")), "\n").alias("all"))  # the text's hash once, not for each line
+    at = split.select("_i", "_h", F.posexplode("all").alias("no", "line"))
     return at.where(F.col("line").rlike(FULL))
 
 
+def place() -> Column:
+    """Where a line stands in the corpus, as one number that hash aggregation can update in place."""
+    return F.col("_i").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no").cast("decimal(10,0)")
+
+
 def distinct_lines(at: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """One row per different line: k (hash), first (where it stands first), times, c (letters), own and asked (keys it is indexed and probes under)."""
+    """One row per different line: k (hash), first (place where it stands first), times, n, c (letters), own and asked (keys it is indexed and probes under)."""
     at = at.withColumn("n", F.length("line"))  # once: each count of code points reads the line
     own, asked = keys(F.col("line"), F.col("n"), threshold, min_chars)
-    rows = at.select("_i", "_h", "no", line_hash(F.col("line")).alias("k"), "n", _letter_counts(F.col("line")).alias("c"), own.alias("own"), asked.alias("asked"))
-    return rows.groupBy("k").agg(F.min(F.struct("_i", "_h", "no")).alias("first"), F.count("*").alias("times"), *[F.first(x).alias(x) for x in ("n", "c", "own", "asked")])
+    named = {f"own{j}": c for j, c in enumerate(own)} | {f"asked{j}": c for j, c in enumerate(asked)}
+    rows = at.select(line_hash(F.col("line")).alias("k"), place().alias("p"), "n", _letter_counts(F.col("line")).alias("c"), *[c.alias(x) for x, c in named.items()])
+    got = rows.groupBy("k").agg(F.min("p").alias("first"), F.count("*").alias("times"), *[F.first(x).alias(x) for x in ("n", "c", *named)])
+    return got.select("k", "first", "times", "n", "c", F.array(*[x for x in named if x[0] == "o"]).alias("own"), F.array_distinct(F.array(*[x for x in named if x[0] == "a"])).alias("asked"))
 
 
 def _letter_counts(line: Column) -> Column:
@@ -82,10 +91,9 @@ def _key(line: Column, n: Column, i: int, start: Column, size: Column) -> Column
     return F.xxhash64(n, F.lit(i), F.substring(line, start + 1, size))
 
 
-def keys(line: Column, n: Column, threshold: int, min_chars: int) -> tuple[Column, Column]:
+def keys(line: Column, n: Column, threshold: int, min_chars: int) -> tuple[list[Column], list[Column]]:
     """What a line is indexed under, and what it probes for partners that are as long or shorter."""
-    none = F.array().cast("array<bigint>")
-    own = F.array(*[_key(line, n, i, s, z) for i, (s, z) in enumerate(_segments(n, threshold))])
+    own = [F.when(n >= min_chars, _key(line, n, i, s, z)) for i, (s, z) in enumerate(_segments(n, threshold))]
     probes = []
     for less in range(threshold + 1):  # partners are `less` code points shorter
         m = n - less
@@ -94,13 +102,13 @@ def keys(line: Column, n: Column, threshold: int, min_chars: int) -> tuple[Colum
             for shift in range(max(-before, less - after), min(before, less + after) + 1):
                 fits = (s + shift >= 0) & (s + shift + z <= n) & (m >= min_chars)
                 probes.append(F.when(fits, _key(line, m, i, s + shift, z)))
-    return F.when(n >= min_chars, own).otherwise(none), F.when(n >= min_chars, F.array_distinct(F.array(*probes))).otherwise(none)
+    return own, probes
 
 
 def edit_pairs(at: DataFrame, different: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(x, y): hashes of different lines within `threshold` edits, each pair once."""
     a = different.select(F.explode("asked").alias("s"), F.col("k").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc")).where("s is not null")
-    b = different.select(F.explode("own").alias("s"), F.col("k").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"))
+    b = different.select(F.explode("own").alias("s"), F.col("k").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc")).where("s is not null")
     near = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("x") < F.col("y")))
     likely = materialize(a.join(b, (a["s"] == b["s"]) & near & (F.col("yn") - F.col("xn") <= threshold) & _letters_agree("xc", "yc", threshold)).select("x", "y").distinct())
     wanted = likely.select(F.col("x").alias("k")).union(likely.select("y")).distinct()
@@ -117,12 +125,11 @@ def decisions(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_
     different = materialize(distinct_lines(at, threshold, min_chars))
     pairs = materialize(edit_pairs(at, different, threshold))
     both = pairs.select(F.col("x").alias("k"), F.col("y").alias("o")).union(pairs.select(F.col("y"), F.col("x")))
-    place = different.select("k", "first")
-    linked = both.join(place.withColumnRenamed("k", "o").withColumnRenamed("first", "other"), "o").groupBy("k").agg(F.min("other").alias("other"), F.count("*").alias("links"))
-    facts = place.join(different.where("times > 1").select("k", "times"), "k", "left").join(linked, "k", "left").where("times is not null or links is not null")
+    known = different.select("k", "first")
+    linked = both.join(known.withColumnRenamed("k", "o").withColumnRenamed("first", "other"), "o").groupBy("k").agg(F.min("other").alias("other"), F.count("*").alias("links"))
+    facts = known.join(different.where("times > 1").select("k", "times"), "k", "left").join(linked, "k", "left").where("times is not null or links is not null")
     facts = facts.select("k", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
-    mine = F.struct("_i", "_h", "no")
-    return at.select("_i", "_h", "no", line_hash(F.col("line")).alias("k")).join(facts, "k").select("_i", "_h", "no", (F.col("near") | (F.col("first") != mine)).alias("gone"), "links")
+    return at.select("_i", "_h", "no", line_hash(F.col("line")).alias("k")).join(facts, "k").select("_i", "_h", "no", (F.col("near") | (F.col("first") != place())).alias("gone"), "links")
 
 
 def marked(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
