@@ -45,3 +45,21 @@ def test_every_query_has_an_oracle():
 
 def test_entry(spark):
     assert sorted(entry_point.entry(spark).groupBy("role").count().collect()) == [("border", 64), ("core", 112), ("none", 24)]
+
+
+def test_works_without_the_corpus_operators():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == "meshwork.llm":
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+assert e.corpus is None and "clustering" in e.queries() and not any(n.startswith("op") and n[2].isdigit() for n in e.oracle_sql())
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
