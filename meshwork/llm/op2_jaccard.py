@@ -10,7 +10,8 @@ would only repeat them, or the tree is `DEPTH` deep: those are compared in block
 spread over tasks. A pair is compared in one place only: where the sampled coordinates before the
 child's all differ. Pairs whose signatures agree enough are verified on the full sets.
 
-Scale: texts are read twice, and shuffled once to fetch the sets of those that have a partner.
+Scale: texts are read twice; the second time, to fetch the sets of those that have a partner, they
+are shuffled unless the list of those is below `BROADCAST_BYTES` (measured).
 Otherwise what moves are hashes, and signatures of sets that share a bucket. Links are never
 shuffled: each bucket sends one row per set, with its number of links and the least set it is
 linked to. Equal texts collapse on the map side.
@@ -37,11 +38,12 @@ from meshwork.operators.components import connected_components
 from .common import key_columns, mapped, materialize, table, wrapped
 
 WORDS, THRESHOLD = 5, 0.8
-T, RECALL = 64, 1 - 1e-6
+T, RECALL = 64, 1 - 1e-6  # T is also the bits of a mask of coordinates
 #: Agreeing coordinates that a pair must have to be verified; of pairs at the threshold, 1 in 100,000 has fewer.
 AGREE = 36
 BUCKET, DENSE, DEPTH = 4096, 0.4, 4
 SHARD_ROWS = 10_000
+BROADCAST_BYTES = 16 << 20
 EMPTY = np.uint32(0xFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -166,6 +168,16 @@ def sketches(docs: DataFrame) -> DataFrame:
     return mapped(had, run, "doc_id long, _i long, _h long, d1 long, d2 long, n long, sig binary")
 
 
+def _places(mask: int) -> tuple[int, ...]:
+    """The coordinates of a 64-bit mask."""
+    return tuple(c for c in range(T) if mask >> c & 1)
+
+
+def _signed(mask: int) -> int:
+    mask %= 1 << 64
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def _children(nodes: DataFrame) -> DataFrame:
     """Members of each node (path, differ, d1, d2, sig) dealt to its children: the same columns but sig, with path replaced, parent and depth."""
 
@@ -174,17 +186,17 @@ def _children(nodes: DataFrame) -> DataFrame:
             for (path, used), at in b.groupby(["path", "used"]).indices.items():
                 part = b.iloc[at]
                 sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(len(part), T)
-                differ, taken = list(part["differ"].iloc[0]), tuple(int(c) for c in used.split(",") if c)
-                chosen = sampled(int(path), used=taken)
-                for k, c in enumerate(chosen):
-                    yield pd.DataFrame({"parent": path, "path": child_key(int(path), c, sig[:, c]), "differ": [differ + chosen[:k]] * len(part), "used": ",".join(map(str, sorted({*taken, c}))), "d1": part["d1"].to_numpy(), "d2": part["d2"].to_numpy()})
+                differ = int(part["differ"].iloc[0])
+                for c in sampled(int(path), used=_places(int(used))):
+                    yield pd.DataFrame({"parent": path, "path": child_key(int(path), c, sig[:, c]), "differ": _signed(differ), "used": _signed(int(used) | 1 << c), "d1": part["d1"].to_numpy(), "d2": part["d2"].to_numpy()})
+                    differ |= 1 << c
 
-    return mapped(nodes, run, "parent long, path long, differ array<int>, used string, d1 long, d2 long")
+    return mapped(nodes, run, "parent long, path long, differ long, used long, d1 long, d2 long")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
     """Where sets meet: path, differ, x, y (blocks to compare), block (the member's), d1, d2."""
-    root = classes.select(F.lit(0).cast("long").alias("path"), F.array().cast("array<int>").alias("differ"), F.lit("").alias("used"), "d1", "d2", "sig")
+    root = classes.select(*[F.lit(0).cast("long").alias(c) for c in ("path", "differ", "used")], "d1", "d2", "sig")
     leaves = None
     for depth in range(1, DEPTH + 1):
         dealt = materialize(_children(root))
@@ -212,8 +224,7 @@ def _pairs(b: pd.DataFrame, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
     """Places of the pairs of a shard that are this bucket's to compare and agree enough. Rows in order of path, x, y."""
     where = b[["path", "x", "y"]].to_numpy()
     group = np.cumsum(np.r_[False, (where[1:] != where[:-1]).any(1)]) if len(b) else np.zeros(0, int)
-    masks: dict[tuple, np.ndarray] = {}
-    differ = np.stack([masks.setdefault(tuple(d), np.isin(np.arange(T), np.array(d, int))) for d in b["differ"]]) if len(b) else np.zeros((0, T), bool)
+    differ = (b["differ"].to_numpy(np.int64)[:, None] >> np.arange(T)) & 1 > 0
     block, cross = b["block"].to_numpy(), (b["x"] != b["y"]).to_numpy()
     left = np.arange(len(b))
     for d in range(1, len(b)):
@@ -246,13 +257,14 @@ def promising(met: DataFrame, classes: DataFrame) -> DataFrame:
         return b.loc[keep, ["path", "differ", "x", "y", "block", "d1", "d2"]]
 
     full = _sharded(met, met.count()).join(classes.select("d1", "d2", "sig"), ["d1", "d2"])
-    return full.groupBy("shard").applyInPandas(lambda b: run(b), "path long, differ array<int>, x int, y int, block int, d1 long, d2 long")
+    return full.groupBy("shard").applyInPandas(lambda b: run(b), "path long, differ long, x int, y int, block int, d1 long, d2 long")
 
 
 def verified(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Per bucket and set: d1, d2, links (sets at least THRESHOLD similar), r1, r2 (the least set linked to it there)."""
     i, h = key_columns()
-    need = wanted.select("d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("d1", "d2", "rep._i", "rep._h")
+    need = materialize(wanted.select("d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("d1", "d2", "rep._i", "rep._h"))
+    need = F.broadcast(need) if need.count() * 64 <= BROADCAST_BYTES else need
     texts = docs.select(i.alias("_i"), h.alias("_h"), F.col("text").cast("string").alias("text")).join(need, ["_i", "_h"]).dropDuplicates(["d1", "d2"]).select("d1", "d2", "text")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
