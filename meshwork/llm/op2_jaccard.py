@@ -315,7 +315,8 @@ def verified(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
         rows = [(*d[k], int(links[k]), *least[find(k)]) for k in range(len(b)) if links[k]]
         return pd.DataFrame(rows, columns=["d1", "d2", "links", "r1", "r2"])
 
-    full = _sharded(wanted, wanted.count()).join(sets, ["d1", "d2"])
+    # full sets are larger than signatures: a fifth of the rows in a shard
+    full = _sharded(wanted, 5 * wanted.count()).join(sets, ["d1", "d2"])
     return full.groupBy("shard").applyInPandas(lambda b: run(b), "d1 long, d2 long, links long, r1 long, r2 long")
 
 
