@@ -40,9 +40,20 @@ def wrapped(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), i.alias("_i"), h.alias("_h"))
 
 
+#: Measured size up to which a table of decisions is sent to every executor instead of moving the texts.
+BROADCAST_BYTES = 16 << 20
+
+
+def bounded(df: DataFrame, row_bytes: Column | int = 64) -> DataFrame:
+    """`df`, written, to be joined to texts: by broadcast if its measured size allows, else by shuffle."""
+    kept = materialize(df)
+    size = kept.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).head()[0] or 0
+    return F.broadcast(kept) if size <= BROADCAST_BYTES else kept
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of `docs` whose document is not in `gone` (_i, _h), columns kept."""
-    return wrapped(docs).join(gone.select("_i", "_h").distinct(), ["_i", "_h"], "left_anti").select("doc.*")
+    return wrapped(docs).join(bounded(gone.select("_i", "_h").distinct()), ["_i", "_h"], "left_anti").select("doc.*")
 
 
 #: Rows that a Python worker holds at a time: texts are long, and two workers share an executor's memory.

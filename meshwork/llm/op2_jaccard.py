@@ -11,7 +11,7 @@ spread over tasks. A pair is compared in one place only: where the sampled coord
 child's all differ. Pairs whose signatures agree enough are verified on the full sets.
 
 Scale: texts are read twice; the second time, to fetch the sets of those that have a partner, they
-are shuffled unless the list of those is below `BROADCAST_BYTES` (measured).
+are shuffled only if the list of those is too long to broadcast (measured).
 Otherwise what moves are hashes, and signatures of sets that share a bucket. Links are never
 shuffled: each bucket sends one row per set, with its number of links and the least set it is
 linked to. Equal texts collapse on the map side.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from meshwork.operators.components import connected_components
 
-from .common import key_columns, mapped, materialize, table, wrapped
+from .common import bounded, key_columns, mapped, materialize, table, without, wrapped
 
 WORDS, THRESHOLD = 5, 0.8
 T, RECALL = 64, 1 - 1e-6  # T is also the bits of a mask of coordinates
@@ -43,7 +43,6 @@ T, RECALL = 64, 1 - 1e-6  # T is also the bits of a mask of coordinates
 AGREE = 36
 BUCKET, DENSE, DEPTH = 4096, 0.4, 4
 SHARD_ROWS = 10_000
-BROADCAST_BYTES = 16 << 20
 EMPTY = np.uint32(0xFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -263,8 +262,7 @@ def promising(met: DataFrame, classes: DataFrame) -> DataFrame:
 def verified(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Per bucket and set: d1, d2, links (sets at least THRESHOLD similar), r1, r2 (the least set linked to it there)."""
     i, h = key_columns()
-    need = materialize(wanted.select("d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("d1", "d2", "rep._i", "rep._h"))
-    need = F.broadcast(need) if need.count() * 64 <= BROADCAST_BYTES else need
+    need = bounded(wanted.select("d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("d1", "d2", "rep._i", "rep._h"))
     texts = docs.select(i.alias("_i"), h.alias("_h"), F.col("text").cast("string").alias("text")).join(need, ["_i", "_h"]).dropDuplicates(["d1", "d2"]).select("d1", "d2", "text")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -340,10 +338,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs`, columns kept, without all but the least document of each group; rows without words stay."""
-    found = groups(docs).where("n_shingles > 0").select("_i", "_h", (F.col("rep") != F.struct("_i", "_h")).alias("gone")).distinct()
-    joined = wrapped(docs).join(found, ["_i", "_h"], "left")
-    alone = joined.where("gone is null").select("doc")
-    return joined.where("not gone").dropDuplicates(["_i", "_h"]).select("doc").unionAll(alone).select("doc.*")
+    found = materialize(groups(docs).where("n_shingles > 0").groupBy("_i", "_h").agg(F.first(F.col("rep") != F.struct("_i", "_h")).alias("gone"), F.count("*").alias("n")))
+    again = bounded(found.where("n > 1 and not gone").select("_i", "_h"))  # kept, but their rows repeat
+    once = without(docs, found.where("gone or n > 1"))
+    return once.unionByName(wrapped(docs).join(again, ["_i", "_h"], "left_semi").dropDuplicates(["_i", "_h"]).select("doc.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

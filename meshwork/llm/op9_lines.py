@@ -14,7 +14,8 @@ Scale: what is shuffled for the join is a fixed number of rows of a few numbers
 line, never the lines' texts; texts are fetched by hash for candidates only (the wanted hashes are
 broadcast up to `BROADCAST_BYTES`, measured; beyond that the lines are shuffled by hash). Equal
 lines are counted on the map side first, so one line that fills a third of the corpus is one row
-per task. The texts of the documents move once, where the repeated lines are taken out.
+per task. The texts of the documents move only if the table of decisions is too large to broadcast
+(measured).
 
 Defined results: a null text has one empty line, like an empty text. Empty lines and lines of
 white space only are never dropped or linked. Rows that repeat a doc_id and text are one document
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_columns, materialize, table, wrapped
+from .common import bounded, key_columns, materialize, table, wrapped
 
 THRESHOLD, MIN_CHARS = 1, 20
 BROADCAST_BYTES = 32 << 20
@@ -135,6 +136,7 @@ def decisions(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_
 def marked(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc (all columns of `docs`), gone (places of the lines that go; null or empty for none), links, text without them."""
     per = decisions(docs, threshold, min_chars).distinct().groupBy("_i", "_h").agg(F.collect_list(F.when(F.col("gone"), F.col("no"))).alias("gone"), F.sum("links").alias("links"))
+    per = bounded(per, F.size("gone") * 4 + 64)
     parts = F.split(F.coalesce(F.col("doc.text"), F.lit("")), "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
     joined = wrapped(docs).join(per, ["_i", "_h"], "left").withColumn("any", F.coalesce(F.size("gone"), F.lit(0)) > 0)
