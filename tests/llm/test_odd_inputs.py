@@ -162,3 +162,14 @@ def test_pipeline_stages(spark, odd, labels, items, tmp_path):
         assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
     odd.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+@pytest.mark.parametrize("stage", ["quality", "lines", "near_duplicates", "decontamination"])
+def test_stages_at_any_size(odd, labels, items, monkeypatch, stage):
+    """The same rows whether decisions are broadcast or texts are shuffled."""
+    from meshwork.llm import common
+
+    run = {"quality": lambda: op3_quality.keep(odd, labels), "lines": lambda: op9_lines.dedup(odd), "near_duplicates": lambda: op2_jaccard.keep_one(odd), "decontamination": lambda: op5_decontaminate.decontaminate(odd, items)}[stage]
+    want = collected(run())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert collected(run()) == want
