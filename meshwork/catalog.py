@@ -136,6 +136,7 @@ def queries() -> dict:
         "foreign_requests": g(lambda e, v: L.foreign_requests(e, v, EPS, _offsets(v))),
         "source_index_sizes": g(lambda e, v: L.source_index(e, v, EPS, _offsets(v))),
         "balanced_ranges": g(lambda e, v: L.balanced_ranges(graph.degrees(e, v), PARTS)),
+        "balanced_sources": g(lambda e, v: L.balanced_ranges(L.source_index(e, v, EPS, _offsets(v)).where("p = 0").select("v", F.col("sum_degree").alias("deg")), PARTS)),
         "dense_numbers": s(lambda sim, n, core, e: L.positions(core, [], ["v"], "k").select("v", (F.col("k") - 1).alias("k"))),
     }
 
@@ -202,8 +203,8 @@ def _cross(parts: int) -> str:
     return f"x AS (SELECT src, dst, {_part('src', parts)} AS p, {_part('dst', parts)} AS q FROM e, nv), own(p, q, owner) AS (VALUES {table})"
 
 
-def _balanced(parts: int = PARTS) -> str:
-    sql = "k AS (SELECT row_number() OVER (ORDER BY v) AS k, sum(deg) OVER (ORDER BY v) AS upto FROM d), z AS (SELECT 0 AS k, 0 AS upto UNION ALL SELECT k, upto FROM k), t AS (SELECT max(upto) AS total, max(k) AS n FROM z), r0 AS (SELECT 0 AS ed, 0 AS done)"
+def _balanced(weights: str = "d", parts: int = PARTS) -> str:
+    sql = "k AS (SELECT row_number() OVER (ORDER BY v) AS k, sum(deg) OVER (ORDER BY v) AS upto FROM " + weights + "), z AS (SELECT 0 AS k, 0 AS upto UNION ALL SELECT k, upto FROM k), t AS (SELECT max(upto) AS total, max(k) AS n FROM z), r0 AS (SELECT 0 AS ed, 0 AS done)"
     for i in range(1, parts):
         sql += f", r{i} AS (SELECT min(z.k) AS ed, min(z.upto) AS done FROM z, t, r{i - 1} p WHERE z.k >= p.ed AND z.upto >= p.done + (t.total - p.done) // {parts - i + 1})"
     rows = [f"SELECT {i - 1} AS i, p.ed AS st, q.ed AS ed, q.done - p.done AS weight FROM r{i - 1} p, r{i} q" for i in range(1, parts)]
@@ -258,8 +259,9 @@ def oracle_sql() -> dict:
         "local_edges": q(f"SELECT src, dst, {_part('src')} AS p, {_part('dst')} AS q, {_part('src')} = {_part('dst')} AS local FROM e, nv"),
         "ring_owner": q("SELECT src, dst, p, q, owner FROM x JOIN own USING (p, q) WHERE src < dst", f"{base}{_cross(PARTS)}, "),
         "ring_owner_odd": q("SELECT src, dst, p, q, owner FROM x JOIN own USING (p, q) WHERE src < dst", f"{base}{_cross(5)}, "),
-        "foreign_requests": q("SELECT p, q, count(DISTINCT dst) AS n_vertices FROM f GROUP BY p, q", f"{base}{asked}, "),
+        "foreign_requests": q("SELECT p, q, count(*) AS n_vertices, CAST(sum(deg) AS BIGINT) AS n_edges FROM (SELECT DISTINCT p, q, dst FROM f) JOIN d ON d.v = dst GROUP BY p, q", f"{base}{asked}, "),
         "source_index_sizes": q("SELECT p, dst AS v, count(*) AS n_sources, CAST(sum(deg) AS BIGINT) AS sum_degree FROM f JOIN d ON d.v = f.src GROUP BY p, dst", f"{base}{asked}, "),
         "balanced_ranges": f"{base}{_balanced()}",
+        "balanced_sources": f"{base}{asked}, y0 AS (SELECT dst AS v, sum(deg) AS deg FROM f JOIN d ON d.v = f.src WHERE p = 0 GROUP BY dst), {_balanced('y0')}",
         "dense_numbers": q("SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM core"),
     }

@@ -87,8 +87,9 @@ def owned_cross_edges(edges: DataFrame, vertices: DataFrame, eps: float, offsets
 
 
 def foreign_requests(edges: DataFrame, vertices: DataFrame, eps: float, offsets: list[int]) -> DataFrame:
-    """(p, q, n_vertices): how many vertices of q partition p needs the neighbours of."""
-    return owned_cross_edges(edges, vertices, eps, offsets).select("p", "q", "dst").distinct().groupBy("p", "q").agg(F.count("*").alias("n_vertices"))
+    """(p, q, n_vertices, n_edges): how many vertices of q partition p needs the neighbours of, and how many those are."""
+    asked = owned_cross_edges(edges, vertices, eps, offsets).select("p", "q", "dst").distinct()
+    return asked.join(degrees(edges, vertices).withColumnRenamed("v", "dst"), "dst").groupBy("p", "q").agg(F.count("*").alias("n_vertices"), F.sum("deg").alias("n_edges"))
 
 
 def source_index(edges: DataFrame, vertices: DataFrame, eps: float, offsets: list[int]) -> DataFrame:
