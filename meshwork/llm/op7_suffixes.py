@@ -40,8 +40,8 @@ from .common import key_columns, mapped, materialize, table
 
 LENGTH, GRAM = 400, 128
 HOT = 20_000
-SHARD_BYTES = 2 << 20
-CHUNK = 1 << 20
+SHARD_BYTES = 1 << 20
+CHUNK, BUFFER = 1 << 20, 1 << 19  # bytes worked on at a time
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -82,26 +82,27 @@ def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def _chosen(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the windows of w places: the first place of the least value, and the first and last window
-    that chose it, run by run."""
-    least = _window_minima(h, w)
-    begin = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    end = np.r_[begin[1:], len(least)]
-    value = least[begin]
-    at = np.flatnonzero(np.isin(h, value))
-    order = np.lexsort((at, h[at]))
-    sorted_h, sorted_at = h[at][order], at[order]
+def _runs(least: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window, and window after the last, of each run of valid windows with one least value."""
+    before = np.r_[False, valid[:-1]]
+    new = valid & (~before | np.r_[True, least[1:] != least[:-1]])
+    stops = np.flatnonzero(new | (~valid & before))
+    begin = np.flatnonzero(new)
+    return begin, np.r_[stops, len(least)][np.searchsorted(stops, begin) + 1]
+
+
+def _chosen(h: np.ndarray, w: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first place of the least value of windows of w places, and the first and last window that
+    chose it, run by run; windows that are not valid choose nothing."""
+    begin, end = _runs(_window_minima(h, w), valid)
     out = []
     while len(begin):
-        # the first place from `begin` on that has the run's value
-        k = np.searchsorted(sorted_h, value)
-        while (late := sorted_at[k] < begin).any():
-            k[late] += 1
-        p = sorted_at[k]
+        p = begin + h[begin[:, None] + np.arange(w)].argmin(1)
         out.append((p, begin, np.minimum(end, p + 1)))
-        more = p + 1 < end  # windows beyond it chose the next such place
-        begin, end, value = p[more] + 1, end[more], value[more]
+        more = p + 1 < end  # windows beyond it chose the next place of that value
+        begin, end = p[more] + 1, end[more]
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
     p, x, y = (np.concatenate(c) for c in zip(*out, strict=True))
     o = np.argsort(p, kind="stable")
     p, x, y = p[o], x[o], y[o]
@@ -109,22 +110,47 @@ def _chosen(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return p[first], np.minimum.reduceat(x, first), np.maximum.reduceat(y, first) - 1
 
 
-def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Anchors of a text: place, hash, region (start, end) and the region's hash."""
-    raw, out = np.frombuffer(data, np.uint8), []
-    n = len(raw)
-    for s in range(0, n, CHUNK) if n >= length else ():
-        # a part holds the strings that start in it; what chose one anchor may be split at its ends
-        part = raw[s : s + CHUNK + length - 1]
-        if len(part) < length:
-            continue
-        roll = Rolling(part)
-        h = roll.every(GRAM)
-        p, x, y = _chosen(h, length - GRAM + 1)
-        y += length
-        out.append((p + s, h[p], x + s, y + s, roll(x, y) ^ ((p - x).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))))
+def _anchors(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """For all parts at once: part, anchor, its hash, region (start, end) and the region's hash."""
+    sizes = np.array([len(p) for p in parts], np.int64)
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    roll = Rolling(data)
+    h, w = roll.every(GRAM), length - GRAM + 1
+    valid = np.zeros(len(h) - w + 1, bool)
+    begins = np.cumsum(sizes) - sizes
+    for b, n in zip(begins.tolist(), sizes.tolist(), strict=True):
+        valid[b : b + n - length + 1] = True
+    p, x, y = _chosen(h, w, valid)
+    y += length
+    part = np.searchsorted(begins, x, "right") - 1
+    d = roll(x, y) ^ ((p - x).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    return part, p - begins[part], h[p], x - begins[part], y - begins[part], d
+
+
+def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Anchors of texts: text, place, hash, region (start, end) and the region's hash. Texts are
+    worked on together, long ones in parts that hold the strings that start there; what chose one
+    anchor may be split at their ends."""
+    out, parts, size = [], [], 0
+
+    def flush() -> None:
+        if parts:
+            part, p, fp, a, e, d = _anchors([c for _, _, c in parts], length)
+            text, offset = np.array([k for k, _, _ in parts])[part], np.array([s for _, s, _ in parts])[part]
+            out.append((text, p + offset, fp, a + offset, e + offset, d))
+            parts.clear()
+
+    for k, t in enumerate(texts):
+        for s in range(0, len(t) - length + 1, CHUNK):
+            c = t[s : s + CHUNK + length - 1]
+            parts.append((k, s, c))
+            size += len(c)
+            if size > BUFFER:
+                flush()
+                size = 0
+    flush()
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, np.int64, np.uint64))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -141,22 +167,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def suffix_array(text: np.ndarray, ends: np.ndarray, upto: int) -> np.ndarray:
     """Suffixes in order of their first `upto` bytes or more, ties by place; each ends where its region does."""
     n = len(text)
-    place, room = np.arange(n), ends - np.arange(n)
+    room = (ends - np.arange(n)).astype(np.int32)
     key = np.zeros(n, np.uint64)
     for k in range(7):  # seven bytes of nine bits: 0 is the end
-        sym = np.zeros(n, np.uint64)
-        sym[: n - k] = text[k:].astype(np.uint64) + np.uint64(1)
-        sym[room <= k] = 0
-        key = (key << np.uint64(9)) | sym
-    order = np.argsort(key, kind="stable")
-    rank = np.zeros(n, np.int64)
-    rank[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
-    del key
+        key <<= np.uint64(9)
+        here = room[: n - k] > k
+        key[: n - k][here] |= text[k:][here].astype(np.uint64) + np.uint64(1)
+    order = np.argsort(key, kind="stable").astype(np.int32)
     # a group's number is the place of its first suffix in the order, so groups refine in place
-    starts = np.r_[0, np.flatnonzero(np.diff(rank[order])) + 1]
+    starts = np.flatnonzero(np.r_[True, key[order[1:]] != key[order[:-1]]]).astype(np.int32)
+    del key
+    rank = np.empty(n, np.int32)
     rank[order] = np.repeat(starts, np.diff(np.r_[starts, n]))
     h = 7
-    slot = place.copy()  # places in the order that are not settled
+    slot = np.arange(n, dtype=np.int32)  # places in the order that are not settled
     while h < upto and len(slot):
         r = rank[order[slot]]
         same = np.r_[r[1:] == r[:-1], False]
@@ -169,8 +193,7 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, upto: int) -> np.ndarray:
         o = np.argsort(two, kind="stable")
         s, two = s[o], two[o]
         order[slot] = s
-        new = np.r_[True, two[1:] != two[:-1]]
-        at = np.flatnonzero(new)
+        at = np.flatnonzero(np.r_[True, two[1:] != two[:-1]])
         rank[s] = np.repeat(slot[at], np.diff(np.r_[at, len(s)]))
         h *= 2
     return order
@@ -180,14 +203,13 @@ def common_prefixes(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray, end
     """Bytes (up to `most`) that each suffix shares with the one before it in the order. Kasai's
     rule: from one place to the next within a region it falls by one at most."""
     n = len(text)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    before = np.where(rank > 0, order[np.maximum(rank - 1, 0)], -1)
+    before = np.empty(n, np.int32)
+    before[order] = np.r_[np.int32(-1), order[:-1]]
     pad = np.concatenate([text, np.zeros(8, np.uint8)])
     eight = np.zeros(n, np.uint64)
     for k in range(8):
         eight |= pad[k : k + n].astype(np.uint64) << np.uint64(8 * k)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     h = np.zeros(len(begins), np.int64)
     for step in range(int(sizes.max()) if len(sizes) else 0):
         live = np.flatnonzero(sizes > step)
@@ -255,21 +277,27 @@ def repeated_spans(regions: list[bytes], absolute: list[tuple[int, int]], many:
     out: list[list[tuple[int, int]]] = [[] for _ in regions]
     if not len(sizes) or sizes.max() < length:
         return out
-    text = np.frombuffer(b"".join(regions), np.uint8)
     begins, valid = _starts(sizes), np.maximum(0, sizes - length + 1)
     owner = np.repeat(np.arange(len(sizes)), valid)
-    at = begins[owner] + np.arange(len(owner)) - _starts(valid)[owner]  # where a string of `length` can start
+    at = np.arange(len(owner)) - _starts(valid)[owner]  # where in its region a string of `length` can start
+    keys, k = [], 0
+    while k < len(sizes):  # in blocks of regions
+        m = max(k + 1, int(np.searchsorted(begins, begins[k] + BUFFER)))
+        rows = slice(int(valid[:k].sum()), int(valid[:m].sum()))
+        start = begins[owner[rows]] - begins[k] + at[rows]
+        keys.append(Rolling(np.frombuffer(b"".join(regions[k:m]), np.uint8))(start, start + length))
+        k = m
+    key = np.concatenate(keys)
     spot = np.array([(a << 40) + b for a, b in absolute], np.int64)
     flags = np.array(many, bool)
-    key = Rolling(text)(at, at + length)
     order = np.argsort(key)
     first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-    good = np.repeat(_several(order, first, spot[owner] + at - begins[owner], flags[owner]), np.diff(np.r_[first, len(order)]))
+    good = np.repeat(_several(order, first, spot[owner] + at, flags[owner]), np.diff(np.r_[first, len(order)]))
     hit = np.sort(order[good])
     if not len(hit):
         return out
     mine, begin = np.unique(owner[hit], return_index=True)
-    lo, hi = at[hit[begin]] - begins[mine], at[hit[np.r_[begin[1:], len(hit)] - 1]] - begins[mine] + length
+    lo, hi = at[hit[begin]], at[hit[np.r_[begin[1:], len(hit)] - 1]] + length
     pieces: dict[bytes, list] = {}  # content -> its place, whether it has several, the regions that hold it
     for r, x, y in zip(mine.tolist(), lo.tolist(), hi.tolist(), strict=True):
         place = int(spot[r]) + x
@@ -296,25 +324,21 @@ def occurrences(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cols, own = [], []
-            for i, h, t in zip(b["_i"], b["_h"], b["text"], strict=True):
-                data = _text(t)
-                if len(data) < length:
-                    continue
-                _, fp, a, e, d = anchors(data, length)
-                times = np.ones(len(a), np.int64)
-                if len(np.unique(d)) < len(d):  # a region that comes again within the text
-                    o = np.lexsort((a, d, fp))
-                    fp, a, e, d = fp[o], a[o], e[o], d[o]
-                    first = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (d[1:] != d[:-1])])
-                    times = np.diff(np.r_[first, len(a)])
-                    again = np.repeat(times > 1, times)
-                    own += [(i, h, x, y) for x, y in merged(list(zip(a[again].tolist(), e[again].tolist(), strict=True)))]
-                    fp, a, e, d = fp[first], a[first], e[first], d[first]
-                cols.append((np.full(len(a), i), np.full(len(a), h), fp.view(np.int64), d.view(np.int64), a, e, times))
-            if cols:
-                got = [np.concatenate(c) for c in zip(*cols, strict=True)]
-                yield pd.DataFrame(dict(zip(("_i", "_h", "fp", "d", "a", "e", "times"), got, strict=True)))
+            text, _, fp, a, e, d = anchors([_text(t) for t in b["text"]], length)
+            if not len(text):
+                continue
+            o = np.lexsort((a, d, fp, text))
+            text, fp, a, e, d = text[o], fp[o], a[o], e[o], d[o]
+            # a region that comes again within its text is repeated there; one row stands for it
+            first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (fp[1:] != fp[:-1]) | (d[1:] != d[:-1])])
+            times = np.diff(np.r_[first, len(text)])
+            again = np.flatnonzero(np.repeat(times > 1, times))
+            ids, hashes = b["_i"].to_numpy(), b["_h"].to_numpy()
+            yield pd.DataFrame({"_i": ids[text[first]], "_h": hashes[text[first]], "fp": fp[first].view(np.int64), "d": d[first].view(np.int64), "a": a[first], "e": e[first], "times": times})
+            own = []
+            for k in np.unique(text[again]):
+                mine = again[text[again] == k]
+                own += [(ids[k], hashes[k], x, y) for x, y in merged(list(zip(a[mine].tolist(), e[mine].tolist(), strict=True)))]
             if own:
                 o = pd.DataFrame(own, columns=["_i", "_h", "a", "e"])
                 none = pd.array([None] * len(o), "Int64")
