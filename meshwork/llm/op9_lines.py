@@ -54,6 +54,12 @@ def place() -> Column:
     return F.col("_i").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no").cast("decimal(10,0)")
 
 
+def _document(p: Column) -> Column:
+    """The document id of a place."""
+    size = F.lit(1 << 31).cast("decimal(10,0)")
+    return ((p - F.pmod(p, size)) / size).cast("long")
+
+
 def distinct_lines(at: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     """One row per different line: k (hash), first (place where it stands first), times, n, c (letters), own and asked (keys it is indexed and probes under)."""
     at = at.withColumn("n", F.length("line"))  # once: each count of code points reads the line
@@ -121,7 +127,7 @@ def edit_pairs(at: DataFrame, different: DataFrame, threshold: int = THRESHOLD)
 
 
 def decisions(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Lines with a decision to make: _i, _h, no, gone (it goes), links (different lines within the threshold)."""
+    """Lines with a decision to make: _i, _h, no, gone (it goes), links (different lines within the threshold), kept_in (id of the document that keeps its like)."""
     at = lines(docs)
     different = materialize(distinct_lines(at, threshold, min_chars))
     pairs = materialize(edit_pairs(at, different, threshold))
@@ -129,18 +135,18 @@ def decisions(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_
     known = different.select("k", "first")
     linked = both.join(known.withColumnRenamed("k", "o").withColumnRenamed("first", "other"), "o").groupBy("k").agg(F.min("other").alias("other"), F.count("*").alias("links"))
     facts = known.join(different.where("times > 1").select("k", "times"), "k", "left").join(linked, "k", "left").where("times is not null or links is not null")
-    facts = facts.select("k", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
-    return at.select("_i", "_h", "no", line_hash(F.col("line")).alias("k")).join(facts, "k").select("_i", "_h", "no", (F.col("near") | (F.col("first") != place())).alias("gone"), "links")
+    facts = facts.select("k", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("near"), F.coalesce("links", F.lit(0)).alias("links"), _document(F.least("first", "other")).alias("kept_in"))
+    return at.select("_i", "_h", "no", line_hash(F.col("line")).alias("k")).join(facts, "k").select("_i", "_h", "no", (F.col("near") | (F.col("first") != place())).alias("gone"), "links", "kept_in")
 
 
 def marked(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc (all columns of `docs`), gone (places of the lines that go; null or empty for none), links, text without them."""
-    per = decisions(docs, threshold, min_chars).distinct().groupBy("_i", "_h").agg(F.collect_list(F.when(F.col("gone"), F.col("no"))).alias("gone"), F.sum("links").alias("links"))
-    per = bounded(per, F.size("gone") * 4 + 64)
+    """doc (all columns of `docs`), gone (places of the lines that go; null or empty for none), links, kept_in (documents that keep their like), text without them."""
+    per = decisions(docs, threshold, min_chars).distinct().groupBy("_i", "_h").agg(F.collect_list(F.when(F.col("gone"), F.col("no"))).alias("gone"), F.sum("links").alias("links"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("kept_in")))).alias("kept_in"))
+    per = bounded(per, F.size("gone") * 4 + F.size("kept_in") * 8 + 64)
     parts = F.split(F.coalesce(F.col("doc.text"), F.lit("")), "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
     joined = wrapped(docs).join(per, ["_i", "_h"], "left").withColumn("any", F.coalesce(F.size("gone"), F.lit(0)) > 0)
-    return joined.select("doc", "gone", "links", "any", F.when(F.col("any"), kept).otherwise(F.col("doc.text")).alias("kept"))
+    return joined.select("doc", "gone", "links", "kept_in", "any", F.when(F.col("any"), kept).otherwise(F.col("doc.text")).alias("kept"))
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -153,7 +159,7 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHAR
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = F.size(F.split(F.coalesce(F.col("doc.text"), F.lit("")), "\n")).cast("long")
-    return marked(docs).select("doc.doc_id", n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"), F.coalesce("links", F.lit(0)).alias("n_links"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    return marked(docs).select("doc.doc_id", n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce(F.array_join("kept_in", ","), F.lit("")).alias("kept_in"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = rf"""
@@ -166,9 +172,9 @@ w AS (SELECT line, first, length(line) AS n FROM u WHERE length(line) >= {MIN_CH
 e AS (SELECT a.line AS a, b.line AS b, a.first AS af, b.first AS bf FROM w a JOIN w b ON b.n BETWEEN a.n AND a.n + {THRESHOLD} AND a.line <> b.line AND (a.n < b.n OR a.line < b.line)
       WHERE (substr(a.line, 1, a.n // 3) = substr(b.line, 1, a.n // 3) OR right(a.line, a.n // 3) = right(b.line, a.n // 3) OR a.n < 200) AND levenshtein(a.line, b.line) <= {THRESHOLD}),
 s AS (SELECT a AS line, af AS first, bf AS other FROM e UNION ALL SELECT b, bf, af FROM e),
-f AS (SELECT line, count(*) AS links, min(other) < min(first) AS near FROM s GROUP BY line),
-g AS (SELECT c.i, c.text, c.no, coalesce(f.near, false) OR u.first <> (c.i, c.no) AS gone, coalesce(f.links, 0) AS links FROM c JOIN u USING (line) LEFT JOIN f USING (line)),
-k AS (SELECT i, text, list(no) FILTER (WHERE gone) AS gone, sum(links) AS links FROM g GROUP BY i, text)
-SELECT doc_id, CAST(len(string_split(coalesce(o.text, ''), chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(len(k.gone), 0) AS BIGINT) AS n_gone, CAST(coalesce(links, 0) AS BIGINT) AS n_links,
+f AS (SELECT line, count(*) AS links, min(other) AS other, min(other) < min(first) AS near FROM s GROUP BY line),
+g AS (SELECT c.i, c.text, c.no, coalesce(f.near, false) OR u.first <> (c.i, c.no) AS gone, coalesce(f.links, 0) AS links, CASE WHEN f.near THEN struct_extract(f.other, 1) ELSE struct_extract(u.first, 1) END AS kept_in FROM c JOIN u USING (line) LEFT JOIN f USING (line)),
+k AS (SELECT i, text, list(no) FILTER (WHERE gone) AS gone, sum(links) AS links, list_sort(list(DISTINCT kept_in) FILTER (WHERE gone)) AS kept_in FROM g GROUP BY i, text)
+SELECT doc_id, CAST(len(string_split(coalesce(o.text, ''), chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(len(k.gone), 0) AS BIGINT) AS n_gone, CAST(coalesce(links, 0) AS BIGINT) AS n_links, coalesce(array_to_string(k.kept_in, ','), '') AS kept_in,
        sha256(array_to_string(list_filter(string_split(coalesce(o.text, ''), chr(10)), lambda x, j: NOT coalesce(list_contains(k.gone, j - 1), false)), chr(10))) AS kept_sha256
 FROM documents o LEFT JOIN k ON k.i = coalesce(o.doc_id, -1) AND k.text = coalesce(o.text, '')"""
