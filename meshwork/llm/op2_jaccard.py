@@ -3,8 +3,8 @@
 Texts become sets of hashed `WORDS`-word shingles; equal sets are one class. Each class carries a
 signature of `T` coordinates that agree between two sets with a chance equal to their similarity.
 A node of the tree samples coordinates, in runs that each take one with chance 1 / (THRESHOLD T),
-until pairs at the threshold share a sampled coordinate with chance `RECALL`; sets that agree on
-one meet in a child. Children of up to `BUCKET` sets are compared pair by pair; larger ones are
+until pairs at the threshold share `LEAST` sampled coordinates with chance `RECALL`; sets that agree on
+one meet in a child. Sets that meet others in fewer than `LEAST` children of the root leave there. Children of up to `BUCKET` sets are compared pair by pair; larger ones are
 split again on coordinates sampled anew, unless their sets agree so much on average that splitting
 would only repeat them, or the tree is `DEPTH` deep: those are compared in blocks, pairs of blocks
 spread over tasks. A pair is compared in one place only: where the sampled coordinates before the
@@ -38,7 +38,7 @@ from meshwork.operators.components import connected_components
 from .common import bounded, key_columns, mapped, materialize, table, without, wrapped
 
 WORDS, THRESHOLD = 5, 0.8
-T, RECALL = 64, 1 - 1e-6  # T is also the bits of a mask of coordinates
+T, LEAST, RECALL = 64, 2, 1 - 1e-6  # T is also the bits of a mask of coordinates
 #: Agreeing coordinates that a pair must have to be verified; of pairs at the threshold, 1 in 100,000 has fewer.
 AGREE = 36
 BUCKET, DENSE, DEPTH = 4096, 0.4, 4
@@ -119,9 +119,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def coordinates_needed(threshold: float, recall: float, least: int) -> int:
+    """How many sampled coordinates make pairs at the threshold share `least` of them with chance `recall`."""
+    n = least
+    while sum(math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k) for k in range(least)) > 1 - recall:
+        n += 1
+    return n
+
+
 def sampled(path: int, threshold: float = THRESHOLD, recall: float = RECALL, used: tuple[int, ...] = ()) -> list[int]:
-    """Coordinates that a node samples, run by run, until pairs at the threshold are missed with chance 1 - recall."""
-    need = math.ceil(math.log(1 - recall) / math.log(1 - threshold))
+    """Coordinates that a node samples, run by run, until there are enough for the recall."""
+    need = coordinates_needed(threshold, recall, LEAST)
     out: list[int] = []
     run = 0
     free = [c for c in range(T) if c not in used]
@@ -209,6 +217,9 @@ def buckets(classes: DataFrame) -> DataFrame:
             leaves = leaves.unionByName(counted)
             dealt, sizes = dealt.join(dense, "parent", "left_anti"), sizes.join(dense, "parent", "left_anti")
         members = materialize(dealt.join(sizes.select("path", "m"), "path").select("path", "differ", "used", "d1", "d2", "m"))
+        if depth == 1:
+            enough = members.groupBy("d1", "d2").agg(F.count("*").alias("met")).where(F.col("met") >= LEAST).select("d1", "d2")
+            members = materialize(members.join(enough, ["d1", "d2"], "left_semi"))
         done = members if depth == DEPTH else members.where(F.col("m") <= BUCKET)
         leaves = done if leaves is None else leaves.unionByName(done)
         if depth == DEPTH or not members.where(F.col("m") > BUCKET).head(1):
