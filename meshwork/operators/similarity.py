@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.functions.bounds import bound, open_cosine, reaches, verdict
+from meshwork.plans.storage import materialize
 from meshwork.sources.graph import adjacency, canonical, degrees, mirrored
 
 #: Up to this degree, neighbour arrays are joined to edges; beyond it, triangles are closed by joins.
@@ -76,6 +77,7 @@ def prune_verdict(edges: DataFrame, vertices: DataFrame, eps: float) -> DataFram
 def similar_edges(edges: DataFrame, vertices: DataFrame, eps: float, prune: bool = True, strategy: str = "auto") -> DataFrame:
     """Canonical edges whose ends are similar. Neighbours are intersected only where degrees leave it open."""
     ranked = with_degrees(canonical(edges), degrees(edges, vertices)).withColumn("verdict", verdict(F.col("du"), F.col("dv"), eps) if prune else F.lit("open"))
-    counted = common_neighbours(ranked.where("verdict = 'open'"), edges, strategy)
+    left = materialize(ranked.where("verdict <> 'out'"))  # read twice below: degrees are joined once
+    counted = common_neighbours(left.where("verdict = 'open'"), edges, strategy)
     kept = counted.where(reaches(F.col("common") + 2, bound(F.col("du"), F.col("dv"), eps))).select("src", "dst")
-    return kept.union(ranked.where("verdict = 'in'").select("src", "dst"))
+    return kept.union(left.where("verdict = 'in'").select("src", "dst"))
