@@ -3,8 +3,8 @@
 Base spans come from three fixed patterns. On top of them, weak candidates (account identifiers,
 secret-looking strings, endpoints), each too common to report alone, are linked by an interval
 join within their scope: parts of one scope whose places lie at most `reach` code points apart.
-Weak parts are reported only where an identifier and a secret, or a secret and an endpoint with a
-base span beside it, occur together. One Arrow batch of texts is worked on at a time; nothing is
+An identifier is reported only with a secret in reach, a secret only with an identifier, an endpoint
+only with both; base spans count as parts too, access keys as identifiers, the others as secrets. One Arrow batch of texts is worked on at a time; nothing is
 shuffled, so a lost executor costs its own partitions only.
 
 Defined results: a null text counts as empty and has no spans; spans are code-point offsets, end
@@ -18,6 +18,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -58,12 +59,12 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = 400)
     if not WEAK_HINT.search(text):
         return []
     ends = [m.start() for m in SCOPE_END.finditer(text)]
-    taken = [(s, e) for s, _, e in base]
+    starts, reached = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     parts: dict[str, list[tuple[int, int, int]]] = {k: [] for k in WEAK}  # (scope, start, end)
     for kind, pattern in WEAK.items():
         for m in pattern.finditer(text):
-            i = bisect_left(taken, (m.end(), -1))
-            if not any(e > m.start() for _, e in taken[max(0, i - 3) : i]):
+            i = bisect_left(starts, m.end())
+            if not i or reached[i - 1] <= m.start():  # no base span lies over it
                 parts[kind].append((bisect_left(ends, m.start()), m.start(), m.end()))
     strong: dict[str, list[tuple[int, int, int]]] = {"id": [], "secret": []}
     for s, k, e in base:
