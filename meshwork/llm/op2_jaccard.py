@@ -202,7 +202,7 @@ def _children(nodes: DataFrame) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """Where sets meet: path, differ, x, y (blocks to compare), block (the member's), d1, d2."""
+    """Where sets meet: path, differ, x, y (blocks to compare), block (the member's), split (whether there are several blocks), d1, d2."""
     root = classes.select(*[F.lit(0).cast("long").alias(c) for c in ("path", "differ", "used")], "d1", "d2", "sig")
     leaves = None
     for depth in range(1, DEPTH + 1):
@@ -227,7 +227,7 @@ def buckets(classes: DataFrame) -> DataFrame:
         root = materialize(members.where(F.col("m") > BUCKET).join(classes.select("d1", "d2", "sig"), ["d1", "d2"]).select("path", "differ", "used", "d1", "d2", "sig"))
     blocks = F.ceil(F.col("m") / BUCKET).cast("int")
     leaves = leaves.withColumn("block", F.pmod(F.xxhash64("d1", "path"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return leaves.select("path", "differ", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "d1", "d2")
+    return leaves.select("path", "differ", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", (F.col("m") > BUCKET).alias("split"), "d1", "d2")
 
 
 def _pairs(b: pd.DataFrame, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -257,21 +257,33 @@ def _sharded(rows: DataFrame, n: int) -> DataFrame:
 
 
 def promising(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """The members of `met` that have a partner to be verified in that bucket."""
+    """The members of `met` that have a partner to be verified in that bucket. Buckets of one group of
+    similar sets get one home, the value most of their members have at the root's first coordinate;
+    blocks of a large bucket are at home alone."""
+    lead = sampled(0)[0]
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["path", "x", "y"], ignore_index=True)
         keep = np.zeros(len(b), bool)
-        for i, j in _pairs(b, np.frombuffer(b"".join(b["sig"]), np.uint32).reshape(len(b), T)):
+        sig = np.frombuffer(b"".join(b["sig"]), np.uint32).reshape(len(b), T)
+        for i, j in _pairs(b, sig):
             keep[i] = keep[j] = True
-        return b.loc[keep, ["path", "differ", "x", "y", "block", "d1", "d2"]]
+        out, value = b.loc[keep, ["path", "differ", "x", "y", "block", "split", "d1", "d2"]], sig[keep][:, lead]
+        if not len(out):
+            return out.drop(columns="split").assign(home=0)
+        group = out.groupby(["path", "x", "y"], sort=False).ngroup().to_numpy()
+        order = np.lexsort((value, group))
+        first = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+        middle = value[order[(first + np.r_[first[1:], len(out)]) // 2]].astype(np.int64)  # what a majority has stands in the middle
+        alone = out["path"].to_numpy(np.int64) ^ (out["x"].to_numpy(np.int64) << 20) ^ out["y"].to_numpy(np.int64)
+        return out.drop(columns="split").assign(home=np.where(out["split"], alone, middle[group]))
 
     full = _sharded(met, met.count()).join(classes.select("d1", "d2", "sig"), ["d1", "d2"])
-    return full.groupBy("shard").applyInPandas(lambda b: run(b), "path long, differ long, x int, y int, block int, d1 long, d2 long")
+    return full.groupBy("shard").applyInPandas(lambda b: run(b), "path long, differ long, x int, y int, block int, d1 long, d2 long, home long")
 
 
 def verified(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Per bucket and set: d1, d2, links (sets at least THRESHOLD similar), r1, r2 (the least set linked to it there)."""
+    """Per home and set: d1, d2, links (sets at least THRESHOLD similar), r1, r2 (the least set linked to it there)."""
     i, h = key_columns()
     need = bounded(wanted.select("d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("d1", "d2", "rep._i", "rep._h"))
     texts = docs.select(i.alias("_i"), h.alias("_h"), F.col("text").cast("string").alias("text")).join(need, ["_i", "_h"]).dropDuplicates(["d1", "d2"]).select("d1", "d2", "text")
@@ -284,9 +296,11 @@ def verified(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     sets = materialize(texts.mapInPandas(fetch, "d1 long, d2 long, tokens binary"))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["path", "x", "y"], ignore_index=True)
         tokens = [np.frombuffer(t, np.uint64) for t in b["tokens"]]
         sizes = np.array([len(t) for t in tokens])
+        row = np.repeat(np.arange(len(b)), [len(x) for x in b["path"]])
+        met = pd.DataFrame({c: np.concatenate(b[c].to_list()) for c in ("path", "differ", "x", "y", "block")} | {"row": row}).sort_values(["path", "x", "y"], ignore_index=True)
+        row = met["row"].to_numpy()
         links, parent = np.zeros(len(b), np.int64), list(range(len(b)))
 
         def find(x: int) -> int:
@@ -299,9 +313,9 @@ def verified(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
         at = np.cumsum(sizes) - sizes
         flag = np.zeros(ids.max() + 1, np.int32)
         partners: dict[int, list[np.ndarray]] = {}
-        for i, j in _pairs(b, signatures(tokens)):
-            for a in range(0, len(i)):
-                partners.setdefault(int(i[a]), []).append(j[a])
+        for i, j in _pairs(met, signatures(tokens)[row]):
+            for x, y in zip(row[i].tolist(), row[j].tolist(), strict=True):
+                partners.setdefault(x, []).append(y)
         for i, js in partners.items():
             js = np.array(js)
             flag[ids[at[i] : at[i] + sizes[i]]] = 1
@@ -324,9 +338,11 @@ def verified(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
         rows = [(*d[k], int(links[k]), *least[find(k)]) for k in range(len(b)) if links[k]]
         return pd.DataFrame(rows, columns=["d1", "d2", "links", "r1", "r2"])
 
-    # full sets are larger than signatures: a fifth of the rows in a shard
-    full = _sharded(wanted, 5 * wanted.count()).join(sets, ["d1", "d2"])
-    return full.groupBy("shard").applyInPandas(lambda b: run(b), "d1 long, d2 long, links long, r1 long, r2 long")
+    # a set moves once to each home; full sets are larger than signatures: a fifth of the rows in a shard
+    places = wanted.groupBy("home", "d1", "d2").agg(F.collect_list(F.struct("path", "differ", "x", "y", "block")).alias("at"))
+    places = materialize(places.select("home", "d1", "d2", *[F.col(f"at.{c}").alias(c) for c in ("path", "differ", "x", "y", "block")]))
+    shard = F.pmod(F.xxhash64("home"), F.lit(max(1, 5 * places.count() // SHARD_ROWS)))
+    return places.withColumn("shard", shard).join(sets, ["d1", "d2"]).groupBy("shard").applyInPandas(lambda b: run(b), "d1 long, d2 long, links long, r1 long, r2 long")
 
 
 def groups(docs: DataFrame) -> DataFrame:
