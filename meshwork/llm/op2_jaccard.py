@@ -216,7 +216,7 @@ def buckets(classes: DataFrame) -> DataFrame:
             counted = whole.join(root.groupBy("path").agg(F.count("*").alias("m2")), "path").withColumn("m", F.col("m2")).drop("m2")
             leaves = leaves.unionByName(counted)
             dealt, sizes = dealt.join(dense, "parent", "left_anti"), sizes.join(dense, "parent", "left_anti")
-        members = materialize(dealt.join(sizes.select("path", "m"), "path").select("path", "differ", "used", "d1", "d2", "m"))
+        members = materialize(dealt.join(bounded(sizes.select("path", "m"), 32), "path").select("path", "differ", "used", "d1", "d2", "m"))
         if depth == 1:
             enough = members.groupBy("d1", "d2").agg(F.count("*").alias("met")).where(F.col("met") >= LEAST).select("d1", "d2")
             members = materialize(members.join(enough, ["d1", "d2"], "left_semi"))
@@ -224,7 +224,8 @@ def buckets(classes: DataFrame) -> DataFrame:
         leaves = done if leaves is None else leaves.unionByName(done)
         if depth == DEPTH or not members.where(F.col("m") > BUCKET).head(1):
             break
-        root = materialize(members.where(F.col("m") > BUCKET).join(classes.select("d1", "d2", "sig"), ["d1", "d2"]).select("path", "differ", "used", "d1", "d2", "sig"))
+        large = bounded(members.where(F.col("m") > BUCKET).select("path", "differ", "used", "d1", "d2"))
+        root = materialize(classes.select("d1", "d2", "sig").join(large, ["d1", "d2"]).select("path", "differ", "used", "d1", "d2", "sig"))
     blocks = F.ceil(F.col("m") / BUCKET).cast("int")
     leaves = leaves.withColumn("block", F.pmod(F.xxhash64("d1", "path"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return leaves.select("path", "differ", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", (F.col("m") > BUCKET).alias("split"), "d1", "d2")
@@ -338,11 +339,11 @@ def verified(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
         rows = [(*d[k], int(links[k]), *least[find(k)]) for k in range(len(b)) if links[k]]
         return pd.DataFrame(rows, columns=["d1", "d2", "links", "r1", "r2"])
 
-    # a set moves once to each home; full sets are larger than signatures: a fifth of the rows in a shard
+    # a set moves once to each home; full sets are larger than signatures: a twentieth of the rows in a shard
     places = wanted.groupBy("home", "d1", "d2").agg(F.collect_list(F.struct("path", "differ", "x", "y", "block")).alias("at"))
     places = materialize(places.select("home", "d1", "d2", *[F.col(f"at.{c}").alias(c) for c in ("path", "differ", "x", "y", "block")]))
-    shard = F.pmod(F.xxhash64("home"), F.lit(max(1, 5 * places.count() // SHARD_ROWS)))
-    return places.withColumn("shard", shard).join(sets, ["d1", "d2"]).groupBy("shard").applyInPandas(lambda b: run(b), "d1 long, d2 long, links long, r1 long, r2 long")
+    shard = F.pmod(F.xxhash64("home"), F.lit(max(1, 20 * places.count() // SHARD_ROWS)))
+    return sets.join(bounded(places.withColumn("shard", shard), F.size("path") * 40 + 64), ["d1", "d2"]).groupBy("shard").applyInPandas(lambda b: run(b), "d1 long, d2 long, links long, r1 long, r2 long")
 
 
 def groups(docs: DataFrame) -> DataFrame:
