@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,5 +80,3 @@ def write_lines(lines: DataFrame, path: str, *order: str) -> None:
     """Lines as text files whose order, file by file, is that of `order`."""
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(path)
 
-
-NATIVE = sys.byteorder
