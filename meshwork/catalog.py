@@ -103,7 +103,7 @@ def queries() -> dict:
         "adjacency": g(lambda e, v: graph.adjacency(e).select("v", F.array_join("nbrs", ",").alias("nbrs"))),
         "adjacency_sizes": g(lambda e, v: graph.adjacency(e).select("v", F.size("nbrs").cast("long").alias("n"))),
         "binary_adjacency": _binary_round_trip,
-        "point_scan": g(lambda e, v: files.point_scan(e, v.where("v % 7 = 0"))),
+        "point_scan": g(lambda e, v: files.point_scan(e, L.source_index(e, v, EPS, _offsets(v)).select("v"))),
         "open_common": g(lambda e, v: S.open_common(e)),
         "open_common_triangles": g(lambda e, v: S.open_common(e, "triangles")),
         "open_similarity": g(lambda e, v: _rounded(S.open_similarity(e, v))),
@@ -136,7 +136,7 @@ def queries() -> dict:
         "foreign_requests": g(lambda e, v: L.foreign_requests(e, v, EPS, _offsets(v))),
         "source_index_sizes": g(lambda e, v: L.source_index(e, v, EPS, _offsets(v))),
         "balanced_ranges": g(lambda e, v: L.balanced_ranges(graph.degrees(e, v), PARTS)),
-        "balanced_sources": g(lambda e, v: L.balanced_ranges(L.source_index(e, v, EPS, _offsets(v)).where("p = 0").select("v", F.col("sum_degree").alias("deg")), PARTS)),
+        "balanced_sources": g(lambda e, v: L.balanced_ranges(L.source_index(e, v, EPS, _offsets(v)).groupBy("v").agg(F.sum("sum_degree").alias("deg")), PARTS)),
         "dense_numbers": s(lambda sim, n, core, e: L.positions(core, [], ["v"], "k").select("v", (F.col("k") - 1).alias("k"))),
     }
 
@@ -229,7 +229,7 @@ def oracle_sql() -> dict:
         "adjacency": q("SELECT src AS v, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS nbrs FROM e GROUP BY src"),
         "adjacency_sizes": q("SELECT src AS v, count(*) AS n FROM e GROUP BY src"),
         "binary_adjacency": q("SELECT src, dst FROM e"),
-        "point_scan": q("SELECT src, dst FROM e WHERE src % 7 = 0"),
+        "point_scan": q("SELECT src, dst FROM e WHERE src IN (SELECT dst FROM f)", f"{base}{asked}, "),
         "open_common": q("SELECT src, dst, common FROM o2"),
         "open_common_triangles": q("SELECT src, dst, common FROM o2"),
         "open_similarity": q(f"SELECT src, dst, {round12} FROM o2"),
@@ -262,6 +262,6 @@ def oracle_sql() -> dict:
         "foreign_requests": q("SELECT p, q, count(*) AS n_vertices, CAST(sum(deg) AS BIGINT) AS n_edges FROM (SELECT DISTINCT p, q, dst FROM f) JOIN d ON d.v = dst GROUP BY p, q", f"{base}{asked}, "),
         "source_index_sizes": q("SELECT p, dst AS v, count(*) AS n_sources, CAST(sum(deg) AS BIGINT) AS sum_degree FROM f JOIN d ON d.v = f.src GROUP BY p, dst", f"{base}{asked}, "),
         "balanced_ranges": f"{base}{_balanced()}",
-        "balanced_sources": f"{base}{asked}, y0 AS (SELECT dst AS v, sum(deg) AS deg FROM f JOIN d ON d.v = f.src WHERE p = 0 GROUP BY dst), {_balanced('y0')}",
+        "balanced_sources": f"{base}{asked}, y0 AS (SELECT dst AS v, sum(deg) AS deg FROM f JOIN d ON d.v = f.src GROUP BY dst), {_balanced('y0')}",
         "dense_numbers": q("SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM core"),
     }
