@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             texts, parts, size, start = list(b["text"]), [], 0, 0
             for k, t in enumerate(texts):  # bounded working memory, whatever the texts' lengths
                 size += len(t or "")
-                if size > 1_000_000 or k == len(texts) - 1:
+                if size > 400_000 or k == len(texts) - 1:
                     parts.append(model.predict([t if isinstance(t, str) else None for t in texts[start : k + 1]]))
                     start, size = k + 1, 0
             if parts:

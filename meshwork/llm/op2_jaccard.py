@@ -144,7 +144,7 @@ def child_key(path: int, coordinate: int, values: np.ndarray) -> np.ndarray:
     return mixed(np.uint64(path % (1 << 64)) ^ mixed(values.astype(np.uint64) + np.uint64((coordinate + 1) << 33))).view(np.int64)
 
 
-def _parts(texts, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _parts(texts, most: int = 250_000) -> Iterator[tuple[int, int]]:
     start = size = 0
     for k, t in enumerate(texts):
         size += len(t) if isinstance(t, str) else 0

@@ -81,7 +81,7 @@ def _batches(b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
     texts, start, size = [t if isinstance(t, str) else "" for t in b["text"]], 0, 0
     for k, t in enumerate(texts):
         size += len(t)
-        if size > 2_000_000 or k == len(texts) - 1:
+        if size > 500_000 or k == len(texts) - 1:
             yield start, statistics(texts[start : k + 1])
             start, size = k + 1, 0
 
