@@ -4,7 +4,10 @@ Base spans come from three fixed patterns. On top of them, weak candidates (acco
 secret-looking strings, endpoints), each too common to report alone, are linked by an interval
 join within their scope: parts of one scope whose places lie at most `reach` code points apart.
 An identifier is reported only with a secret in reach, a secret only with an identifier, an endpoint
-only with both; base spans count as parts too, access keys as identifiers, the others as secrets. One Arrow batch of texts is worked on at a time; nothing is
+only with both; base spans count as parts too, access keys as identifiers, the others as secrets.
+Names of identifiers are taken in any case, with any prefix, in snake, kebab and camel case; a
+secret may stand right after the '=' of an assignment, not after base64 padding, and an
+identifier's own value is no secret. One Arrow batch of texts is worked on at a time; nothing is
 shuffled, so a lost executor costs its own partitions only.
 
 Defined results: a null text counts as empty and has no spans; spans are code-point offsets, end
@@ -35,12 +38,25 @@ LEAST_ASSIGN = 6
 
 #: Weak parts. None of them is reported alone.
 WEAK = {
-    "id": re.compile(r"\b(?:ASIA[A-Z0-9]{12,}|(?:client|account|user|tenant|app)_?(?:id|name)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,})", re.ASCII),
-    "secret": re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII),
+    "id": re.compile(r"\bASIA[A-Z0-9]{12,}|(?i:(?:client|account|user|tenant|app(?:lication)?)[_-]?(?:id|name))[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}", re.ASCII),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_~.-])[A-Za-z0-9_~.]{3}[0-9]Q~[A-Za-z0-9_~.-]{31,34}(?![A-Za-z0-9+/_~=-])|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII),
     "endpoint": re.compile(r"\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]+", re.ASCII),
 }
 SCOPE_END = re.compile(r"\n[ \t]*\n|-----|\n[}\]]")
-WEAK_HINT = re.compile(r"://|_?id[\"']?\x20*[:=]|name[\"']?\x20*[:=]|ASIA|[A-Za-z0-9+/_-]{24}", re.ASCII)
+WEAK_HINT = re.compile(r"://|(?:[iI][dD]|[nN][aA][mM][eE])[\"']?\x20*[:=]|ASIA|[A-Za-z0-9+/_-]{24}|[0-9]Q~", re.ASCII)
+PADDED = re.compile(r"(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])([A-Za-z0-9+/_-]{22,}={1,2})\Z", re.ASCII)
+
+
+def padding(text: str, at: int) -> bool:
+    """Whether the '=' before `at` pads a base64 value (whole groups of four) rather than follows a name."""
+    if not at or text[at - 1] != "=":
+        return False
+    start = at
+    while start and text[start - 1] == "=":
+        start -= 1
+    while start and (text[start - 1] in "+/_-" or text[start - 1].isascii() and text[start - 1].isalnum()):
+        start -= 1
+    return (at - start) % 4 == 0 and PADDED.match(text, start, at) is not None
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -54,6 +70,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def within(parts: list[tuple[int, int, int]], at: int) -> bool:
+    """Whether one of the parts (scope, start, end; in order, not overlapping) lies over the place."""
+    i = bisect_left(parts, at + 1, key=lambda p: p[1])
+    return i > 0 and parts[i - 1][2] > at
+
+
 def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = 400) -> list[tuple[int, int, int]]:
     """Weak parts that have their complement in the same scope, at most `reach` apart."""
     if not WEAK_HINT.search(text):
@@ -64,6 +86,8 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = 400)
     for kind, pattern in WEAK.items():
         for m in pattern.finditer(text):
             i = bisect_left(starts, m.end())
+            if kind == "secret" and (padding(text, m.start()) or within(parts["id"], m.start())):
+                continue
             if not i or reached[i - 1] <= m.start():  # no base span lies over it
                 parts[kind].append((bisect_left(ends, m.start()), m.start(), m.end()))
     strong: dict[str, list[tuple[int, int, int]]] = {"id": [], "secret": []}
