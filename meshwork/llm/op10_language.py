@@ -7,10 +7,12 @@ by binary search, through a small direct-mapped cache. The lowest cross-entropy
 wins. The margin over the second best is calibrated on training rows held out of the counts
 (logistic curve), and so is the rejection threshold on the cross-entropy itself.
 
-Bound: `PER_LANGUAGE` training rows per language, of at most `TRAIN_CHARS` characters each, for
-at most `MAX_LANGUAGES` languages (the most frequent); rows are picked by a hash of their id, so
-every row is equally likely. Sample and model have bounded size; all rows are scored, whole texts,
-batch by batch, without a shuffle.
+Bound: about `PER_LANGUAGE` training rows per language; rows are picked by a hash of their id, so
+every row is equally likely. Of a text longer than `TRAIN_CHARS` characters, a piece of that length
+is taken, its place by hash. Every language with such rows is learned: sample, model and the work on
+a text grow in proportion to the number of languages. Languages share their arrays in blocks of
+`BLOCK`, and the cache shrinks and texts are worked on in shorter slices as languages are added, so
+working memory does not grow. All rows are scored, whole texts, batch by batch, without a shuffle.
 
 Defined results: null texts and texts without a letter get `und` and score 0. Rows with null lang
 or null id are never learned from; a null id is not held out. With nothing to learn from, every
@@ -30,13 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, remainder, table
+from .common import mapped, materialize, remainder, table
 
 ORDER, DISCOUNT = 4, 0.75
-PER_LANGUAGE, TRAIN_CHARS, MAX_LANGUAGES = 600, 40_000, 64
+PER_LANGUAGE, TRAIN_CHARS = 600, 40_000
 FOLDS, HELD = 4, 2
 MASK = (1 << 21) - 1  # a code point takes 21 bits
 CACHE_BITS = 20
+BLOCK = 8  # languages that share an array
+COSTS = 1 << 23  # costs held at a time, and in the cache
 
 
 @functools.cache
@@ -79,25 +83,28 @@ class Model:
         self.languages = languages
         self.a, self.b, self.most = 1.0, 0.0, np.inf
         tables = [self._train(samples[x]) for x in languages]
-        self.hashes = [np.unique(np.concatenate([t[1][n][0] for t in tables])) for n in range(ORDER)] if tables else []
-        self.parts = []  # discounted probabilities by order
-        for n in range(len(self.hashes)):
-            known = self.hashes[n]
+        self.blocks = [self._block(tables[k : k + BLOCK]) for k in range(0, len(tables), BLOCK)]
+        self.floor = 1e-5
+        self._keys = self._rows = None
+
+    @staticmethod
+    def _block(tables: list) -> tuple[list, list, list]:
+        """Hashes and discounted probabilities by order, and weights of what an order falls back to, by the length of its context."""
+        hashes, parts, lams = [np.unique(np.concatenate([t[1][n][0] for t in tables])) for n in range(ORDER)], [], []
+        for n, known in enumerate(hashes):
             p = np.zeros((len(known), len(tables)), np.float32)
             for j, t in enumerate(tables):
                 h, disc = t[1][n]
                 p[np.searchsorted(known, h), j] = disc
-            self.parts.append(p)
-        self.lams = []  # weights of what an order falls back to, by the length of its context
-        for n in range(1, ORDER if tables else 1):
+            parts.append(p)
+        for n in range(1, ORDER):
             known = np.unique(np.concatenate([t[0][n][0] for t in tables]))
             lam = np.ones((len(known), len(tables)), np.float32)
             for j, t in enumerate(tables):
                 h, v = t[0][n]
                 lam[np.searchsorted(known, h), j] = v
-            self.lams.append((known, lam))
-        self.floor = 1e-5
-        self._keys = self._rows = None
+            lams.append((known, lam))
+        return hashes, parts, lams
 
     @staticmethod
     def _train(texts: list[str]):
@@ -136,20 +143,37 @@ class Model:
 
     def cost(self, grams: list[np.ndarray], before: list[np.ndarray]) -> np.ndarray:
         """Interpolated cost of n-grams given by their hashes of every order, and of their contexts'."""
-        p = np.maximum(self._find(self.hashes[0], self.parts[0], grams[0], 0.0), self.floor)
-        for n in range(1, ORDER):
-            known, lam = self.lams[n - 1]
-            p = self._find(self.hashes[n], self.parts[n], grams[n], 0.0) + self._find(known, lam, before[n - 1], 1.0) * p
-        return -np.log(p)
+        out = []
+        for hashes, parts, lams in self.blocks:
+            p = np.maximum(self._find(hashes[0], parts[0], grams[0], 0.0), self.floor)
+            for n in range(1, ORDER):
+                known, lam = lams[n - 1]
+                p = self._find(hashes[n], parts[n], grams[n], 0.0) + self._find(known, lam, before[n - 1], 1.0) * p
+            out.append(-np.log(p))
+        return out[0] if len(out) == 1 else np.concatenate(out, 1)
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean cost by text and language, and the letters of each text."""
         seq, text, counted = letters_of(texts)
         place = np.flatnonzero(counted)
         top = ngrams(seq, ORDER)[place]
+        many = len(self.languages)
+        bits = min(CACHE_BITS, max(COSTS // many, 2).bit_length() - 1)
         if self._keys is None:
-            self._keys, self._rows = np.zeros(1 << CACHE_BITS, np.uint64), np.zeros((1 << CACHE_BITS, len(self.languages)), np.float32)
-        slot = (top >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+            self._keys, self._rows = np.zeros(1 << bits, np.uint64), np.zeros((1 << bits, many), np.float32)
+        n = np.bincount(text[place], minlength=len(texts))
+        letters = np.bincount(text[place], weights=seq[place] != 32, minlength=len(texts))
+        total, step = np.zeros((len(texts), many)), max(COSTS // many, 1)
+        for k in range(0, len(place), step):
+            costs, of = self._costs(seq, place[k : k + step], top[k : k + step], bits), text[place[k : k + step]]
+            lo, hi = of[0], of[-1] + 1  # texts are in order
+            for j in range(many):
+                total[lo:hi, j] += np.bincount(of - lo, weights=costs[:, j], minlength=hi - lo)
+        return total / np.maximum(n, 1)[:, None], letters
+
+    def _costs(self, seq: np.ndarray, place: np.ndarray, top: np.ndarray, bits: int) -> np.ndarray:
+        """Costs by place and language; `top` has the hashes of the longest n-grams that end there."""
+        slot = (top >> np.uint64(64 - bits)).astype(np.int64)
         todo = np.flatnonzero(self._keys[slot] != top)
         costs = self._rows[slot]
         if len(todo):
@@ -161,22 +185,22 @@ class Model:
             got = self.cost(grams, before)
             costs[todo] = got[back]
             self._keys[slot[at]], self._rows[slot[at]] = top[at], got
-        text = text[place]
-        n = np.bincount(text, minlength=len(texts))
-        letters = np.bincount(text, weights=seq[place] != 32, minlength=len(texts))
-        mean = np.stack([np.bincount(text, weights=costs[:, j], minlength=len(texts)) for j in range(len(self.languages))], 1)
-        return mean / np.maximum(n, 1)[:, None], letters
+        return costs
 
     def calibrate(self, texts: list[str], labels: list[str], accept: float = 0.995) -> None:
         """Logistic curve for 'the best is right' over the margin, and the entropy above which to reject."""
         if not texts:
             return
-        e, letters = self.entropies(texts)
+        least, best = [], []
+        for k in range(0, len(texts), 50):  # the driver holds the costs of a few texts at a time
+            e = self.entropies(texts[k : k + 50])[0]
+            least.append(np.sort(e, 1)[:, :2])
+            best += list(e.argmin(1))
+        s = np.concatenate(least)
         if len(self.languages) < 2:
-            self.most = float(np.quantile(e.min(1), accept))
+            self.most = float(np.quantile(s[:, 0], accept))
             return
-        s = np.sort(e, 1)
-        x, y = np.log1p(100 * (s[:, 1] - s[:, 0])), np.array([self.languages[k] for k in e.argmin(1)]) == np.array(labels)
+        x, y = np.log1p(100 * (s[:, 1] - s[:, 0])), np.array([self.languages[k] for k in best]) == np.array(labels)
         z, w = np.stack([x, np.ones(len(x))], 1), np.array([1.0, 0.0])
         for _ in range(30):  # Newton steps with a weak prior
             p = 1 / (1 + np.exp(-z @ w))
@@ -199,20 +223,20 @@ class Model:
 
 def fit(docs: DataFrame) -> Model:
     """Learns from rows whose id's remainder is not held out; see the module's bounds."""
-    learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD)).select("doc_id", "lang")
-    per = sorted(learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect(), key=lambda r: r["lang"])
-    if not per:
-        return Model([], {})
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, PER_LANGUAGE / r["count"]))) for r in per], F.lit(0.0))
-    place = (F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("place")
-    rows = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD) & (place < share) & (F.length("text") <= TRAIN_CHARS)).select("doc_id", "lang", "text").collect()
-    by: dict[str, list[str]] = {r["lang"]: [] for r in per}
+    learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD))
+    per = materialize(learn.groupBy("lang").count())
+    place = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    start = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
+    picked = learn.select("doc_id", "lang", "text").join(F.broadcast(per), "lang").where(place < F.lit(float(PER_LANGUAGE)) / F.col("count"))
+    rows = picked.select("doc_id", "lang", F.substring("text", start, F.lit(TRAIN_CHARS)).alias("text")).collect()
+    by: dict[str, list[str]] = {}
     held: list[tuple[str, str]] = []
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"])):
-        if len(by[r["lang"]]) >= 4 and r["doc_id"] % 5 == 0:
+        mine = by.setdefault(r["lang"], [])
+        if len(mine) >= 4 and r["doc_id"] % 5 == 0:
             held.append((r["text"], r["lang"]))
-        elif len(by[r["lang"]]) < 2 * PER_LANGUAGE:
-            by[r["lang"]].append(r["text"])
+        elif len(mine) < 2 * PER_LANGUAGE:
+            mine.append(r["text"])
     known = [x for x in sorted(by) if by[x]]
     model = Model(known, by)
     model.calibrate([t for t, _ in held], [x for _, x in held])

@@ -151,6 +151,23 @@ def test_language_does_not_depend_on_neighbours():
     assert 0.9 < p < 1.05  # what may follow a context has probabilities that sum to about one
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(10)
+    words = {f"l{k:02}": ["".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(5)) for _ in range(30)] for k in range(70)}
+    make = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    rows = [(k, x, make(x, 8000 if x == "l69" else 30)) for k, x in enumerate(sorted(words) * 12)]  # l69 has only long texts
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = op10_language.fit(docs)
+    assert model.languages == sorted(words)
+    got = {r["doc_id"]: r["lang_pred"] for r in op10_language.identify(docs, model).collect()}
+    assert all(got[k] == x for k, x, _ in rows)
+    texts = [make(x, 40) for x in words]
+    want = model.entropies(texts)[0]
+    monkeypatch.setattr(op10_language, "COSTS", 1 << 13)  # many slices, a small cache
+    model._keys = model._rows = None
+    assert np.allclose(model.entropies(texts)[0], want)
+
+
 # 4
 
 
