@@ -14,9 +14,9 @@ equal vectors, which no query can look beyond. Per block and query, only `k` row
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components, and rows with null ids take no part. Ties go to the smaller id. Rows that
-repeat an id count once (the largest vector in array order). Fewer candidates than `k`: all of
-them are returned if visited, and with few vectors everything is. Empty tables give no rows;
-extra columns are ignored.
+repeat an id count once (the largest vector in array order). A query whose leaves hold fewer than
+`k` + 1 vectors visits more, so fewer than `k` rows are returned only if there are no more
+candidates. Empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,14 +85,15 @@ class Tree:
                 todo += [(child, rows[at == j]) for j, child in enumerate(below)]
         return out
 
-    def visit(self, q: np.ndarray, budget: int) -> list[int]:
-        """The first `budget` leaves, best bin first."""
-        out, size = [], np.sqrt((q * q).sum())
+    def visit(self, q: np.ndarray, budget: int, held: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first `budget` leaves, best bin first, and more until they hold (vectors by leaf) at least `least`."""
+        out, size, found = [], np.sqrt((q * q).sum()), 0
         queue = [(-np.inf, self.root)]
-        while queue and len(out) < budget:
+        while queue and (len(out) < budget or found < least):
             _, node = heapq.heappop(queue)
             if node < 0:
                 out.append(-node - 1)
+                found += (held or {}).get(out[-1], 0)
                 continue
             c, radius, below = self.nodes[node]
             for s, child in zip(c @ q + radius * size * 0.3, below, strict=True):
@@ -223,15 +224,15 @@ def search(rows: DataFrame, is_query, k: int = K, target: float = TARGET) -> Dat
     queries = indexed.where(is_query).select("id", "v")
     budget = calibrated_budget(tree, indexed, queries, k, target)
 
-    blocks = indexed.groupBy("leaf").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("n"))
-    sizes = {r["leaf"]: r["n"] for r in blocks.collect()}  # a row per leaf: bounded by the tree
+    held = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # a row per leaf: bounded by the tree
+    sizes = {leaf: -(-n // BLOCK) for leaf, n in held.items()}
     counts = indexed.sparkSession.createDataFrame([(int(a), int(b)) for a, b in sizes.items()], "leaf long, n int")
     salted = indexed.join(F.broadcast(counts), "leaf").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                got = [(i, x, leaf, salt) for i, x, y in zip(b["id"], b["v"], _stack(b["v"]), strict=True) for leaf in tree.visit(y, budget) if leaf in sizes for salt in range(sizes[leaf])]
+                got = [(i, x, leaf, salt) for i, x, y in zip(b["id"], b["v"], _stack(b["v"]), strict=True) for leaf in tree.visit(y, budget, held, k + 1) if leaf in sizes for salt in range(sizes[leaf])]
                 yield pd.DataFrame(got, columns=["id", "v", "leaf", "salt"])
 
     asked = mapped(queries, route, f"id long, v {kind}, leaf long, salt int")

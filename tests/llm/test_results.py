@@ -188,6 +188,15 @@ def test_neighbours_reach_the_recall(spark):
     assert got["query_id"].nunique() == 150 and hit / len(got) > 0.9
 
 
+def test_neighbours_widen_beyond_small_leaves(spark, monkeypatch):
+    monkeypatch.setattr(op4_neighbours, "LEAF_SAMPLE", 15)
+    monkeypatch.setattr(op4_neighbours, "calibrated_budget", lambda *_: 1)
+    x = np.random.default_rng(2).normal(size=(600, 8))
+    data = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = op4_neighbours.search(op4_neighbours.usable(data), F.col("id") % 20 == 0).toPandas()
+    assert set(got.groupby("query_id").size()) == {20} and got["query_id"].nunique() == 30
+
+
 # 5, 8, 9
 
 
