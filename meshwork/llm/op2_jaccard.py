@@ -38,9 +38,10 @@ from meshwork.operators.components import connected_components
 from .common import bounded, key_columns, mapped, materialize, table, without, wrapped
 
 WORDS, THRESHOLD = 5, 0.8
-T, LEAST, RECALL = 64, 2, 1 - 1e-6  # T is also the bits of a mask of coordinates
-#: Agreeing coordinates that a pair must have to be verified; of pairs at the threshold, 1 in 100,000 has fewer.
-AGREE = 36
+T, LEAST, RECALL = 64, 2, 1 - 5e-7  # T is also the bits of a mask of coordinates
+#: Agreeing coordinates that a pair must have to be verified; of pairs at the threshold, 1 in 3,000,000 has fewer.
+#: With the pairs that the tree misses, fewer than 1 in 1,000,000 is lost.
+AGREE = 34
 BUCKET, DENSE, DEPTH = 4096, 0.4, 4
 SHARD_ROWS = 10_000
 EMPTY = np.uint32(0xFFFFFFFF)

@@ -123,6 +123,13 @@ def test_jaccard_of_one_large_group(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_jaccard_loses_fewer_than_one_in_a_million():
+    fewer = lambda n, k: sum(math.comb(n, i) * 0.8**i * 0.2 ** (n - i) for i in range(k))
+    n = len(op2_jaccard.sampled(0))
+    deeper = op2_jaccard.DEPTH * fewer(n, 1)  # beyond the root, one common child is enough
+    assert fewer(n, op2_jaccard.LEAST) + deeper + fewer(op2_jaccard.T, op2_jaccard.AGREE) < 1e-6
+
+
 # 3, 10
 
 
