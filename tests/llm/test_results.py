@@ -178,25 +178,52 @@ def test_every_language_is_learned(spark, monkeypatch):
 # 4
 
 
-def test_neighbours_reach_the_recall(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 16)).astype(np.float32) + rng.normal(size=(30, 16))[rng.integers(0, 30, 3000)].astype(np.float32)
-    x[500:1500] = x[500]  # one vector holds a third of all rows
-    data = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = op4_neighbours.search(op4_neighbours.usable(data), F.col("id") % 20 == 0).toPandas()
+def neighbours_recall(got, x, k=20):
+    """Share of the exact neighbours found; ranks, order and scores are checked on the way."""
     x, hit = x.astype(float), 0
     for q, mine in got.groupby("query_id"):
         s = x @ x[q]
         s[q] = -np.inf
         mine = mine.sort_values("rank")
-        assert list(mine["rank"]) == list(range(1, 21)) and np.allclose(mine["score"], s[mine["vec_id"]], rtol=1e-12)
+        assert list(mine["rank"]) == list(range(1, k + 1)) and np.allclose(mine["score"], s[mine["vec_id"]], rtol=1e-12)
         assert list(zip(-mine["score"], mine["vec_id"], strict=True)) == sorted(zip(-mine["score"], mine["vec_id"], strict=True))
-        hit += len(set(mine["vec_id"]) & set(np.lexsort((np.arange(len(s)), -np.round(s, 9)))[:20]))
-    assert got["query_id"].nunique() == 150 and hit / len(got) > 0.9
+        hit += len(set(mine["vec_id"]) & set(np.lexsort((np.arange(len(s)), -np.round(s, 9)))[:k]))
+    return hit / len(got)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_neighbours_reach_the_recall(spark, monkeypatch, small):
+    """Visiting fewer than half of the leaves; with small samples and blocks, leaves are refitted, salted and asked in parts."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6000, 16)).astype(np.float32) + 2 * rng.normal(size=(40, 16))[rng.integers(0, 40, 6000)].astype(np.float32)
+    x[500:2500] = x[500]  # one vector holds a third of all rows
+    budgets, plain = [], op4_neighbours.calibrated_budget
+    monkeypatch.setattr(op4_neighbours, "calibrated_budget", lambda tree, *a: budgets.append((plain(tree, *a), tree.leaves)) or budgets[-1][0])
+    for name, value in (("SAMPLE", 800), ("REFIT", 600), ("CROWDED", 2), ("BLOCK", 700), ("ASKED", 50)) if small else ():
+        monkeypatch.setattr(op4_neighbours, name, value)
+    data = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = op4_neighbours.search(op4_neighbours.usable(data), F.col("id") % 20 == 0).toPandas()
+    assert got["query_id"].nunique() == 300 and neighbours_recall(got, x) >= 0.9
+    assert budgets[0][0] < 0.5 * budgets[0][1]
+
+
+def test_grafted_trees_keep_every_leaf():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 4))
+    tree = op4_neighbours.Tree(x[:300])
+    at = tree.assign(x)
+    below = {int(leaf): op4_neighbours.Tree(x[at == leaf]) for leaf in np.unique(at) if (at == leaf).sum() > 300}
+    tree.graft({leaf: t for leaf, t in below.items() if t.leaves > 1})
+    new = tree.assign(x)
+    assert len(below) > 1 and sorted(tree.visit(x[0], tree.leaves)) == list(range(tree.leaves))
+    for leaf, t in below.items():  # in its place, every vector falls as it does in the tree alone
+        mine, alone = new[at == leaf], t.assign(x[at == leaf])
+        assert len(set(zip(mine.tolist(), alone.tolist(), strict=True))) == len(set(mine.tolist())) == len(set(alone.tolist()))
 
 
 def test_neighbours_widen_beyond_small_leaves(spark, monkeypatch):
-    monkeypatch.setattr(op4_neighbours, "LEAF_SAMPLE", 15)
+    monkeypatch.setattr(op4_neighbours, "LEAF", 15)
+    monkeypatch.setattr(op4_neighbours, "LEAST", 15)
     monkeypatch.setattr(op4_neighbours, "calibrated_budget", lambda *_: 1)
     x = np.random.default_rng(2).normal(size=(600, 8))
     data = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
