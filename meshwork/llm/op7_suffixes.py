@@ -1,10 +1,15 @@
 """Removal of long repeated byte strings by suffix arrays.
 
-A byte goes if it lies in a string of `length` bytes that starts at another place too. Places that
-can matter are found first: among any `length` consecutive bytes, the GRAM-byte gram with the least
-hash is an anchor (winnowing), so equal strings have equal anchors at one offset. The strings that chose an
-anchor make up its region. Equal regions of different places are repeated throughout and
-need no sorting. Anchors with different regions go, one row per region, to shards by their hash.
+A byte goes if it lies in a string of `length` bytes that starts at another place too. Beside
+that, passages are reported: runs of over `words` whole words whose bytes lie in strings of `passage`
+bytes that stand in another document too (shorter strings than those that go, so that passages of
+short words are found as well; nothing is removed for them). Both lengths go through the same steps,
+side by side, so texts are read and moved once.
+
+Places that can matter are found first: among any `length` consecutive bytes, the gram (of about a
+sixth as many bytes) with the least hash is an anchor (winnowing), so equal strings have equal anchors
+at one offset. The strings that chose an anchor make up its region. Regions of different places that
+agree in a 128-bit hash are repeated throughout and need no sorting. Anchors with different regions go, one row per region, to shards by their hash.
 A shard drops what cannot be repeated (no other string of `length` bytes in it has the same rolling
 hash), cuts regions to what can, and sorts the suffixes of the different rest by Larsson-Sadakane
 refinement (doubling the compared length, unsorted groups only) in numpy, with common prefixes by
@@ -16,12 +21,13 @@ is an anchor with more than `HOT` different regions, which one task should not s
 are compared across tasks by exact window digests (one row per window) instead of by binary search
 in each other's suffix arrays, whose number of searches would grow with the square of the shards.
 
-Scale: shuffled are anchors (about two in `length` - GRAM bytes), the texts twice (to cut regions,
+Scale: shuffled are anchors (about two in five sixths of a length), the texts twice (to cut regions,
 to cut results), and the regions that differ. Counts by region are combined on the map side, so
 copies that make up a third of the corpus are one row per task.
 
 Defined results: null text is empty. Texts shorter than `length` keep everything. Rows that repeat
-a doc_id and text are different documents: what they share is repeated. Empty tables give no rows;
+a doc_id and text are different documents: what they share is repeated. Words of a passage are
+separated by white space and lie in it whole. Empty tables give no rows;
 extra columns are ignored.
 """
 
@@ -33,18 +39,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import key_columns, mapped, materialize, table
 
-LENGTH, GRAM = 400, 128
+LENGTH = 400
+PASSAGE, WORDS = 240, 50
 HOT = 20_000
 SHARD_BYTES = 1 << 20
 CHUNK, BUFFER = 1 << 20, 1 << 19  # bytes worked on at a time
 _BASE = 0x9E3779B97F4A7C15
 
 
+KEY = ["n", "fp", "d", "d2"]  # length, hash of the anchor, hash of the region
+
+
+def gram(length: int) -> int:
+    """Bytes of an anchor among strings of `length`: the fewer, the fewer anchors are needed."""
+    return max(8, length * 4 // 25)
+
+
 @functools.cache
 def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(1 << bits, base, np.uint64), np.full(1 << bits, pow(base, -1, 1 << 64), np.uint64)
@@ -111,11 +127,10 @@ def _chosen(h: np.ndarray, w: int, valid: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _anchors(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """For all parts at once: part, anchor, its hash, region (start, end) and the region's hash."""
+    """For all parts at once: part, anchor, its hash, region (start, end) and the region's hash in two numbers."""
     sizes = np.array([len(p) for p in parts], np.int64)
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    roll = Rolling(data)
-    h, w = roll.every(GRAM), length - GRAM + 1
+    text = b"".join(parts)
+    h, w = Rolling(np.frombuffer(text, np.uint8)).every(gram(length)), length - gram(length) + 1
     valid = np.zeros(len(h) - w + 1, bool)
     begins = np.cumsum(sizes) - sizes
     for b, n in zip(begins.tolist(), sizes.tolist(), strict=True):
@@ -123,21 +138,22 @@ def _anchors(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     p, x, y = _chosen(h, w, valid)
     y += length
     part = np.searchsorted(begins, x, "right") - 1
-    d = roll(x, y) ^ ((p - x).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-    return part, p - begins[part], h[p], x - begins[part], y - begins[part], d
+    digest, view = xxhash.xxh3_128_digest, memoryview(text)
+    d = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(x.tolist(), y.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+    return part, p - begins[part], h[p], x - begins[part], y - begins[part], d[:, 0] ^ ((p - x).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), d[:, 1]
 
 
 def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Anchors of texts: text, place, hash, region (start, end) and the region's hash. Texts are
+    """Anchors of texts: text, place, hash, region (start, end) and the region's hash (two numbers). Texts are
     worked on together, long ones in parts that hold the strings that start there; what chose one
     anchor may be split at their ends."""
     out, parts, size = [], [], 0
 
     def flush() -> None:
         if parts:
-            part, p, fp, a, e, d = _anchors([c for _, _, c in parts], length)
+            part, p, fp, a, e, *d = _anchors([c for _, _, c in parts], length)
             text, offset = np.array([k for k, _, _ in parts])[part], np.array([s for _, s, _ in parts])[part]
-            out.append((text, p + offset, fp, a + offset, e + offset, d))
+            out.append((text, p + offset, fp, a + offset, e + offset, *d))
             parts.clear()
 
     for k, t in enumerate(texts):
@@ -150,7 +166,7 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
                 size = 0
     flush()
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -241,9 +257,9 @@ def _several(order: np.ndarray, first: np.ndarray, where: np.ndarray, many: np.n
     return several & (np.diff(np.r_[first, len(order)]) > 1)
 
 
-def sorted_spans(regions: list[bytes], absolute: np.ndarray, many: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
-    """For each region, the bytes in strings of `length` that start at a second place. `absolute`
-    numbers the place where each region starts."""
+def sorted_spans(regions: list[bytes], absolute: np.ndarray, many: np.ndarray, length: int, across: bool = False) -> list[list[tuple[int, int]]]:
+    """For each region, the bytes in strings of `length` that start at a second place (`across`: in a
+    second document). `absolute` numbers the place where each region starts (`across`: its document)."""
     sizes = np.array([len(r) for r in regions], np.int64)
     text = np.frombuffer(b"".join(regions), np.uint8)
     begins, owner = _starts(sizes), np.repeat(np.arange(len(sizes)), sizes)
@@ -251,7 +267,7 @@ def sorted_spans(regions: list[bytes], absolute: np.ndarray, many: np.ndarray, l
     order = suffix_array(text, ends, int(sizes.max()))  # to the end: Kasai's rule needs a full order
     shared = common_prefixes(text, begins, sizes, ends, order, length)[order]
     first = np.flatnonzero(shared < length)
-    where = absolute[owner] + np.arange(len(text)) - begins[owner]
+    where = absolute[owner] + (0 if across else np.arange(len(text)) - begins[owner])
     good = _several(order, first, where, many[owner])
     at = order[good[np.cumsum(shared < length) - 1]]
     at = at[ends[at] - at >= length]
@@ -266,12 +282,12 @@ def sorted_spans(regions: list[bytes], absolute: np.ndarray, many: np.ndarray, l
     return out
 
 
-def repeated_spans(regions: list[bytes], absolute: list[tuple[int, int]], many: list[bool], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+def repeated_spans(regions: list[bytes], absolute: list[tuple[int, int]], many: list[bool], length: int = LENGTH, across: bool = False) -> list[list[tuple[int, int]]]:
     """The same, for regions most of which have nothing repeated: those, and ends that cannot be, are
     dropped before the rest is sorted, and equal pieces are sorted once.
 
     `absolute`: the document and the place where each region starts; regions of one document may
-    overlap. `many`: whether the region is known to occur at several places.
+    overlap. `many`: whether the region is known to occur at several places (`across`: documents).
     """
     sizes = np.array([len(r) for r in regions], np.int64)
     out: list[list[tuple[int, int]]] = [[] for _ in regions]
@@ -288,11 +304,11 @@ def repeated_spans(regions: list[bytes], absolute: list[tuple[int, int]], many:
         keys.append(Rolling(np.frombuffer(b"".join(regions[k:m]), np.uint8))(start, start + length))
         k = m
     key = np.concatenate(keys)
-    spot = np.array([(a << 40) + b for a, b in absolute], np.int64)
+    spot = np.array([(a << 40) + (0 if across else b) for a, b in absolute], np.int64)
     flags = np.array(many, bool)
     order = np.argsort(key)
     first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-    good = np.repeat(_several(order, first, spot[owner] + at, flags[owner]), np.diff(np.r_[first, len(order)]))
+    good = np.repeat(_several(order, first, spot[owner] + (0 if across else at), flags[owner]), np.diff(np.r_[first, len(order)]))
     hit = np.sort(order[good])
     if not len(hit):
         return out
@@ -300,14 +316,14 @@ def repeated_spans(regions: list[bytes], absolute: list[tuple[int, int]], many:
     lo, hi = at[hit[begin]], at[hit[np.r_[begin[1:], len(hit)] - 1]] + length
     pieces: dict[bytes, list] = {}  # content -> its place, whether it has several, the regions that hold it
     for r, x, y in zip(mine.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        place = int(spot[r]) + x
+        place = int(spot[r]) + (0 if across else x)
         got = pieces.setdefault(regions[r][x:y], [place, bool(many[r]), []])
         got[1] |= place != got[0] or bool(many[r])
         got[2].append((r, x))
     if all(g[1] for g in pieces.values()):
         found = [[(0, len(p))] for p in pieces]
     else:
-        found = sorted_spans(list(pieces), np.array([g[0] for g in pieces.values()], np.int64), np.array([g[1] for g in pieces.values()]), length)
+        found = sorted_spans(list(pieces), np.array([g[0] for g in pieces.values()], np.int64), np.array([g[1] for g in pieces.values()]), length, across)
     for (content, (_, several, held)), spans in zip(pieces.items(), found, strict=True):
         for r, x in held:
             out[r] = [(x, x + len(content))] if several else [(x + a, x + b) for a, b in spans]
@@ -318,131 +334,160 @@ def _text(t) -> bytes:
     return t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
 
 
-def occurrences(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Anchors of every text: _i, _h, fp and d (hashes of anchor and region), a and e (the region), times;
+def occurrences(keyed: DataFrame, across: dict[int, bool]) -> DataFrame:
+    """Anchors of every text, for each length n: _i, _h, n, fp, d and d2 (hashes of anchor and region), a
+    and e (the region), times (across documents: 1 for the first of a text's equal regions, else 0);
     with null fp, spans [a, e) found repeated within the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            text, _, fp, a, e, d = anchors([_text(t) for t in b["text"]], length)
-            if not len(text):
-                continue
-            o = np.lexsort((a, d, fp, text))
-            text, fp, a, e, d = text[o], fp[o], a[o], e[o], d[o]
-            # a region that comes again within its text is repeated there; one row stands for it
-            first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (fp[1:] != fp[:-1]) | (d[1:] != d[:-1])])
-            times = np.diff(np.r_[first, len(text)])
-            again = np.flatnonzero(np.repeat(times > 1, times))
-            ids, hashes = b["_i"].to_numpy(), b["_h"].to_numpy()
-            yield pd.DataFrame({"_i": ids[text[first]], "_h": hashes[text[first]], "fp": fp[first].view(np.int64), "d": d[first].view(np.int64), "a": a[first], "e": e[first], "times": times})
-            own = []
-            for k in np.unique(text[again]):
-                mine = again[text[again] == k]
-                own += [(ids[k], hashes[k], x, y) for x, y in merged(list(zip(a[mine].tolist(), e[mine].tolist(), strict=True)))]
-            if own:
-                o = pd.DataFrame(own, columns=["_i", "_h", "a", "e"])
-                none = pd.array([None] * len(o), "Int64")
-                yield o.assign(fp=none, d=none, times=0)[["_i", "_h", "fp", "d", "a", "e", "times"]]
-
-    return mapped(keyed, run, "_i long, _h long, fp long, d long, a int, e int, times int")
-
-
-def _regions(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the regions that `wanted` (_i, _h, fp, d, a, e, many, hot) names."""
-    per = wanted.groupBy("_i", "_h").agg(F.collect_list(F.struct("fp", "d", "a", "e", "many", "hot")).alias("w"))
-    joined = keyed.join(per, ["_i", "_h"]).dropDuplicates(["_i", "_h"]).select("_i", "_h", "text", *[F.col(f"w.{c}").alias(c) for c in ("fp", "d", "a", "e", "many", "hot")])
-    names = ["i", "h", "fp", "d", "many", "hot", "start", "bytes"]
+            texts, ids, hashes = [_text(t) for t in b["text"]], b["_i"].to_numpy(), b["_h"].to_numpy()
+            for n in across:
+                text, _, fp, a, e, d, d2 = anchors(texts, n)
+                if not len(text):
+                    continue
+                o = np.lexsort((a, d2, d, fp, text))
+                text, fp, a, e, d, d2 = text[o], fp[o], a[o], e[o], d[o], d2[o]
+                first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (fp[1:] != fp[:-1]) | (d[1:] != d[:-1]) | (d2[1:] != d2[:-1])])
+                times = np.diff(np.r_[first, len(text)])
+                if across[n]:
+                    times = np.bincount(first, minlength=len(text))
+                    first = np.arange(len(text))
+                # else a region that comes again within its text is repeated there; one row stands for it
+                again = np.flatnonzero(np.repeat(times > 1, times))  # none across documents
+                yield pd.DataFrame({"_i": ids[text[first]], "_h": hashes[text[first]], "n": n, "fp": fp[first].view(np.int64), "d": d[first].view(np.int64), "d2": d2[first].view(np.int64), "a": a[first], "e": e[first], "times": times})
+                own = []
+                for k in np.unique(text[again]):
+                    mine = again[text[again] == k]
+                    own += [(ids[k], hashes[k], n, x, y) for x, y in merged(list(zip(a[mine].tolist(), e[mine].tolist(), strict=True)))]
+                if own:
+                    o = pd.DataFrame(own, columns=["_i", "_h", "n", "a", "e"])
+                    none = pd.array([None] * len(o), "Int64")
+                    yield o.assign(fp=none, d=none, d2=none, times=0)[["_i", "_h", "n", "fp", "d", "d2", "a", "e", "times"]]
+
+    return mapped(keyed, run, "_i long, _h long, n int, fp long, d long, d2 long, a int, e int, times int")
+
+
+def _regions(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of the regions that `wanted` (_i, _h, KEY, a, e, many, hot) names."""
+    names = [*KEY, "a", "e", "many", "hot"]
+    per = wanted.groupBy("_i", "_h").agg(F.collect_list(F.struct(*names)).alias("w"))
+    joined = keyed.join(per, ["_i", "_h"]).dropDuplicates(["_i", "_h"]).select("_i", "_h", "text", *[F.col(f"w.{c}").alias(c) for c in names])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["i", "h", *KEY, "many", "hot", "start", "bytes"]
         for b in batches:
             rows: list[tuple] = []
             for i, h, t, *cols in b.itertuples(index=False, name=None):
                 data = _text(t)
-                rows += [(i, h, fp, d, many, hot, a, data[a:e]) for fp, d, a, e, many, hot in zip(*cols, strict=True)]
+                rows += [(i, h, *key, many, hot, a, data[a:e]) for *key, a, e, many, hot in zip(*cols, strict=True)]
                 if len(rows) > 5_000:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield pd.DataFrame(rows, columns=columns)
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=names)
+                yield pd.DataFrame(rows, columns=columns)
+
+    return mapped(joined, run, "i long, h long, n int, fp long, d long, d2 long, many boolean, hot boolean, start int, bytes binary")
 
-    return mapped(joined, run, "i long, h long, fp long, d long, many boolean, hot boolean, start int, bytes binary")
 
+SPANS = "n int, fp long, d long, d2 long, x int, y int"
 
-def _sorted_spans(regions: DataFrame, shards: int, length: int) -> DataFrame:
+
+def _sorted_spans(regions: DataFrame, shards: int, across: dict[int, bool]) -> DataFrame:
     """Spans of regions, relative to their starts, by suffix arrays of shards."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        docs = pd.MultiIndex.from_frame(b[["i", "h"]]).factorize()[0]
-        found = repeated_spans(list(b["bytes"]), list(zip(docs.tolist(), b["start"].tolist(), strict=True)), list(b["many"]), length)
-        rows = [(fp, d, x, y) for fp, d, spans in zip(b["fp"], b["d"], found, strict=True) for x, y in spans]
-        return pd.DataFrame(rows, columns=["fp", "d", "x", "y"])
+        docs, n = pd.MultiIndex.from_frame(b[["i", "h"]]).factorize()[0], int(b["n"].iloc[0])
+        found = repeated_spans(list(b["bytes"]), list(zip(docs.tolist(), b["start"].tolist(), strict=True)), list(b["many"]), n, across[n])
+        rows = [(n, fp, d, d2, x, y) for fp, d, d2, spans in zip(b["fp"], b["d"], b["d2"], found, strict=True) for x, y in spans]
+        return pd.DataFrame(rows, columns=[*KEY, "x", "y"])
 
     shard = F.pmod(F.xxhash64("fp"), F.lit(shards))
-    return regions.withColumn("shard", shard).groupBy("shard").applyInPandas(lambda b: run(b), "fp long, d long, x int, y int")
+    return regions.withColumn("shard", shard).groupBy("n", "shard").applyInPandas(lambda b: run(b), SPANS)
 
 
-def _window_spans(regions: DataFrame, length: int) -> DataFrame:
+def _window_spans(regions: DataFrame, across: dict[int, bool]) -> DataFrame:
     """The same for anchors with very many regions: every window of a region is looked up by digest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):  # one row per window each
-                at = range(len(r.bytes) - length + 1)
-                w = [hashlib.blake2b(r.bytes[x : x + length], digest_size=16).digest() for x in at]
-                yield pd.DataFrame({"fp": r.fp, "d": r.d, "x": list(at), "w": w, "place": [f"{r.i}:{r.h}:{r.start + x}" for x in at], "many": r.many})
+                at = range(len(r.bytes) - r.n + 1)
+                w = [hashlib.blake2b(r.bytes[x : x + r.n], digest_size=16).digest() for x in at]
+                yield pd.DataFrame({"n": r.n, "fp": r.fp, "d": r.d, "d2": r.d2, "x": list(at), "w": w, "place": [f"{r.i}:{r.h}" + ("" if across[r.n] else f":{r.start + x}") for x in at], "many": r.many})
 
-    rows = mapped(regions, run, "fp long, d long, x int, w binary, place string, many boolean")
-    twice = rows.groupBy("w").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("many").alias("many")).where("many or lo <> hi").select("w")
-    return rows.join(twice, "w").select("fp", "d", "x", (F.col("x") + length).alias("y"))
+    rows = mapped(regions, run, "n int, fp long, d long, d2 long, x int, w binary, place string, many boolean")
+    twice = rows.groupBy("n", "w").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("many").alias("many")).where("many or lo <> hi").select("n", "w")
+    return rows.join(twice, ["n", "w"]).select(*KEY, "x", (F.col("x") + F.col("n")).alias("y"))
 
 
-def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """_i, _h (document key), cut: [start, end) of the repeated bytes, in order, not merged."""
+def spans(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> DataFrame:
+    """_i, _h (document key), n, cut: [start, end) of the bytes repeated in strings of n, in order, not
+    merged. For `passage`, repeated in other documents."""
+    across = {length: False} | ({passage: True} if passage else {})
     i, h = key_columns()
     keyed = docs.select(i.alias("_i"), h.alias("_h"), F.col("text").cast("string").alias("text"))
-    found = materialize(occurrences(keyed, length))
-    occ = found.where("fp is not null")
-    groups = occ.groupBy("fp", "d").agg((F.sum("times") > 1).alias("many"), F.min(F.struct("_i", "_h", "a", "e")).alias("rep"))
-    # what is met once, alone with its anchor, is repeated nowhere
-    crowds = materialize(groups.groupBy("fp").agg(F.count("*").alias("m"), F.max("many").alias("many")).where("m > 1 or many").select("fp", (F.col("m") > 1).alias("crowded"), (F.col("m") > HOT).alias("hot")))
-    groups = materialize(groups.join(crowds, "fp"))
-    wanted = groups.where("crowded").select("rep._i", "rep._h", "fp", "d", "rep.a", "rep.e", "many", "hot")
-    regions = materialize(_regions(keyed, wanted, length))
-    shards = max(1, int((regions.agg(F.sum(F.octet_length("bytes"))).head()[0] or 0) // SHARD_BYTES) + 1)
-    some = _sorted_spans(regions.where("not hot"), shards, length).unionByName(_window_spans(regions.where("hot"), length))
+    found = materialize(occurrences(keyed, across))
+    # what is met once is repeated nowhere: most anchors go here, by small rows
+    often = materialize(found.where("fp is not null").groupBy("n", "fp").agg(F.sum("times").alias("times")).where("times > 1").select("n", "fp"))
+    occ = materialize(found.join(often, ["n", "fp"]))
+    groups = materialize(occ.groupBy(*KEY).agg((F.sum("times") > 1).alias("many"), F.min(F.struct("_i", "_h", "a", "e")).alias("rep")))
+    # a region alone with its anchor is met nowhere else in part
+    crowds = groups.groupBy("n", "fp").agg(F.count("*").alias("m")).where("m > 1").select("n", "fp", (F.col("m") > HOT).alias("hot"))
+    wanted = groups.join(crowds, ["n", "fp"]).select("rep._i", "rep._h", *KEY, "rep.a", "rep.e", "many", "hot")
+    regions = materialize(_regions(keyed, wanted))
+    shards = max(1, int((regions.agg(F.sum(F.octet_length("bytes"))).head()[0] or 0) // SHARD_BYTES // len(across)) + 1)
+    some = _sorted_spans(regions.where("not hot"), shards, across).unionByName(_window_spans(regions.where("hot"), across))
     # what is known of a region holds wherever it occurs; regions that occur twice are covered whole
-    whole = groups.where("many").select("fp", "d", F.lit(None).cast("array<struct<x:int,y:int>>").alias("cover"))
-    facts = some.groupBy("fp", "d").agg(F.collect_list(F.struct("x", "y")).alias("cover")).join(whole.select("fp", "d"), ["fp", "d"], "left_anti")
+    whole = groups.where("many").select(*KEY, F.lit(None).cast("array<struct<x:int,y:int>>").alias("cover"))
+    facts = some.groupBy(*KEY).agg(F.collect_list(F.struct("x", "y")).alias("cover")).join(whole.select(*KEY), KEY, "left_anti")
     covers = materialize(facts.unionByName(whole))
     cut = F.when(F.col("cover").isNull(), F.array(F.struct("a", "e"))).otherwise(F.transform("cover", lambda c: F.struct((F.col("a") + c["x"]).alias("a"), (F.col("a") + c["y"]).alias("e"))))
-    placed = occ.select("_i", "_h", "fp", "d", "a", "e").join(covers, ["fp", "d"]).select("_i", "_h", cut.alias("cut"))
-    own = found.where("fp is null").select("_i", "_h", F.array(F.struct("a", "e")).alias("cut"))
-    return placed.unionByName(own).groupBy("_i", "_h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"))
+    placed = occ.select("_i", "_h", *KEY, "a", "e").join(covers, KEY).select("_i", "_h", "n", cut.alias("cut"))
+    own = found.where("fp is null").select("_i", "_h", "n", F.array(F.struct("a", "e")).alias("cut"))
+    return placed.unionByName(own).groupBy("_i", "_h", "n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"))
+
 
+def whole_words(data: bytes, start: int, end: int) -> int:
+    """Words of a text that lie in [start, end) whole."""
+    part = data[start:end].split()
+    if part and start and not data[start - 1 : start].isspace() and not data[start : start + 1].isspace():
+        part = part[1:]
+    if part and end < len(data) and not data[end - 1 : end].isspace() and not data[end : end + 1].isspace():
+        part = part[:-1]
+    return len(part)
 
-def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), removed (spans) per row."""
+
+def remove(docs: DataFrame, length: int = LENGTH, passage: int | None = PASSAGE, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), removed (spans), passages
+    (spans) and passage_words (the words in them) per row."""
     i, h = key_columns()
-    cut = spans(docs, length).select("_i", "_h", F.col("cut.a").alias("a"), F.col("cut.e").alias("e"))
+    of = lambda n: F.max(F.when(F.col("n") == (n or -1), F.col("cut")))  # noqa: E731  one row each
+    cut = spans(docs, length, passage).groupBy("_i", "_h").agg(of(length).alias("cut"), of(passage).alias("seen"))
+    cut = cut.select("_i", "_h", *[F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in ("cut", "seen") for x in ("a", "e")])
     had = docs.select(i.alias("_i"), h.alias("_h"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(cut, ["_i", "_h"], "left").drop("_i", "_h")
 
+    def of_text(a, e, size: int) -> list[tuple[int, int]]:
+        return merged([(max(0, int(x)), min(size, int(y))) for x, y in zip(a, e, strict=True)]) if a is not None else []
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, t, a, e in zip(b["doc_id"], b["text"], b["a"], b["e"], strict=True):
+            for i, t, *found in b.itertuples(index=False, name=None):
                 data = _text(t)
-                gone = merged([(max(0, int(x)), min(len(data), int(y))) for x, y in zip(a, e, strict=True)]) if a is not None else []
+                gone, seen = of_text(*found[:2], len(data)), of_text(*found[2:], len(data))
                 kept, at = [], 0
                 for x, y in gone:
                     kept.append(data[at:x])
                     at = y
                 kept.append(data[at:])
-                rows.append((i, len(data), sum(y - x for x, y in gone), len(gone), b"".join(kept), [x for s in gone for x in s]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"]).astype({"doc_id": "Int64"})
+                seen = [(x, y, n) for x, y in seen if (n := whole_words(data, x, y)) > words]
+                rows.append((i, len(data), sum(y - x for x, y in gone), len(gone), b"".join(kept), [x for s in gone for x in s], [x for s in seen for x in s[:2]], sum(n for _, _, n in seen)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed", "passages", "passage_words"]).astype({"doc_id": "Int64"})
 
-    return mapped(had, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<long>")
+    return mapped(had, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<long>, passages array<long>, passage_words long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = remove(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("passage_words").alias("n_passage_words"))

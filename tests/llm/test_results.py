@@ -337,14 +337,14 @@ def test_weak_parts_in_common_files(text, want):
 # 7
 
 
-def covered(texts, length):
+def covered(texts, length, across=False):
     seen = defaultdict(list)
     for d, t in enumerate(texts):
         for s in range(len(t) - length + 1):
             seen[t[s : s + length]].append((d, s))
     out = [np.zeros(len(t), bool) for t in texts]
     for places in seen.values():
-        for d, s in places if len(places) > 1 else ():
+        for d, s in places if len({d for d, _ in places} if across else places) > 1 else ():
             out[d][s : s + length] = True
     return out
 
@@ -364,6 +364,22 @@ def test_repeated_bytes(spark, monkeypatch, hot):
     for k, (t, gone) in enumerate(zip(data, want, strict=True)):
         assert (got[k]["n_removed"], bytes(got[k]["kept"])) == (gone.sum(), np.frombuffer(t, np.uint8)[~gone].tobytes())
         assert got[k]["n_spans"] == (np.diff(np.r_[0, gone.astype(int)]) == 1).sum()
+    for k, (t, seen) in enumerate(zip(data, covered(data, op7_suffixes.PASSAGE, across=True), strict=True)):
+        edge = np.flatnonzero(np.diff(np.r_[0, seen.astype(int), 0])).tolist()
+        runs = [(a, b, sum(a <= m.start() and m.end() <= b for m in re.finditer(rb"\S+", t))) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+        assert (got[k]["passages"], got[k]["passage_words"]) == ([x for a, b, n in runs if n > 50 for x in (a, b)], sum(n for _, _, n in runs if n > 50))
+
+
+def test_passages_of_over_fifty_words(spark):
+    """Passages of 51 words and under 400 bytes are reported and stay; shorter ones and repeats within a document are not reported."""
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    passage, short, own = text(51), text(49), text(60)
+    assert 240 <= len(passage) < 400
+    texts = [f"{text(40)} {passage} {text(90)}", f"{text(70)}\n{passage}\n{text(30)}", f"{text(70)} {short} {text(30)}", f"{text(20)} {short} {text(50)}", f"{own} {text(30)} {own}", text(150)]
+    got = {r["doc_id"]: r for r in op7_suffixes.remove(frame(spark, texts)).collect()}
+    assert [got[k]["passage_words"] for k in range(6)] == [51, 51, 0, 0, 0, 0]
+    assert all(got[k]["n_removed"] == 0 for k in range(6) if k != 4)
 
 
 def test_suffix_array_and_common_prefixes():
@@ -387,18 +403,19 @@ def test_every_string_chooses_one_anchor(monkeypatch, chunk):
     texts = [bytes(rng.choice(b"abcdefgh") for _ in range(5000)), b"short", b"abcab" * 400, b"z" * 900 + bytes(range(256)) * 3, b"", b"q" * 400]
     found = op7_suffixes.anchors(texts)
     for k, data in enumerate(texts):
-        p, fp, a, e, _ = (c[found[0] == k] for c in found[1:])
+        p, fp, a, e, *_ = (c[found[0] == k] for c in found[1:])
         if len(data) < 400:
             assert not len(p)
             continue
         raw = np.frombuffer(data, np.uint8)
-        h = op7_suffixes.Rolling(raw).every(op7_suffixes.GRAM)
+        gram = op7_suffixes.gram(400)
+        h = op7_suffixes.Rolling(raw).every(gram)
         starts = Counter()
         for q, f, x, y in zip(p.tolist(), fp, a.tolist(), e.tolist(), strict=True):
             assert h[q] == f
             for s in range(x, y - 400 + 1):
                 starts[s] += 1
-                assert q == s + int(h[s : s + 400 - op7_suffixes.GRAM + 1].argmin())
+                assert q == s + int(h[s : s + 400 - gram + 1].argmin())
         assert starts == Counter(range(len(data) - 399))
 
 
