@@ -1,16 +1,25 @@
 """URL filter: longest host/path rule first, else logistic regression on hashed character n-grams.
 
-Plain DataFrame code. The n-grams of host and path are hashed into `BUCKETS` counters. The model
-is fitted on a small labelled table (at most `MAX_LABELLED` rows) by gradient descent inside one
-SQL expression; what reaches the driver is the weight vector, `BUCKETS` + 1 numbers.
+Plain DataFrame code. The n-grams of the host are hashed into the first `HOST_BUCKETS` counters,
+those of the path into the other `PATH_BUCKETS`; a URL's counters are divided by the root of their
+number. The model is fitted on the driver from a small labelled table of URLs (at most `MAX_LABELLED`
+rows, which is checked) by gradient descent; pages are judged by an expression that holds its weights.
 
 Defined results: a null url, or one without `://`, has empty host and path, fits no rule and is
 judged by the model on no n-grams (its intercept). Repeated rows are judged one by one; an empty
-table gives no rows; extra columns of the input are ignored.
+table gives no rows. Columns that are not asked for are ignored, whatever their names; a column to
+be kept must not be named like a result.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +27,45 @@ from .common import LOWER, UPPER, ascii_lower, table
 
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
-# A prime: n-gram hashes are taken modulo it.
-BUCKETS = 1021
-STEPS, RATE, DECAY, MAX_LABELLED = 150, 100.0, 1e-6, 2000
+# Primes: n-gram hashes are taken modulo them.
+HOST_BUCKETS, PATH_BUCKETS = 8191, 509
+BUCKETS = HOST_BUCKETS + PATH_BUCKETS
+STEPS, RATE, DECAY, MAX_LABELLED = 300, 4.0, 1e-3, 2000
 SIZES = (3, 4)
+#: A little above a half: hosts of unknown n-grams are allowed.
+THRESHOLD = 0.6
 HOST, PATH = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
 
-# The labelled URL table, used where the caller brings none: 1 is to be blocked.
-_BAD_HOSTS = ("spam-farm.example.org", "cheap-pills.shop", "free-casino-bonus.biz", "adult-x.example.net", "xxx-adult-cams.tv", "hot-adult-dating.site", "warez-crack.download", "win-prize-lottery.click", "best-poker-casino.bet", "replica-watches-outlet.shop", "payday-loan-fast.biz", "torrent-keygen.download", "viagra-pills-online.biz", "seo-spam-links.click", "clickbait-spam.farm", "free-bets-online.bet")
-_GOOD_HOSTS = ("www.university-library.edu", "blog.gardening.example.com", "news.city-paper.org", "docs.project.example.net", "m.museum.example.org", "wiki.history-society.org", "recipes.kitchen.example.com", "www.weather-service.gov", "forum.cycling.example.net", "science.journal.example.org", "travel.mountains.example.com", "www.school-district.edu", "music.archive.example.org", "code.review.example.net", "books.reading.example.com")
-_BAD_PATHS, _GOOD_PATHS = ("/win/free-bonus", "/buy/cheap-pills.html", "/xxx/cams/12"), ("/en/412", "/de/articles/88.html", "/fr/history/")
+# Words of which the labelled table's hosts are made, those of hosts to be blocked first.
+BAD = "casino poker slots jackpot betting gambling bets viagra pills pharmacy meds adult porn xxx escort webcam dating warez crack keygen torrent nulled serial spam clickbait malware phishing scam lottery prize winner giveaway payday loan cash replica counterfeit weightloss miracle ads popup track linkfarm contentfarm spammer adults xrated nude sexy".split()
+BAD_BESIDE = "free cheap best online win hot live super mega easy".split()
+GOOD = "university library museum science history garden recipes kitchen weather school city council news journal music archive travel mountain hiking cycling football books reading poetry theatre film photo nature forest river ocean earth north south health clinic hospital research physics chemistry biology math engineering software code review docs project wiki forum community church family baby pets dog bird market food coffee bakery wine design art gallery craft knitting wood home house furniture train station airport hotel map government statistics law court election theory thesis thread thing method other together education nation motion".split()
+GOOD_BESIDE = "the our my new old daily open green that little".split()
+PREFIXES, SUFFIXES = ("", "www.", "m.", "blog.", "de.", "shop."), ("com", "net", "org", "info", "biz", "shop", "site", "example.com", "example.net", "example.org")
+PATHS = ("/", "/en/412", "/de/articles/88.html", "/fr/history/", "/es/7", "/index.html", "/2021/05/a-page", "/en/9063/")
+
+
+def _hosts(words: list[str], beside: list[str], each: int) -> Iterator[str]:
+    """Hosts of two words, `each` for every word; what surrounds the words goes round."""
+    for i, a in enumerate(words):
+        for k in range(each):
+            b = words[(i * 7 + 11 * k + 3) % len(words)] if (i + k) % 3 else beside[(i + k) % len(beside)]
+            if a != b:
+                yield PREFIXES[(i + k) % len(PREFIXES)] + ("", "-")[(i + k) % 2].join((a, b) if k % 2 else (b, a)) + "." + SUFFIXES[(3 * i + k) % len(SUFFIXES)]
+
+
+def labelled_rows() -> list[tuple[str, int]]:
+    """The labelled URLs, used where the caller brings none: 1 is to be blocked. Paths don't tell."""
+    return [(f"https://{h}{PATHS[k % len(PATHS)]}", y) for y, words, beside, each in ((1, BAD, BAD_BESIDE, 8), (0, GOOD, GOOD_BESIDE, 4)) for k, h in enumerate(_hosts(words, beside, each))]
+
+
+def held_out(url: str) -> bool:
+    """Whether a labelled URL is kept for measuring: a quarter, by its host."""
+    return zlib.crc32(url.split("/")[2].encode()) % 4 == 0
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    rows = [(f"https://{h}{p}", y) for hosts, paths, y in ((_BAD_HOSTS, _BAD_PATHS, 1), (_GOOD_HOSTS, _GOOD_PATHS, 0)) for h in hosts for p in paths]
-    rows += [(f"http://{h}{p}", y) for hosts, paths, y in ((_BAD_HOSTS, _GOOD_PATHS, 1),) for h in hosts for p in paths]
-    return spark.createDataFrame(rows, "url string, label int")
+    return spark.createDataFrame(labelled_rows(), "url string, label int").repartition(1)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -42,40 +74,62 @@ def parts(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(u, HOST, 1)), F.regexp_extract(u, PATH, 1)
 
 
-def _ngrams(codes: Column, seed: int, n: int) -> Column:
+def _ngrams(codes: Column, n: int, buckets: int, shift: int) -> Column:
     def at(i: Column) -> Column:
-        h = F.lit(seed * 10 + n).cast("long")
+        h = F.lit(n).cast("long")
         for k in range(n):
             h = h * F.lit(131) + F.element_at(codes, (i + F.lit(k)).cast("int"))
-        return (h % F.lit(BUCKETS)).cast("int")
+        return (h % F.lit(buckets) + F.lit(shift)).cast("int")
 
     last = F.size(codes) - F.lit(n - 1)
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), at)).otherwise(F.array().cast("array<int>"))
 
 
-def with_buckets(df: DataFrame) -> DataFrame:
-    """Appends `_b`, the buckets of all n-grams of host and path, as often as they occur."""
-    for c in ("host", "path"):  # code points first: the n-grams then read an array
-        df = df.withColumn(f"_{c}", F.when(F.length(c) > 0, F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long"))).otherwise(F.array().cast("array<bigint>")))
-    return df.withColumn("_b", F.concat(*[_ngrams(F.col(f"_{c}"), seed, n) for c, seed in (("host", 1), ("path", 2)) for n in SIZES])).drop("_host", "_path")
+def _codes(c: str) -> Column:
+    """Code points first: the n-grams then read an array."""
+    return F.when(F.length(c) > 0, F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
 
-def fit(labelled: DataFrame) -> list[float]:
-    """Weights by bucket, then the intercept. One row holds all labelled URLs: their number is checked."""
-    rows = labelled.where("url is not null and label is not null").limit(MAX_LABELLED + 1)
-    host, path = parts(F.col("url"))
-    b = with_buckets(rows.select(F.col("label").cast("double").alias("y"), host.alias("host"), path.alias("path"))).withColumnRenamed("_b", "b")
-    dense = b.select("y", F.transform(F.sequence(F.lit(1), F.lit(BUCKETS)), lambda j: F.size(F.filter("b", lambda x: x == j - 1)) / F.greatest(F.size("b"), F.lit(1)).cast("double")).alias("x"))
-    one = dense.groupBy().agg(F.sort_array(F.collect_list(F.struct("y", "x"))).alias("d"))
-    steps = f"""
-      aggregate(sequence(1, {STEPS}), array_repeat(0D, {BUCKETS + 1}), (w, t) ->
-        aggregate(transform(d, r -> struct(r.x AS x, r.y - 1 / (1 + exp(-(element_at(w, {BUCKETS + 1})
-              + aggregate(zip_with(slice(w, 1, {BUCKETS}), r.x, (p, q) -> p * q), 0D, (s, z) -> s + z)))) AS g)), w,
-          (v, e) -> zip_with(v, concat(e.x, array(0.05D)), (p, q) -> p * {1 - DECAY}D + {RATE}D / size(d) * e.g * q)))"""
-    found = one.select(F.size("d").alias("n"), F.expr(steps).alias("w")).head()
-    if found["n"] > MAX_LABELLED:
+def plain_buckets(host: str, path: str) -> list[int]:
+    """The buckets of all n-grams of host and path, as often as they occur."""
+    out = []
+    for s, buckets, shift in ((host, HOST_BUCKETS, 0), (path, PATH_BUCKETS, HOST_BUCKETS)):
+        for n in SIZES:
+            for i in range(len(s) - n + 1):
+                h = n
+                for c in s[i : i + n]:
+                    h = h * 131 + ord(c)
+                out.append(h % buckets + shift)
+    return out
+
+
+def plain_parts(url: str | None) -> tuple[str, str]:
+    host, path = re.match(HOST, url or ""), re.match(PATH, url or "")
+    return (host[1] if host else "").translate(str.maketrans(UPPER, LOWER)), path[1] if path else ""
+
+
+def fit_rows(rows: list[tuple[str, int]]) -> list[float]:
+    """Weights by bucket, then the intercept."""
+    if len(rows) > MAX_LABELLED:
         raise ValueError(f"more than {MAX_LABELLED} labelled URLs")
-    return list(found["w"]) if found["n"] else [0.0] * (BUCKETS + 1)
+    if not rows:
+        return [0.0] * (BUCKETS + 1)
+    rows = sorted(rows)
+    found = [plain_buckets(*plain_parts(u)) for u, _ in rows]
+    sizes = np.array([len(b) for b in found])
+    row, col, y = np.repeat(np.arange(len(rows)), sizes), np.concatenate([np.array(b, np.int64) for b in found]), np.array([float(label) for _, label in rows])
+    value = 1 / np.sqrt(np.maximum(sizes, 1))[row]
+    w, intercept = np.zeros(BUCKETS), 0.0
+    for _ in range(STEPS):
+        error = y - 1 / (1 + np.exp(-(np.bincount(row, w[col] * value, len(rows)) + intercept)))
+        w += RATE * (np.bincount(col, value * error[row], BUCKETS) / len(rows) - DECAY * w)
+        intercept += RATE * error.mean()
+    return [float(x) for x in (*w, intercept)]
+
+
+def fit(labelled: DataFrame) -> list[float]:
+    """The same from a table of url and label; rows with a null in either are not learned from."""
+    return fit_rows([(r["url"], r["label"]) for r in labelled.where("url is not null and label is not null").select("url", "label").limit(MAX_LABELLED + 1).collect()])
 
 
 def rule_column(host: Column, path: Column, rules) -> tuple[Column, Column]:
@@ -87,63 +141,38 @@ def rule_column(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def judge(pages: DataFrame, weights: list[float], rules=RULES, url: str = "url", threshold: float = 0.5) -> DataFrame:
-    """`pages` with host, path, rule, score (chance to be blocked) and verdict appended."""
-    host, path = parts(F.col(url))
-    w = F.array(*[F.lit(float(x)) for x in weights[:BUCKETS]])
-    got = with_buckets(pages.withColumns({"host": host, "path": path}))
-    total = F.aggregate("_b", F.lit(0.0), lambda s, j: s + F.element_at(w, j + 1))
-    got = got.withColumn("score", 1 / (1 + F.exp(-(F.lit(float(weights[BUCKETS])) + total / F.greatest(F.size("_b"), F.lit(1))))))
+def judge(pages: DataFrame, weights: list[float], rules=RULES, url: str = "url", threshold: float = THRESHOLD, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """The columns of `pages` to keep, then host, path, rule, score (chance to be blocked) and verdict."""
+    if clash := {"host", "path", "rule", "score", "verdict"} & set(keep):
+        raise ValueError(f"columns to keep are named like results: {sorted(clash)}")
+    host, path = parts(F.col(f"`{url}`"))
+    got = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), host.alias("host"), path.alias("path"))
+    got = got.select("*", _codes("host").alias("h"), _codes("path").alias("p"))
+    b = F.concat(*[_ngrams(F.col(c), n, buckets, shift) for c, buckets, shift in (("h", HOST_BUCKETS, 0), ("p", PATH_BUCKETS, HOST_BUCKETS)) for n in SIZES])
+    w = F.split(F.lit(",".join(map(repr, weights[:BUCKETS]))), ",").cast("array<double>")  # a constant: folded once
+    got = got.select("kept", "host", "path", b.alias("b"))
+    total = F.aggregate("b", F.lit(0.0), lambda s, j: s + F.element_at(w, j + 1))
+    score = 1 / (1 + F.exp(-(F.lit(float(weights[BUCKETS])) + total / F.sqrt(F.greatest(F.size("b"), F.lit(1)).cast("double")))))
     rule, verdict = rule_column(F.col("host"), F.col("path"), rules)
-    return got.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("score") > threshold, F.lit("block")).otherwise(F.lit("allow")))}).drop("_b")
+    got = got.select("kept", "host", "path", rule.alias("rule"), score.alias("score"), verdict.alias("given"))
+    return got.select("kept.*", "host", "path", "rule", "score", F.coalesce("given", F.when(F.col("score") > threshold, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, fit(labelled_urls(spark))).select("page_id", "host", "path", "rule", "verdict")
-
+    return judge(table(spark, sf_dir, "pages"), fit(labelled_urls(spark))).select("page_id", "host", "path", "rule", "verdict")
 
-def _train_plain() -> list[float]:
-    """The same model in plain Python, for the SQL oracle."""
-    import math
-    from collections import Counter
 
-    def buckets(s, seed):
-        for n in SIZES:
-            for i in range(len(s) - n + 1):
-                h = seed * 10 + n
-                for c in s[i : i + n]:
-                    h = h * 131 + ord(c)
-                yield h % BUCKETS
-
-    data = []
-    for hosts, paths, y, scheme in ((_BAD_HOSTS, _BAD_PATHS, 1, "s"), (_GOOD_HOSTS, _GOOD_PATHS, 0, "s"), (_BAD_HOSTS, _GOOD_PATHS, 1, "")):
-        for h in hosts:
-            for p in paths:
-                c = Counter([*buckets(h, 1), *buckets(p, 2)])
-                n = sum(c.values())
-                data.append((float(y), {j: v / n for j, v in c.items()}))
-    w, b = [0.0] * BUCKETS, 0.0
-    for _ in range(STEPS):
-        g = [y - 1 / (1 + math.exp(-(b + sum(w[j] * v for j, v in x.items())))) for y, x in data]
-        decay = (1 - DECAY) ** len(data)
-        w = [v * decay for v in w]
-        b *= decay
-        for k, ((_, x), e) in enumerate(zip(data, g, strict=True)):
-            for j, v in x.items():
-                w[j] += RATE / len(data) * e * v
-            b += RATE / len(data) * e * 0.05
-    return [*w, b]
-
-
-def _oracle() -> str:
-    w = _train_plain()
+@functools.cache
+def oracle_sql() -> str:
+    """The same judgement as DuckDB SQL, with the weights of the same fit."""
+    w = fit_rows(labelled_rows())
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     rules = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    spread = (("host", HOST_BUCKETS, 0), ("path", PATH_BUCKETS, HOST_BUCKETS))
     grams = " + ".join(
-        f"coalesce(list_sum(list_transform(range(1, length({c}) - {n - 2}), lambda i: w[1 + (({'(' * (n - 1)}{(seed * 10 + n)}::BIGINT * 131 + unicode({c}[i]))"
-        + "".join(f" * 131 + unicode({c}[i + {k}]))" for k in range(1, n)) + f" % {BUCKETS})])), 0)"
-        for c, seed in (("host", 1), ("path", 2)) for n in SIZES
+        f"coalesce(list_sum(list_transform(range(1, length({c}) - {n - 2}), lambda i: w[{1 + shift} + (({'(' * (n - 1)}{n}::BIGINT * 131 + unicode({c}[i]))"
+        + "".join(f" * 131 + unicode({c}[i + {k}]))" for k in range(1, n)) + f" % {buckets})])), 0)"
+        for c, buckets, shift in spread for n in SIZES
     )
     count = " + ".join(f"greatest(length({c}) - {n - 1}, 0)" for c in ("host", "path") for n in SIZES)
     return f"""
@@ -151,11 +180,8 @@ WITH p AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{HOST}', 1), '{UPPER}', '{LOWER}') AS host,
          regexp_extract(coalesce(url, ''), '{PATH}', 1) AS path, [{', '.join(f'{x!r}::DOUBLE' for x in w[:BUCKETS])}] AS w
   FROM pages),
-s AS (SELECT page_id, host, path, {w[BUCKETS]!r}::DOUBLE + ({grams}) / greatest({count}, 1) AS z FROM p)
+s AS (SELECT page_id, host, path, {w[BUCKETS]!r}::DOUBLE + ({grams}) / sqrt(greatest({count}, 1)) AS z FROM p)
 SELECT page_id, host, path,
        CASE {' '.join(f"WHEN {fits(h, q)} THEN '{h}{q}'" for h, q, _ in rules)} END AS rule,
-       CASE {' '.join(f"WHEN {fits(h, q)} THEN '{v}'" for h, q, v in rules)} WHEN z > 0 THEN 'block' ELSE 'allow' END AS verdict
+       CASE {' '.join(f"WHEN {fits(h, q)} THEN '{v}'" for h, q, v in rules)} WHEN z > {math.log(THRESHOLD / (1 - THRESHOLD))!r}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict
 FROM s"""
-
-
-ORACLE_SQL = _oracle()

@@ -18,5 +18,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    known = {_name(m): getattr(m, "ORACLE_SQL", None) for m in MODULES} | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    known = {_name(m): m.oracle_sql() if hasattr(m, "oracle_sql") else getattr(m, "ORACLE_SQL", None) for m in MODULES} | {"pipeline": corpus_pipeline.ORACLE_SQL}
     return {n: sql for n, sql in known.items() if sql}
