@@ -7,8 +7,8 @@ regression on training rows kept out of the fit turns the ridge score into a pro
 between the centres of its steps.
 
 Bound: the fit uses at most about `MAX_LABELLED` labelled rows, picked by a hash of their id so
-that all are equally likely; each partition of them sends one matrix, and they lie in
-`FIT_PARTITIONS` partitions. Every document is scored, whole texts, without a shuffle. Labels,
+that all are equally likely; their statistics are written, read in `FIT_PARTITIONS` partitions, and
+each of those sends one matrix. Every document is scored, whole texts, without a shuffle. Labels,
 language, source and id are never inputs of a score.
 
 Defined results: null or empty texts are scored like any other, on statistics of nothing. Rows
@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 part = b.iloc[start : start + len(s)]
                 yield pd.DataFrame({"s": list(s), "label": part["label"].to_numpy(), "calibration": part["calibration"].to_numpy()})
 
-    rows = materialize(_labelled(docs, labels).mapInPandas(stats, "s array<double>, label double, calibration boolean").coalesce(FIT_PARTITIONS))
+    # the corpus is read and mapped at full width; only the small table of statistics is drawn together
+    rows = materialize(mapped(_labelled(docs, labels), stats, "s array<double>, label double, calibration boolean"))
     each = [f for j in range(d) for f in (F.avg(F.col("s")[j]), F.stddev_pop(F.col("s")[j]))]
     moments = rows.agg(*each, F.count("*")).head()
     if not moments[-1]:
