@@ -2,7 +2,8 @@
 
 Base spans come from three fixed patterns. On top of them, weak candidates (account identifiers,
 secret-looking strings, endpoints), each too common to report alone, are linked by an interval
-join within their scope: parts of one scope whose places lie at most `reach` code points apart.
+join within their scope: parts of one scope with at most `reach` code points between the end of one
+and the start of the other. Parts that overlap don't complement each other.
 An identifier is reported only with a secret in reach, a secret only with an identifier, an endpoint
 only with both; base spans count as parts too, access keys as identifiers, the others as secrets.
 Names of identifiers are taken in any case, with any prefix, in snake, kebab and camel case; a
@@ -76,6 +77,11 @@ def within(parts: list[tuple[int, int, int]], at: int) -> bool:
     return i > 0 and parts[i - 1][2] > at
 
 
+def _by_ends(parts: list[tuple[int, int, int]]) -> tuple[list, list]:
+    """(scope, start) and (scope, end) of parts, each in order."""
+    return sorted((scope, s) for scope, s, _ in parts), sorted((scope, e) for scope, _, e in parts)
+
+
 def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = 400) -> list[tuple[int, int, int]]:
     """Weak parts that have their complement in the same scope, at most `reach` apart."""
     if not WEAK_HINT.search(text):
@@ -93,13 +99,14 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = 400)
     strong: dict[str, list[tuple[int, int, int]]] = {"id": [], "secret": []}
     for s, k, e in base:
         strong["id" if k == 1 else "secret"].append((bisect_left(ends, s), s, e))
-    ids, secrets = sorted(parts["id"] + strong["id"]), sorted(parts["secret"] + strong["secret"])
+    ids, secrets = _by_ends(parts["id"] + strong["id"]), _by_ends(parts["secret"] + strong["secret"])
 
     def near(part, others) -> bool:
-        """Interval join: some other part of the scope starts within reach of this one."""
+        """Interval join: some other part of the scope starts within reach of this one's end, or ends within reach of its start."""
         scope, start, end = part
-        i = bisect_left(others, (scope, start - reach, -1))
-        return i < len(others) and others[i][0] == scope and others[i][1] <= end + reach
+        starts, stops = others
+        i, j = bisect_left(starts, (scope, end)), bisect_left(stops, (scope, start - reach))
+        return i < len(starts) and starts[i] <= (scope, end + reach) or j < len(stops) and stops[j] <= (scope, start)
 
     out = {(s, 3, e) for sc, s, e in parts["id"] if near((sc, s, e), secrets)}
     out |= {(s, 4, e) for sc, s, e in parts["secret"] if near((sc, s, e), ids)}

@@ -130,13 +130,24 @@ def test_suffixes_of_repeated_rows(spark):
 
 
 def test_urls(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7?x#y", "x://h?q/en/", "https://example.net/de/81", "https://sub.example.net/de/9", "https://org/es/", "https://borg/es/"]
-    pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, host string")
-    got = {r["page_id"]: r for r in op8_urls.judge(pages, [0.0] * (op8_urls.BUCKETS + 1)).collect()}
+    long = "https://" + "ab-" * 20_000 + "/" + "x/" * 30_000
+    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7?x#y", "x://h?q/en/", "https://example.net/de/81", "https://sub.example.net/de/9", "https://org/es/", "https://borg/es/", long]
+    names = "page_id long, url string, host string, path string, rule string, score string, verdict string, b string, h string, kept string"
+    pages = spark.createDataFrame([(k, u, *["h"] * 8) for k, u in enumerate(urls)], names)
+    zero = [0.0] * (op8_urls.BUCKETS + 1)
+    got = {r["page_id"]: r for r in op8_urls.judge(pages, zero).collect()}
     assert [(got[k]["host"], got[k]["path"]) for k in range(6)] == [("", "")] * 4 + [("a.example.com", "/en/7"), ("h", "")]
     assert [got[k]["rule"] for k in range(4, 10)] == ["example.com/en/7", None, "example.net/de/8", "net/de/", "org/es/", None]
     assert got[4]["verdict"] == "allow" and got[6]["verdict"] == "block" and got[0]["score"] == 0.5
-    assert op8_urls.judge(pages.limit(0), [0.0] * (op8_urls.BUCKETS + 1)).count() == 0
+    assert len(got[10]["host"]) == 60_000 and len(got[10]["path"]) == 60_001 and got[10]["verdict"] == "allow"
+    assert op8_urls.judge(pages.limit(0), zero).count() == 0
+    assert collected(op8_urls.judge(pages.union(pages), zero)) == sorted(2 * collected(op8_urls.judge(pages, zero)), key=repr)
+    assert op8_urls.judge(pages, zero, keep=("b", "kept")).columns == ["b", "kept", "host", "path", "rule", "score", "verdict"]
+    with pytest.raises(ValueError, match="host"):
+        op8_urls.judge(pages, zero, keep=("host",))
+    assert op8_urls.fit(spark.createDataFrame([(None, 1), ("http://x", None)], "url string, label int")) == zero
+    with pytest.raises(ValueError, match="labelled"):
+        op8_urls.fit_rows([("http://x/", 1)] * (op8_urls.MAX_LABELLED + 1))
 
 
 def test_lines(odd, none):
