@@ -5,7 +5,11 @@ A line goes if the same line, or one within `threshold` edits, stands earlier in
 `min_chars` code points are then joined by edit distance: each is cut into `threshold` + 1
 segments, indexed under (length, segment number, segment); a longer or equal line probes the
 substrings, length-aware, at the places where such a segment can stand if the edits before and
-after it are within the threshold. Candidates must agree in counts of some letters (each edit
+after it are within the threshold. A segment that more than `CROWDED` lines are indexed under (a
+template with numbers) is not joined as such at threshold 1: its lines also agree in all of the rest
+but one small piece, so they are keyed by what stands before and after each of at most `PIECES`
+pieces of the rest, and their number of rows grows with the lines, not with their square.
+Candidates must agree in counts of some letters (each edit
 moves those by at most two) before the texts are fetched and verified with the engine's banded
 edit distance, which stops beyond the threshold. Bit-parallel words are not used: the engine has
 no operation for them that does not interpret each character.
@@ -33,6 +37,7 @@ from .common import bounded, key_columns, materialize, table, wrapped
 
 THRESHOLD, MIN_CHARS = 1, 20
 BROADCAST_BYTES = 32 << 20
+CROWDED, PIECES = 200, 128
 FULL = r"[^ \t\r]"
 LETTERS = "etaoin"  # counted to rule candidates out; any letters would do
 
@@ -112,16 +117,60 @@ def keys(line: Column, n: Column, threshold: int, min_chars: int) -> tuple[list[
     return own, probes
 
 
+def _texts(at: DataFrame, wanted: DataFrame, many: int) -> DataFrame:
+    """k and line of the lines whose hashes are wanted: `many` at most."""
+    small = many * 32 <= BROADCAST_BYTES
+    got = at.select(line_hash(F.col("line")).alias("k"), "line").join(F.broadcast(wanted) if small else wanted, "k")
+    return materialize(got.groupBy("k").agg(F.first("line").alias("line")))
+
+
+def _rests(lines: DataFrame, hot: DataFrame) -> DataFrame:
+    """For lines with crowded segments (threshold 1): k, n, asks, and s, keys of what stands around each
+    piece of the rest beside the segment. A line asks as a partner of lines as long (`less` 0) or one
+    shorter (1); the rest of the longer line is cut where the shorter one's is."""
+    n, rows = F.col("n"), []
+    for less in (0, 1):
+        m = n - less
+        for i, (start, size) in enumerate(_segments(m, 1)):
+            for asks in (False, True):
+                if not asks:
+                    start_, size_ = _segments(n, 1)[i]
+                    key = _key(F.col("line"), n, i, start_, size_)
+                    rest = F.substring("line", start_ + size_ + 1, n) if i == 0 else F.substring("line", F.lit(1), start_)
+                    r = F.length(rest)
+                else:
+                    key = _key(F.col("line"), m, i, start + (0 if i == 0 else less), size)
+                    rest = F.substring("line", start + size + 1, n) if i == 0 else F.substring("line", F.lit(1), start + less)
+                    r = F.length(rest) - less
+                rows.append(F.struct(key.alias("s"), rest.alias("rest"), r.alias("r"), F.lit(less).alias("less"), F.lit(asks).alias("asks")))
+    each = lines.withColumn("n", F.length("line")).select("k", "n", F.explode(F.array(*rows)).alias("e")).select("k", "n", "e.*")
+    each = each.join(hot, "s").withColumn("w", F.ceil(F.col("r") / F.lit(PIECES)).cast("int"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("r") / F.col("w")).cast("int") - 1)).alias("piece"))
+    begin = F.col("piece") * F.col("w")
+    end = F.least(begin + F.col("w"), F.col("r")) + F.when(F.col("asks"), F.col("less")).otherwise(0)
+    around = F.xxhash64("s", "less", "piece", F.substring("rest", F.lit(1), begin), F.substring("rest", end + 1, F.length("rest")))
+    return each.select("k", "n", "asks", around.alias("s"))
+
+
 def edit_pairs(at: DataFrame, different: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(x, y): hashes of different lines within `threshold` edits, each pair once."""
     a = different.select(F.explode("asked").alias("s"), F.col("k").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc")).where("s is not null")
     b = different.select(F.explode("own").alias("s"), F.col("k").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc")).where("s is not null")
     near = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("x") < F.col("y")))
-    likely = materialize(a.join(b, (a["s"] == b["s"]) & near & (F.col("yn") - F.col("xn") <= threshold) & _letters_agree("xc", "yc", threshold)).select("x", "y").distinct())
-    wanted = likely.select(F.col("x").alias("k")).union(likely.select("y")).distinct()
-    small = likely.count() * 2 * 32 <= BROADCAST_BYTES
-    texts = at.select(line_hash(F.col("line")).alias("k"), "line").join(F.broadcast(wanted) if small else wanted, "k").groupBy("k").agg(F.first("line").alias("line"))
-    texts = materialize(texts)
+    found = lambda a, b: a.join(b, (a["s"] == b["s"]) & near & (F.col("yn") - F.col("xn") <= threshold) & _letters_agree("xc", "yc", threshold)).select("x", "y")
+    likely = None
+    if threshold == 1:
+        hot = materialize(b.groupBy("s").agg(F.count("*").alias("m")).where(F.col("m") > CROWDED).select("s"))
+        if n_hot := hot.count():
+            hot = F.broadcast(hot) if n_hot * 16 <= BROADCAST_BYTES else hot
+            crowd = materialize(a.select("s", F.col("y").alias("k")).union(b.select("s", F.col("x").alias("k"))).join(hot, "s").select("k").distinct())
+            rests = _rests(_texts(at, crowd, crowd.count()), hot).join(different.select("k", "c"), "k")
+            rests = materialize(rests)
+            one, other = rests.where("asks"), rests.where("not asks")
+            likely = found(one.select("s", F.col("k").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc")), other.select("s", F.col("k").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc")))
+            a, b = a.join(hot, "s", "left_anti"), b.join(hot, "s", "left_anti")
+    likely = materialize((found(a, b) if likely is None else found(a, b).union(likely)).distinct())
+    texts = _texts(at, likely.select(F.col("x").alias("k")).union(likely.select("y")).distinct(), 2 * likely.count())
     pairs = likely.join(texts.select(F.col("k").alias("x"), F.col("line").alias("xl")), "x").join(texts.select(F.col("k").alias("y"), F.col("line").alias("yl")), "y")
     return pairs.where(F.levenshtein("xl", "yl", threshold) >= 0).select("x", "y")
 

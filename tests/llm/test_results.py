@@ -311,8 +311,19 @@ def test_proximity_matches(spark):
     assert {r["doc_id"] for r in got.collect()} == {0, 1, 2}
 
 
-@pytest.mark.parametrize("threshold", [1, 2, 3])
-def test_edit_join_finds_every_pair(spark, threshold):
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize(("threshold", "crowded", "pieces"), [(1, 200, 128), (1, 2, 128), (1, 2, 3), (2, 200, 128), (3, 200, 128)])
+def test_edit_join_finds_every_pair(spark, monkeypatch, threshold, crowded, pieces):
+    monkeypatch.setattr(op9_lines, "CROWDED", crowded)
+    monkeypatch.setattr(op9_lines, "PIECES", pieces)
     rng = random.Random(threshold)
 
     def edited(s, n):
@@ -328,18 +339,28 @@ def test_edit_join_finds_every_pair(spark, threshold):
     hashed = {(r["k"]["a"], r["k"]["b"]): r["line"] for r in at.select(op9_lines.line_hash(F.col("line")).alias("k"), "line").collect()}
     got = {frozenset((hashed[tuple(r["x"])], hashed[tuple(r["y"])])) for r in op9_lines.edit_pairs(at, different, threshold).collect()}
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
     lines = [x for x in hashed.values() if len(x) >= 12]
     assert got == {frozenset((a, b)) for a in lines for b in lines if a < b and distance(a, b) <= threshold}
 
 
+def test_numbered_lines_grow_in_proportion(spark):
+    """Every line of a template shares a segment with all others: candidates follow the lines, not their square."""
+    line = lambda k: f"Page number {k:04} of the annual report of the board"
+    made = {}
+    for n in (1000, 5000):
+        at = op9_lines.lines(frame(spark, ["\n".join(line(k) for k in range(i, n, 10)) for i in range(10)]))
+        different = op9_lines.distinct_lines(at, 1, 20)
+        links = Counter()
+        for r in op9_lines.edit_pairs(at, different, 1).select("x.a", F.col("y.a").alias("b")).collect():
+            links.update(tuple(r))
+        want = [sum(str(k).zfill(4)[:j] + str(d) + str(k).zfill(4)[j + 1 :] != str(k).zfill(4) and int(str(k).zfill(4)[:j] + str(d) + str(k).zfill(4)[j + 1 :]) < n for j in range(4) for d in range(10)) for k in range(n)]
+        assert sorted(links.values()) == sorted(want)
+        hot = different.select(F.explode("own").alias("s")).groupBy("s").count().where(F.col("count") > op9_lines.CROWDED).select("s")
+        rests = op9_lines._rests(at.select(op9_lines.line_hash(F.col("line")).alias("k"), "line"), hot)
+        made[n] = rests.count(), rests.where("asks").alias("y").join(rests.where("not asks").alias("x"), "s").count()
+    assert made[5000][0] <= 5.5 * made[1000][0] and made[5000][1] <= 12 * made[1000][1] < 5000**2
+
+
 # 6
 
 
