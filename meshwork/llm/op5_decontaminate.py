@@ -6,8 +6,9 @@ The index stores a posting for every occurrence of an anchor in the documents: r
 the words up to `window` - 1 places to either side; it is written to the shared folder. A lookup subtracts the anchor's place in the
 benchmark text from its position (one alignment per posting), then intersects the neighbouring
 words place by place, outwards from the rarest: a run of at least one window around the anchor is
-an exact phrase. Proximity matches (the rarest word, and most of its neighbours within `slop` places
-of theirs) are found from the same postings by `proximity`.
+an exact phrase. Proximity matches come from the same postings in the same pass: a window whose rarest
+word stands in a document and of whose words at least `SHARE` do so within `SLOP` places of theirs
+(on their side of the rarest word, among the stored neighbours). An exact phrase is one too.
 
 Scale: documents are never shuffled, only postings of anchors and one count row per document.
 Benchmark tables are broadcast only up to `BROADCAST_BYTES` (measured); beyond that they are
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import WORD, ascii_lower, key_columns, materialize, table, without
 
 WINDOW = 10
+SLOP, SHARE = 3, 0.8
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -112,58 +114,75 @@ def _common(a: str, b: str) -> Column:
     return F.when(differs == 0, F.greatest(F.size(a), F.size(b)).cast("bigint")).otherwise(differs - 1)
 
 
-def phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The item classes and their exact matches: row, doc_id, cid, [start, end) of word runs; a row with null cid per document gives its words."""
-    classes = materialize(item_classes(items, window))
-    found = materialize(anchors(docs, classes, window))
-    postings = index(docs, found, window, row)
-    left, right = _common("dl", "il"), _common("dr", "ir")
-    runs = aligned(postings, found).select("row", "doc_id", "pos", "cid", "w", left.alias("l"), right.alias("r")).where(F.col("l") + F.col("r") + 1 >= F.col("w"))
-    hits = runs.select("row", "doc_id", "cid", "pos", (F.col("pos") - F.col("l")).cast("int").alias("start"), (F.col("pos") + F.col("r") + 1).cast("int").alias("end"))
-    ends = postings.where(F.col("word") == END).select("row", "doc_id", F.lit(None).cast("bigint").alias("cid"), "pos", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
-    return hits.unionByName(ends), classes
+def _near(mine: str, theirs: str, slop: int) -> Column:
+    """For each neighbour of the item, outwards, 1 if it stands within `slop` places of its own in the document, else 0."""
 
+    def at(x: Column, i: Column) -> Column:
+        first = F.greatest(F.lit(1), i + 1 - slop)
+        return F.exists(F.slice(F.col(theirs), first, i + 2 + slop - first), lambda y: y == x).cast("int")
 
-def proximity(docs: DataFrame, items: DataFrame, slop: int = 3, share: float = 0.8, window: int = WINDOW) -> DataFrame:
-    """doc_id, cid, place: around an anchor, at least `share` of the window's words stand within `slop` places of theirs."""
-    classes = materialize(item_classes(items, window))
-    found = materialize(anchors(docs, classes, window))
-    hits = aligned(index(docs, found, window, ends=False), found)
+    return F.transform(mine, at)
 
-    def near(mine: str, theirs: str) -> Column:
-        return F.size(F.filter(F.transform(mine, lambda x, i: F.exists(F.slice(F.col(theirs), F.greatest(F.lit(1), i + 1 - slop), F.lit(2 * slop + 1)), lambda y: y == x)), lambda b: b))
 
-    total = near("il", "dl") + near("ir", "dr") + 1
-    return hits.where(total >= F.ceil(F.least(F.size("il") + F.size("ir") + 1, F.col("w")) * share)).select("doc_id", "cid", "pos").distinct()
+def _proximate(slop: int, share: float) -> Column:
+    """Whether some window around the rarest word has enough of its words near their places."""
+    total = lambda flags, n: F.aggregate(F.slice(flags, F.lit(1), n), F.lit(0), lambda s, x: s + x)
+    left = F.sequence(F.lit(0), F.col("w") - 1)  # of the window's words, how many stand left of the rarest
+    fits = lambda n: (n <= F.size("nl")) & (F.col("w") - 1 - n <= F.size("nr"))
+    return F.exists(left, lambda n: fits(n) & (total(F.col("nl"), n) + total(F.col("nr"), F.col("w") - 1 - n) + 1 >= F.ceil(F.col("w") * F.lit(share))))
+
+
+def phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, row: Column | None = None, proximity: tuple[int, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The item classes and their matches: row, doc_id, cid, [start, end) of exact word runs, near (a
+    proximity match, if asked for by slop and share; with null start and end it is no exact one); a
+    row with null cid per document gives its words."""
+    classes = materialize(item_classes(items, window))
+    found = materialize(anchors(docs, classes, window))
+    postings = index(docs, found, window, row)
+    runs = aligned(postings, found).withColumns({"l": _common("dl", "il"), "r": _common("dr", "ir")}).withColumn("exact", F.col("l") + F.col("r") + 1 >= F.col("w"))
+    if proximity:
+        runs = runs.withColumns({"nl": _near("il", "dl", proximity[0]), "nr": _near("ir", "dr", proximity[0])}).withColumn("near", _proximate(*proximity))
+    else:
+        runs = runs.withColumn("near", F.lit(False))
+    place = lambda c: F.when(F.col("exact"), c.cast("int"))
+    hits = runs.where("exact or near").select("row", "doc_id", "cid", "pos", place(F.col("pos") - F.col("l")).alias("start"), place(F.col("pos") + F.col("r") + 1).alias("end"), "near")
+    ends = postings.where(F.col("word") == END).select("row", "doc_id", F.lit(None).cast("bigint").alias("cid"), "pos", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(False).alias("near"))
+    return hits.unionByName(ends), classes
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of `docs`: doc_id, n_words, n_hit, item_ids (sorted array), spans (word runs covered)."""
-    found, classes = phrases(docs, items, window)
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP, share: float = SHARE) -> DataFrame:
+    """Per row of `docs`: doc_id, n_words, n_hit, item_ids (sorted array), near_ids (items with a proximity match, sorted), spans (word runs covered)."""
+    found, classes = phrases(docs, items, window, proximity=(slop, share))
+    exact = F.col("start").isNotNull()
     per = found.groupBy("row", "doc_id").agg(
         F.max(F.when(F.col("cid").isNull(), F.col("pos"))).cast("long").alias("n_words"),
-        F.array_sort(F.collect_set(F.when(F.col("cid").isNotNull(), F.struct("start", "end")))).alias("runs"),
-        F.collect_set("cid").alias("cids"),
+        F.array_sort(F.collect_set(F.when(exact, F.struct("start", "end")))).alias("runs"),
+        F.collect_set(F.when(exact, F.col("cid"))).alias("cids"),
+        F.collect_set(F.when(F.col("near"), F.col("cid"))).alias("near"),
     )
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto"))
     n_hit = F.aggregate("runs", zero, lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0), r["end"] - F.greatest(r["start"], a["upto"]))).alias("n"), F.greatest(a["upto"], r["end"]).alias("upto")))
-    per = materialize(per.select("row", "doc_id", "n_words", n_hit["n"].alias("n_hit"), "runs", "cids"))
-    named = per.where(F.size("cids") > 0).select("row", F.explode("cids").alias("cid")).join(classes.select("cid", "ids"), "cid")
-    named = named.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"))
-    return per.join(named, "row", "left").withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
+    per = materialize(per.select("row", "doc_id", "n_words", n_hit["n"].alias("n_hit"), "runs", "cids", "near"))
+    cids = F.array_union("cids", "near")
+    named = per.where(F.size(cids) > 0).select("row", "cids", "near", F.explode(cids).alias("cid")).join(classes.select("cid", "ids"), "cid")
+    ids = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.array_contains(c, F.col("cid")), F.col("ids"))))))
+    named = named.groupBy("row").agg(ids("cids").alias("item_ids"), ids("near").alias("near_ids"))
+    none = F.array().cast("array<string>")
+    return per.join(named, "row", "left").withColumns({c: F.coalesce(c, none) for c in ("item_ids", "near_ids")})
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs` that no benchmark window occurs in, columns kept."""
     found, _ = phrases(docs, items, window, F.struct(*[c.alias(n) for c, n in zip(key_columns(), ("_i", "_h"), strict=True)]))
-    return without(docs, found.where("cid is not null").select("row._i", "row._h"))
+    return without(docs, found.where("start is not null").select("row._i", "row._h"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return got.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return got.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_ids").cast("long").alias("n_near"))
 
 
+_K = WINDOW - 1
 ORACLE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM benchmark),
@@ -174,7 +193,19 @@ dw AS (SELECT r, w, s, list_aggregate(ws[s:s + w - 1], 'string_agg', ' ') AS win
        FROM (SELECT r, ws, w, unnest(range(1, len(ws) - w + 2)) AS s FROM d, sizes WHERE len(ws) >= w)),
 m AS (SELECT dw.r, dw.s, dw.w, iw.item_id FROM dw JOIN iw USING (win, w)),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + w)) AS p FROM m) GROUP BY r),
-n AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
+n AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id FROM m WHERE item_id IS NOT NULL) GROUP BY r),
+dt AS (SELECT r, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+df AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
+c AS (SELECT DISTINCT ws, least(len(ws), {WINDOW}) AS w FROM i WHERE len(ws) > 0),
+wq AS (SELECT ws, w, s, unnest(range(s, s + w)) AS q FROM (SELECT ws, w, unnest(range(1, len(ws) - w + 2)) AS s FROM c)),
+rare AS (SELECT DISTINCT ws, w, struct_extract(min(struct_pack(n := coalesce(df, 0), t := ws[q], q := q)), 'q') AS q FROM wq LEFT JOIN df ON term = ws[q] GROUP BY ws, w, s),
+al AS (SELECT dt.r, rare.ws AS iws, w, list_reverse(rare.ws[greatest(1, q - {_K}):q - 1]) AS il, rare.ws[q + 1:q + {_K}] AS ir,
+              list_reverse(d.ws[greatest(1, pos - {_K}):pos - 1]) AS dl, d.ws[pos + 1:pos + {_K}] AS dr FROM rare JOIN dt ON dt.term = rare.ws[q] JOIN d ON d.r = dt.r),
+fl AS (SELECT r, iws, w, list_transform(range(1, len(il) + 1), lambda x: CAST(list_contains(dl[greatest(1, x - {SLOP}):x + {SLOP}], il[x]) AS INT)) AS nl,
+              list_transform(range(1, len(ir) + 1), lambda x: CAST(list_contains(dr[greatest(1, x - {SLOP}):x + {SLOP}], ir[x]) AS INT)) AS nr FROM al),
+nc AS (SELECT DISTINCT r, iws FROM fl WHERE len(list_filter(range(0, w), lambda l: l <= len(nl) AND w - 1 - l <= len(nr)
+         AND coalesce(list_sum(list_filter(nl, lambda v, j: j <= l)), 0) + coalesce(list_sum(list_filter(nr, lambda v, j: j <= w - 1 - l)), 0) + 1 >= ceil(w * {SHARE}))) > 0),
+nn AS (SELECT r, count(DISTINCT item_id) AS n_near FROM nc JOIN i ON i.ws = nc.iws GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)"""
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r) LEFT JOIN nn USING (r)"""

@@ -306,9 +306,42 @@ def test_urls_on_held_out_hosts(spark):
 
 def test_proximity_matches(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
-    texts = [item, item.replace("delta", "extra delta"), item.replace("zeta ", ""), "alpha beta other words only", "zeta zeta zeta"]
-    got = op5_decontaminate.proximity(frame(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string"))
-    assert {r["doc_id"] for r in got.collect()} == {0, 1, 2}
+    texts = [item, item.replace("delta", "extra delta"), item.replace("zeta ", ""), "alpha beta other words only", "zeta zeta zeta", item.replace("beta", "x").replace("eta ", "y "), " ".join(reversed(item.split()))]
+    got = {r["doc_id"]: (r["item_ids"], r["near_ids"]) for r in op5_decontaminate.contamination(frame(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got[0] == (["1"], ["1"]) and got[1] == got[2] == ([], ["1"]) and all(got[k] == ([], []) for k in range(3, 7))
+
+
+def test_proximity_against_plain_loops(spark):
+    """Documents made of items with words changed, dropped, put in and swapped; every window tried."""
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(60)]
+    items = [rng.choices(words, k=n) for n in (4, 10, 12, 25, 1)]
+    texts = []
+    for _ in range(120):
+        t = list(rng.choice(items))
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(t) + 1)
+            t = rng.choice([t[:k] + [rng.choice(words)] + t[k:], t[:k] + t[k + 1 :], t[: max(0, k - 2)] + t[max(0, k - 2) : k][::-1] + t[k:]])
+        texts.append(rng.choices(words, k=rng.randrange(8)) + t + rng.choices(words, k=rng.randrange(8)))
+    df = Counter(w for t in texts for w in t)
+    want = []
+    for t in texts:
+        mine = set()
+        for j, item in enumerate(items):
+            w = min(10, len(item))
+            for s in range(len(item) - w + 1):
+                q = min(range(s, s + w), key=lambda x: (df[item[x]], item[x], x))
+                for first in range(max(0, q - w + 1), min(q, len(item) - w) + 1):  # any window around that word
+                    for p in (p for p, x in enumerate(t) if x == item[q]):
+                        near = 0
+                        for x in range(first, first + w):
+                            spots = range(p + 1, p + 10) if x > q else range(p - 9, p) if x < q else [p]
+                            near += any(0 <= y < len(t) and t[y] == item[x] and abs((y - p) - (x - q)) <= 3 for y in spots)
+                        if near >= math.ceil(w * 0.8):
+                            mine.add(str(j))
+        want.append(sorted(mine))
+    got = {r["doc_id"]: r["near_ids"] for r in op5_decontaminate.contamination(frame(spark, [" ".join(t) for t in texts]), frame(spark, [" ".join(x) for x in items]).withColumnRenamed("doc_id", "item_id")).collect()}
+    assert [got[k] for k in range(len(texts))] == want and sum(map(len, want)) > 100
 
 
 def distance(a, b):
