@@ -12,7 +12,7 @@ from meshwork.operators import clusters as C
 from meshwork.operators import similarity as S
 from meshwork.operators.orders import core_order, neighbor_order
 from meshwork.plans import layout as L
-from meshwork.plans.storage import materialize
+from meshwork.plans.storage import materialize, table_path
 from meshwork.sources import files, graph
 
 EPS, MU, PARTS = 0.4, 3, 4
@@ -70,15 +70,11 @@ def _clustering(source, eps: float, mu: int):
 
 def _binary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph written as packed neighbour lists and read again."""
-    import uuid
-
     import numpy as np
     import pandas as pd
 
-    from meshwork.plans.storage import shared_dir
-
     edges, vertices = graph.copart2(spark, sf_dir)
-    path = f"{shared_dir(spark)}/adjacency-{uuid.uuid4().hex}"
+    path = table_path(spark, "adjacency")
     files.write_adjacency_binary(edges, vertices, path)
 
     def unpack(batches):
@@ -90,6 +86,34 @@ def _binary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("v", "bytes").mapInPandas(unpack, "src long, dst long")
 
 
+def _flat(edges: DataFrame, vertices: DataFrame) -> tuple[str, DataFrame]:
+    """The graph as a flat binary adjacency file, and its offsets."""
+    path = table_path(edges.sparkSession, "flat")
+    files.write_flat(graph.adjacency(edges), path)
+    return path, L.csr_offsets(graph.degrees(edges, vertices))
+
+
+def _flat_scan(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    path, offsets = _flat(edges, vertices)
+    return files.read_adjacency_binary(edges.sparkSession, path, offsets)
+
+
+def _flat_point_scan(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The lists of wanted vertices only, read from the flat file."""
+    path, offsets = _flat(edges, vertices)
+    wanted = L.source_index(edges, vertices, EPS, _offsets(vertices)).select("v").distinct()
+    return files.read_adjacency_binary(edges.sparkSession, path, offsets.join(wanted, "v", "left_semi"))
+
+
+def _stage_figures(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """What each stage of a clustering wrote; rounds are left to `figures`, they depend on the plan."""
+    figures: dict = {}
+    C.cluster(edges, vertices, EPS, MU, figures=figures)
+    rounds = figures.pop("component rounds")
+    assert rounds > 0
+    return edges.sparkSession.createDataFrame(sorted(figures.items()), "stage string, n long")
+
+
 def queries() -> dict:
     g, s = _graph, _similar
     return {
@@ -103,6 +127,9 @@ def queries() -> dict:
         "adjacency": g(lambda e, v: graph.adjacency(e).select("v", F.array_join("nbrs", ",").alias("nbrs"))),
         "adjacency_sizes": g(lambda e, v: graph.adjacency(e).select("v", F.size("nbrs").cast("long").alias("n"))),
         "binary_adjacency": _binary_round_trip,
+        "flat_adjacency": g(_flat_scan),
+        "flat_point_scan": g(_flat_point_scan),
+        "stage_figures": g(_stage_figures),
         "point_scan": g(lambda e, v: files.point_scan(e, L.source_index(e, v, EPS, _offsets(v)).select("v"))),
         "open_common": g(lambda e, v: S.open_common(e)),
         "open_common_triangles": g(lambda e, v: S.open_common(e, "triangles")),
@@ -229,6 +256,10 @@ def oracle_sql() -> dict:
         "adjacency": q("SELECT src AS v, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS nbrs FROM e GROUP BY src"),
         "adjacency_sizes": q("SELECT src AS v, count(*) AS n FROM e GROUP BY src"),
         "binary_adjacency": q("SELECT src, dst FROM e"),
+        "flat_adjacency": q("SELECT src, dst FROM e"),
+        "flat_point_scan": q("SELECT src, dst FROM e WHERE src IN (SELECT dst FROM f)", f"{base}{asked}, "),
+        "stage_figures": q(f"""SELECT 'edges' AS stage, count(*) AS n FROM e UNION ALL SELECT 'edges similar by degree', count(*) FILTER (WHERE {_verdict()} = 'in') FROM c UNION ALL SELECT 'edges left open', count(*) FILTER (WHERE {_verdict()} = 'open') FROM c
+UNION ALL SELECT 'similar edges', count(*) FROM s UNION ALL SELECT 'vertices', count(*) FROM n UNION ALL SELECT 'cores', count(*) FROM core UNION ALL SELECT 'clusters', count(DISTINCT cluster_id) FROM part_of"""),
         "point_scan": q("SELECT src, dst FROM e WHERE src IN (SELECT dst FROM f)", f"{base}{asked}, "),
         "open_common": q("SELECT src, dst, common FROM o2"),
         "open_common_triangles": q("SELECT src, dst, common FROM o2"),

@@ -39,7 +39,7 @@ def partition_of(v: Column, offsets: list[int]) -> Column:
     return out
 
 
-def in_send_area(own: Column, other: Column, parts: int) -> Column:
+def handles(own: Column, other: Column, parts: int) -> Column:
     """Whether partition `own` handles the edges between it and `other`: the next half of the ring,
     and of opposite partitions (an even number of them) the lower one."""
     step = F.pmod(other - own, F.lit(parts))
@@ -49,4 +49,4 @@ def in_send_area(own: Column, other: Column, parts: int) -> Column:
 
 def ring_owner(p: Column, q: Column, parts: int) -> Column:
     """Which of two different partitions handles the edges between them."""
-    return F.when(in_send_area(p, q, parts), p).otherwise(q)
+    return F.when(handles(p, q, parts), p).otherwise(q)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwork.operators.components import connected_components
 from meshwork.operators.similarity import similar_edges
-from meshwork.plans.storage import materialize
+from meshwork.plans.storage import materialize, measured
 from meshwork.sources.graph import mirrored
 
 
@@ -26,9 +26,9 @@ def core_core_edges(similar: DataFrame, core: DataFrame) -> DataFrame:
     return similar.join(core.select(F.col("v").alias("src")), "src", "left_semi").join(core.select(F.col("v").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-def core_components(similar: DataFrame, core: DataFrame) -> DataFrame:
+def core_components(similar: DataFrame, core: DataFrame, figures: dict | None = None) -> DataFrame:
     """(v, cluster_id) of every core: the least core of its component."""
-    return connected_components(core_core_edges(similar, core), core).select("v", F.col("root").alias("cluster_id"))
+    return connected_components(core_core_edges(similar, core), core, figures=figures).select("v", F.col("root").alias("cluster_id"))
 
 
 def same_set(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -49,13 +49,21 @@ def border_assignment(similar: DataFrame, core_clusters: DataFrame) -> DataFrame
     return border_candidates(similar, core_clusters).groupBy("v").agg(F.min("cluster_id").alias("cluster_id"))
 
 
-def cluster(edges: DataFrame, vertices: DataFrame, eps: float, mu: int, strategy: str = "auto") -> DataFrame:
-    """(v, role, cluster_id, eps_degree) of every vertex; role core, border or none, cluster_id null for none."""
-    edges = materialize(edges)
-    similar = materialize(similar_edges(edges, vertices, eps, strategy=strategy))
-    counts = materialize(eps_degree(similar, vertices))
+def cluster(edges: DataFrame, vertices: DataFrame, eps: float, mu: int, strategy: str = "auto", figures: dict | None = None) -> DataFrame:
+    """(v, role, cluster_id, eps_degree) of every vertex; role core, border or none, cluster_id null for none.
+
+    `figures` gets what each stage wrote, observed while it was written: directed edges, edges by the
+    verdict of their degrees, similar edges, vertices, cores, rounds of the components, clusters."""
+    figures = {} if figures is None else figures
+    edges, seen = measured(edges)
+    figures["edges"] = seen["rows"]
+    similar, seen = measured(similar_edges(edges, vertices, eps, strategy=strategy, figures=figures))
+    figures["similar edges"] = seen["rows"]
+    counts, seen = measured(eps_degree(similar, vertices), cores=F.count_if(F.col("eps_degree") >= mu))
+    figures |= {"vertices": seen["rows"], "cores": seen["cores"]}
     core = cores(counts, mu)
-    named = materialize(core_components(similar, core))
+    named, seen = measured(core_components(similar, core, figures), clusters=F.count_if(F.col("v") == F.col("cluster_id")))
+    figures["clusters"] = seen["clusters"]
     border = border_assignment(similar, named)
     joined = counts.join(named.withColumnRenamed("cluster_id", "own"), "v", "left").join(border.withColumnRenamed("cluster_id", "near"), "v", "left")
     role = F.when(F.col("eps_degree") >= mu, F.lit("core")).when(F.col("near").isNotNull(), F.lit("border")).otherwise(F.lit("none"))

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwork.functions.bounds import in_send_area, partition_of, verdict
+from meshwork.functions.bounds import handles, partition_of, verdict
 from meshwork.operators.similarity import with_degrees
-from meshwork.plans.storage import materialize
+from meshwork.plans.storage import materialize, measured
 from meshwork.sources.graph import degrees
 
-RANGES = 64
+#: Rows that a range holds, more or less; there are as many ranges as that takes, and as shuffles have tasks.
+RANGE_ROWS = 1 << 20
 
 
 def _ranged(df: DataFrame, cols: list[str]) -> DataFrame:
-    """`df` in ranges of `cols`, each row with its range's number; written, so the ranges stay as they are."""
-    return materialize(df.repartitionByRange(RANGES, *cols).withColumn("_range", F.spark_partition_id()))
+    """`df` in ranges of `cols`, each row with its range's number; written, so the ranges stay as they
+    are. It is written before, too: ranges are drawn from a sample, which would compute `df` again."""
+    rows, seen = measured(df)
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-seen["rows"] // RANGE_ROWS))
+    return materialize(rows.repartitionByRange(ranges, *cols).withColumn("_range", F.spark_partition_id()))
 
 
 def positions(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
@@ -27,18 +31,20 @@ def positions(df: DataFrame, group: list[str], order: list[str], name: str) -> D
     return numbered.join(before, [*group, "_range"]).select(*df.columns, (F.col("_in") + F.col("_before")).cast("long").alias(name))
 
 
-def prefix_sums(df: DataFrame, order: str, value: Column, name: str) -> DataFrame:
-    """`df` with the sum of `value` over all rows before each, by `order`: sums of ranges first."""
-    rows = _ranged(df.withColumn("_value", value.cast("long")), [order])
-    totals = rows.groupBy("_range").agg(F.sum("_value").alias("_sum"))
-    before = totals.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))  # at most RANGES rows
-    within = F.sum("_value").over(Window.partitionBy("_range").orderBy(order)) - F.col("_value")
-    return rows.withColumn("_within", within).join(F.broadcast(before), "_range").select(*df.columns, (F.col("_before") + F.col("_within")).cast("long").alias(name))
+def prefix_sums(df: DataFrame, order: str, **values: Column) -> DataFrame:
+    """`df` with the sums of the values over all rows before each, by `order`: sums of ranges first."""
+    of = {n: f"_value{k}" for k, n in enumerate(values)}
+    rows = _ranged(df.select("*", *[c.cast("long").alias(of[n]) for n, c in values.items()]), [order])
+    totals = rows.groupBy("_range").agg(*[F.sum(v).alias(f"_sum{v}") for v in of.values()])
+    upto, inside = Window.orderBy("_range"), Window.partitionBy("_range").orderBy(order)  # the first over one row for each range
+    before = totals.select("_range", *[(F.sum(f"_sum{v}").over(upto) - F.col(f"_sum{v}")).alias(f"_before{v}") for v in of.values()])
+    within = rows.select("*", *[(F.sum(v).over(inside) - F.col(v)).alias(f"_within{v}") for v in of.values()])
+    return within.join(F.broadcast(before), "_range").select(*df.columns, *[(F.col(f"_before{v}") + F.col(f"_within{v}")).cast("long").alias(n) for n, v in of.items()])
 
 
 def csr_offsets(degs: DataFrame) -> DataFrame:
     """(v, st, ed): where each vertex's neighbours lie when all lists stand in a row."""
-    return prefix_sums(degs, "v", F.col("deg"), "st").select("v", "st", (F.col("st") + F.col("deg")).alias("ed"))
+    return prefix_sums(degs, "v", st=F.col("deg")).select("v", "st", (F.col("st") + F.col("deg")).alias("ed"))
 
 
 def balanced_ranges(degs: DataFrame, parts: int) -> DataFrame:
@@ -65,8 +71,7 @@ def balanced_ranges(degs: DataFrame, parts: int) -> DataFrame:
 
 def _numbered(degs: DataFrame) -> DataFrame:
     """Vertices by id with their place from 0 (k) and the degrees before them."""
-    sums = prefix_sums(degs, "v", F.col("deg"), "before")
-    return prefix_sums(sums, "v", F.lit(1), "k")
+    return prefix_sums(degs, "v", before=F.col("deg"), k=F.lit(1))
 
 
 def equal_offsets(n: int, parts: int) -> list[int]:
@@ -83,7 +88,7 @@ def owned_cross_edges(edges: DataFrame, vertices: DataFrame, eps: float, offsets
     """Undecided edges to another partition, on the side that handles them: src, dst, p, q."""
     parts = len(offsets) - 1
     undecided = with_degrees(edges, degrees(edges, vertices)).where(verdict(F.col("du"), F.col("dv"), eps) == "open").select("src", "dst")
-    return partitioned(undecided, offsets).where(~F.col("local") & in_send_area(F.col("p"), F.col("q"), parts)).drop("local")
+    return partitioned(undecided, offsets).where(~F.col("local") & handles(F.col("p"), F.col("q"), parts)).drop("local")
 
 
 def foreign_requests(edges: DataFrame, vertices: DataFrame, eps: float, offsets: list[int]) -> DataFrame:

@@ -8,7 +8,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Removes a query's shuffle files when it ends: what was written can be read again without them.
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -64,6 +65,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """The same, with the number of rows (`rows`) and other aggregates, taken while it is written."""
+    seen = Observation()
+    written = materialize(df.observe(seen, F.count("*").alias("rows"), *[c.alias(n) for n, c in figures.items()]))
+    return written, seen.get
+
+
 def release(df: DataFrame) -> None:
     """Delete a materialized table that nothing reads any more."""
     for f in {re.sub(r"/[^/]*$", "", f) for f in df.inputFiles()}:

@@ -32,31 +32,67 @@ def write_adjacency_binary(edges: DataFrame, vertices: DataFrame, path: str) ->
     rows.mapInPandas(pack, "v long, st long, bytes binary").repartitionByRange("v").sortWithinPartitions("v").write.parquet(path)
 
 
+#: Numbers in a block of a flat file, at most.
+BLOCK = 1 << 14
+SIZE = np.dtype(np.uint32).itemsize
+
+
+def _block(numbers: int) -> int:
+    """The largest block that divides a file of so many numbers: the reader takes whole records only."""
+    return next(b for b in range(min(BLOCK, numbers), 0, -1) if numbers % b == 0)
+
+
 def read_adjacency_binary(spark: SparkSession, path: str, offsets: DataFrame) -> DataFrame:
     """Edges of a flat binary adjacency file (native unsigned 32-bit neighbour ids, vertex after vertex).
 
-    `offsets` (v, st, ed) gives each vertex's slice in numbers. The file is read in byte ranges,
-    each task seeking to its own, as long as the path is on a file system of the workers.
+    `offsets` (v, st, ed) gives each vertex's slice in numbers; vertices that are not in it are left
+    out. The file is read in blocks by Spark's splittable reader of fixed-length records, wherever it
+    lies; a block meets the slices that lie in it (at most one row for each of its numbers) once. A
+    file that is too short for its offsets, or a list that does not ascend within a block, is an error.
     """
-    size = np.dtype(np.uint32).itemsize
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).head()[0] or 0
+    if size % SIZE:
+        raise ValueError(f"{path} does not hold whole numbers")
+    slices = offsets.where("ed > st").select("v", "st", "ed")
+    if not size:
+        if slices.head(1):
+            raise ValueError(f"{path} is shorter than its offsets")
+        return spark.createDataFrame([], "src long, dst long")
+    n = _block(size // SIZE)
+    records = spark.sparkContext.binaryRecords(path, n * SIZE).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
+    blocks = spark.createDataFrame(records, "block long, bytes binary")
+    first, last = F.floor(F.col("st") / F.lit(n)), F.floor((F.col("ed") - 1) / F.lit(n))
+    per = slices.select("v", "st", "ed", F.explode(F.sequence(first, last)).alias("block")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("st", "ed", "v"))).alias("parts"))
+    joined = per.join(blocks, "block", "left").select("block", "bytes", *[F.col(f"parts.{c}").alias(c) for c in ("v", "st", "ed")])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            with open(path, "rb") as f:
-                for v, st, ed in zip(b["v"], b["st"], b["ed"], strict=True):
-                    f.seek(int(st) * size)
-                    nbrs = np.frombuffer(f.read(int(ed - st) * size), np.uint32)
-                    if len(nbrs) != ed - st or (np.diff(nbrs.astype(np.int64)) <= 0).any():
-                        raise ValueError(f"adjacency of {v} is short or not ascending")
-                    yield pd.DataFrame({"src": np.full(len(nbrs), v, np.int64), "dst": nbrs.astype(np.int64)})
-
-    return offsets.where("ed > st").sortWithinPartitions("st").mapInPandas(scan, "src long, dst long")
-
-
-def write_flat(adjacency: list[list[int]], path: str) -> None:
-    """A flat binary adjacency file from lists held by the driver; for small graphs and tests."""
-    with open(path, "wb") as f:
-        f.write(np.concatenate([np.asarray(a, np.uint32) for a in adjacency] or [np.zeros(0, np.uint32)]).tobytes())
+            for block, data, v, st, ed in b.itertuples(index=False, name=None):
+                if data is None:
+                    raise ValueError(f"{path} is shorter than its offsets")
+                nbrs = np.frombuffer(data, np.uint32).astype(np.int64)
+                at, to = np.maximum(np.asarray(st) - block * n, 0), np.minimum(np.asarray(ed) - block * n, n)
+                place = np.repeat(at - np.r_[0, np.cumsum(to - at)[:-1]], to - at) + np.arange(int((to - at).sum()))
+                src, dst = np.repeat(np.asarray(v, np.int64), to - at), nbrs[place]
+                bad = (src[1:] == src[:-1]) & (dst[1:] <= dst[:-1])
+                if bad.any():
+                    raise ValueError(f"adjacency of {src[1:][bad][0]} is not ascending")
+                yield pd.DataFrame({"src": src, "dst": dst})
+
+    return joined.mapInPandas(scan, "src long, dst long")
+
+
+def write_flat(lists: DataFrame, path: str) -> None:
+    """A flat binary adjacency file of `lists` (v, nbrs), by v. One file has one writer: the lists
+    pass through the driver, a partition at a time."""
+    jvm, conf = lists.sparkSession.sparkContext._jvm, lists.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(conf).create(at)
+    try:
+        for r in lists.orderBy("v").toLocalIterator():
+            out.write(bytearray(np.asarray(r["nbrs"], np.uint32).tobytes()))
+    finally:
+        out.close()
 
 
 def point_scan(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import defaultdict
 
@@ -154,10 +155,10 @@ def test_orders(spark):
 
 @pytest.mark.parametrize("parts", [2, 3, 4, 5, 8])
 def test_ring_has_one_owner_for_each_pair(spark, parts):
-    from meshwork.functions.bounds import in_send_area, ring_owner
+    from meshwork.functions.bounds import handles, ring_owner
 
     both = spark.createDataFrame([(p, q) for p in range(parts) for q in range(parts) if p != q], "p int, q int")
-    got = both.select("p", "q", in_send_area(F.col("p"), F.col("q"), parts).alias("a"), in_send_area(F.col("q"), F.col("p"), parts).alias("b"), ring_owner(F.col("p"), F.col("q"), parts).alias("o")).collect()
+    got = both.select("p", "q", handles(F.col("p"), F.col("q"), parts).alias("a"), handles(F.col("q"), F.col("p"), parts).alias("b"), ring_owner(F.col("p"), F.col("q"), parts).alias("o")).collect()
     assert all(r["a"] != r["b"] and r["o"] == (r["p"] if r["a"] else r["q"]) for r in got)
 
 
@@ -177,13 +178,65 @@ def test_balanced_ranges_follow_the_rule(spark):
     assert [(r["st"], r["ed"], r["weight"]) for r in layout.balanced_ranges(degs, 4).orderBy("i").collect()] == want
 
 
-def test_flat_binary_round_trip(spark, tmp_path):
-    lists = [[1, 2], [0], [], [0, 1, 4], []]
-    files.write_flat(lists, str(tmp_path / "adj"))
-    ends = [sum(map(len, lists[: k + 1])) for k in range(5)]
-    offsets = spark.createDataFrame([(v, e - len(x), e) for v, (x, e) in enumerate(zip(lists, ends, strict=True))], "v long, st long, ed long")
-    got = sorted(map(tuple, files.read_adjacency_binary(spark, str(tmp_path / "adj"), offsets).collect()))
-    assert got == [(v, u) for v, x in enumerate(lists) for u in x]
+@pytest.mark.parametrize("block", [1 << 14, 4, 1])
+def test_flat_binary_round_trip(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(files, "BLOCK", block)
+    lists = [[1, 2, 5], [], [0], list(range(3, 40, 3)), [7, 2**32 - 1], []]
+    path = f"file://{tmp_path}/adj"
+    files.write_flat(spark.createDataFrame(list(enumerate(lists)), "v long, nbrs array<long>"), path)
+    ends = [sum(map(len, lists[: k + 1])) for k in range(len(lists))]
+    rows = [(k, e - len(x), e) for k, (x, e) in enumerate(zip(lists, ends, strict=True))]
+    offsets = spark.createDataFrame(rows, "v long, st long, ed long")
+    read = lambda o: sorted(map(tuple, files.read_adjacency_binary(spark, path, o).collect()))
+    assert read(offsets) == [(k, x) for k, nbrs in enumerate(lists) for x in nbrs]
+    assert read(offsets.where("v in (2, 4)")) == [(2, 0), (4, 7), (4, 2**32 - 1)] and read(offsets.limit(0)) == []
+    short, falls = [(0, 0, ends[-1] + 3 * block)], [(0, 0, 4)]  # falls: seen where the block holds it
+    for wrong in (short, falls) if block > len(lists[0]) and ends[-1] % 4 == 0 or block > ends[-1] else (short,):
+        with pytest.raises(Exception, match="not ascending|shorter"):
+            read(spark.createDataFrame(wrong, "v long, st long, ed long"))
+
+
+def test_flat_file_of_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/none"
+    files.write_flat(spark.createDataFrame([], "v long, nbrs array<long>"), path)
+    none = spark.createDataFrame([], "v long, st long, ed long")
+    assert files.read_adjacency_binary(spark, path, none).count() == 0
+    with pytest.raises(ValueError, match="shorter"):
+        files.read_adjacency_binary(spark, path, spark.createDataFrame([(0, 0, 1)], none.schema))
+
+
+def test_storage(spark, monkeypatch):
+    from meshwork.plans import storage
+
+    got, seen = storage.measured(spark.range(10), total=F.sum("id"))
+    assert got.count() == 10 and seen == {"rows": 10, "total": 45}
+    assert storage.measured(spark.range(10).where("id < 0"))[1]["rows"] == 0 and storage.measured(spark.createDataFrame([], "a int"))[1]["rows"] == 0
+    files_of = got.inputFiles()
+    storage.release(got)
+    assert files_of and not any(os.path.exists(f.removeprefix("file://")) for f in files_of)
+    assert spark.conf.get(storage.CLEAN_SHUFFLES, None) in (None, "false")
+
+    class Remote:
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="share"):
+        storage.shared_dir(Remote)
+
+
+def test_common_neighbours_choose_by_cost(spark):
+    """A hub that all others know: its list would go to each of its edges, while hardly a wedge stands at a lower end."""
+    from meshwork.operators import similarity
+
+    hub = graph.normalize_edges(spark.range(1, 3000).selectExpr("0 as src", "id as dst"))
+    most, entries, wedges = similarity._costs(graph.canonical(hub), hub)
+    assert (most, entries, wedges) == (2999, 2999 * 3000, 0)
+    full = graph.normalize_edges(spark.range(900).selectExpr("id div 30 as src", "30 + id % 30 as dst"))
+    assert similarity._costs(graph.canonical(full), full) == (30, 900 * 60, sum(30 * 29 // 2 for _ in range(30)))
+    for edges in (hub, full):
+        assert sorted(similarity.closed_common(edges).collect()) == sorted(similarity.closed_common(edges, "triangles").collect()) == sorted(similarity.closed_common(edges, "arrays").collect())
 
 
 def test_text_files(spark, tmp_path):
