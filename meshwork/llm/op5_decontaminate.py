@@ -102,34 +102,45 @@ def index(docs: DataFrame, found: DataFrame, window: int = WINDOW, row: Column |
 
 
 def aligned(postings: DataFrame, found: DataFrame) -> DataFrame:
-    """Each posting with each place of its word in a benchmark text; neighbours lower-cased, outwards."""
+    """Each posting with each place of its word in a benchmark text."""
     small = _small(found, F.lit(64) + F.octet_length(F.concat_ws(" ", "il", "ir")))
-    got = _lookup(postings.where(F.col("word") != END), found, small).where(lower(F.col("word")) == F.col("term"))
-    return got.withColumns({"dl": F.transform(F.reverse("dl"), lower), "dr": F.transform("dr", lower)})
+    return _lookup(postings.where(F.col("word") != END), found, small).where(lower(F.col("word")) == F.col("term"))
 
 
-def _common(a: str, b: str) -> Column:
+def _bound(value: Column, then) -> Column:
+    """`then` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _common(a: Column, b: Column) -> Column:
     """Length of the common beginning of two arrays."""
     differs = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
     return F.when(differs == 0, F.greatest(F.size(a), F.size(b)).cast("bigint")).otherwise(differs - 1)
 
 
-def _near(mine: str, theirs: str, slop: int) -> Column:
+def _near(mine: Column, theirs: Column, slop: int) -> Column:
     """For each neighbour of the item, outwards, 1 if it stands within `slop` places of its own in the document, else 0."""
 
     def at(x: Column, i: Column) -> Column:
         first = F.greatest(F.lit(1), i + 1 - slop)
-        return F.exists(F.slice(F.col(theirs), first, i + 2 + slop - first), lambda y: y == x).cast("int")
+        return F.exists(F.slice(theirs, first, i + 2 + slop - first), lambda y: y == x).cast("int")
 
     return F.transform(mine, at)
 
 
-def _proximate(slop: int, share: float) -> Column:
-    """Whether some window around the rarest word has enough of its words near their places."""
+def _proximate(v: Column, slop: int, share: float) -> Column:
+    """Whether some window around the rarest word has enough of its words near their places. Places are
+    only looked at where enough words stand anywhere among the neighbours."""
+    w, need = v["w"], F.ceil(v["w"] * F.lit(share))
+    held = lambda mine, theirs: F.size(F.filter(v[mine], lambda x: F.array_contains(v[theirs], x)))
     total = lambda flags, n: F.aggregate(F.slice(flags, F.lit(1), n), F.lit(0), lambda s, x: s + x)
-    left = F.sequence(F.lit(0), F.col("w") - 1)  # of the window's words, how many stand left of the rarest
-    fits = lambda n: (n <= F.size("nl")) & (F.col("w") - 1 - n <= F.size("nr"))
-    return F.exists(left, lambda n: fits(n) & (total(F.col("nl"), n) + total(F.col("nr"), F.col("w") - 1 - n) + 1 >= F.ceil(F.col("w") * F.lit(share))))
+    flags = F.struct(_near(v["il"], v["dl"], slop).alias("l"), _near(v["ir"], v["dr"], slop).alias("r"))
+
+    def some(f: Column) -> Column:  # n of the window's words stand left of the rarest
+        fits = lambda n: (n <= F.size(f["l"])) & (w - 1 - n <= F.size(f["r"]))
+        return F.exists(F.sequence(F.lit(0), w - 1), lambda n: fits(n) & (total(f["l"], n) + total(f["r"], w - 1 - n) + 1 >= need))
+
+    return F.when(held("il", "dl") + held("ir", "dr") + 1 >= need, _bound(flags, some)).otherwise(F.lit(False))
 
 
 def phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, row: Column | None = None, proximity: tuple[int, float] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -139,13 +150,16 @@ def phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW, row: Column
     classes = materialize(item_classes(items, window))
     found = materialize(anchors(docs, classes, window))
     postings = index(docs, found, window, row)
-    runs = aligned(postings, found).withColumns({"l": _common("dl", "il"), "r": _common("dr", "ir")}).withColumn("exact", F.col("l") + F.col("r") + 1 >= F.col("w"))
-    if proximity:
-        runs = runs.withColumns({"nl": _near("il", "dl", proximity[0]), "nr": _near("ir", "dr", proximity[0])}).withColumn("near", _proximate(*proximity))
-    else:
-        runs = runs.withColumn("near", F.lit(False))
-    place = lambda c: F.when(F.col("exact"), c.cast("int"))
-    hits = runs.where("exact or near").select("row", "doc_id", "cid", "pos", place(F.col("pos") - F.col("l")).alias("start"), place(F.col("pos") + F.col("r") + 1).alias("end"), "near")
+    sides = F.struct(F.transform(F.reverse("dl"), lower).alias("dl"), F.transform("dr", lower).alias("dr"), "il", "ir", "w")
+
+    def match(v: Column) -> Column:
+        near = _proximate(v, *proximity) if proximity else F.lit(False)
+        return F.struct(_common(v["dl"], v["il"]).alias("l"), _common(v["dr"], v["ir"]).alias("r"), near.alias("near"))
+
+    exact = lambda m: m["l"] + m["r"] + 1 >= F.col("w")
+    runs = aligned(postings, found).select("row", "doc_id", "pos", "cid", "w", F.explode(F.filter(F.transform(F.array(sides), match), lambda m: exact(m) | m["near"])).alias("m"))
+    place = lambda c: F.when(exact(F.col("m")), c.cast("int"))
+    hits = runs.select("row", "doc_id", "cid", "pos", place(F.col("pos") - F.col("m.l")).alias("start"), place(F.col("pos") + F.col("m.r") + 1).alias("end"), F.col("m.near").alias("near"))
     ends = postings.where(F.col("word") == END).select("row", "doc_id", F.lit(None).cast("bigint").alias("cid"), "pos", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(False).alias("near"))
     return hits.unionByName(ends), classes
 
