@@ -10,9 +10,9 @@ template with numbers) is not joined as such at threshold 1: its lines also agre
 but one small piece, so they are keyed by what stands before and after each of at most `PIECES`
 pieces of the rest, and their number of rows grows with the lines, not with their square.
 Candidates must agree in counts of some letters (each edit
-moves those by at most two) before the texts are fetched and verified with the engine's banded
-edit distance, which stops beyond the threshold. Bit-parallel words are not used: the engine has
-no operation for them that does not interpret each character.
+moves those by at most two) before the texts are fetched and verified by a banded bit-parallel edit
+distance (`within`): the differences down a column of the table, in the band of 2 * `threshold` + 1
+rows around the diagonal, are bits of two numbers, renewed with a few operations per code point.
 
 Scale: what is shuffled for the join is a fixed number of rows of a few numbers per distinct
 line, never the lines' texts; texts are fetched by hash for candidates only (the wanted hashes are
@@ -152,6 +152,35 @@ def _rests(lines: DataFrame, hot: DataFrame) -> DataFrame:
     return each.select("k", "n", "asks", around.alias("s"))
 
 
+def within(x: Column, y: Column, threshold: int) -> Column:
+    """Whether two lines are within `threshold` (30 at most) edits; y must be as long or up to `threshold` code points longer.
+
+    Bit b of a column j stands for row j - threshold + b; beyond the band each step costs one, so
+    values in it are never too small, and exact where the distance is within the threshold."""
+    k, full = threshold, (1 << 2 * threshold + 1) - 1
+    equal = lambda xs, c, j: sum((F.when(F.get(xs, j - k + b) == c, F.lit(1 << b)).otherwise(F.lit(0)).cast("bigint") for b in range(2 * k + 1)), F.lit(0).cast("bigint"))
+    start = F.struct(F.lit(full >> k + 1 << k + 1).cast("bigint").alias("up"), F.lit((1 << k + 1) - 1).cast("bigint").alias("down"), F.lit(0).cast("bigint").alias("cost"))
+
+    def column(state: Column, m: Column) -> Column:
+        up, down = F.shiftright(state["up"], 1).bitwiseOR(F.lit(1 << 2 * k)), F.shiftright(state["down"], 1)
+        free = (m.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(m).bitwiseOR(down).bitwiseAND(F.lit(full))  # the diagonal step costs nothing
+        right_up = F.shiftleft(down.bitwiseOR(F.bitwise_not(free.bitwiseOR(up))), 1).bitwiseOR(F.lit(1))
+        right_down = F.shiftleft(free.bitwiseAND(up), 1)
+        new_up = right_down.bitwiseOR(F.bitwise_not(free.bitwiseOR(right_up))).bitwiseAND(F.lit(full))
+        return F.struct(new_up.alias("up"), free.bitwiseAND(right_up).alias("down"), (state["cost"] + 1 - F.shiftright(free, k).bitwiseAND(F.lit(1))).alias("cost"))
+
+    def corner(state: Column) -> Column:
+        """From the diagonal up to the last row of x."""
+        longer, cost = F.length(y) - F.length(x), state["cost"]
+        for r in range(k):
+            step = F.shiftright(state["up"], k - r).bitwiseAND(F.lit(1)) - F.shiftright(state["down"], k - r).bitwiseAND(F.lit(1))
+            cost = cost - F.when(longer > r, step).otherwise(F.lit(0))
+        return cost <= k
+
+    masks = F.flatten(F.transform(F.array(F.split(x, "")), lambda xs: F.transform(F.split(y, ""), lambda c, j: equal(xs, c, j))))  # the outer one names x's code points, which are split once
+    return F.aggregate(masks, start, column, corner)
+
+
 def edit_pairs(at: DataFrame, different: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(x, y): hashes of different lines within `threshold` edits, each pair once."""
     a = different.select(F.explode("asked").alias("s"), F.col("k").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc")).where("s is not null")
@@ -172,7 +201,7 @@ def edit_pairs(at: DataFrame, different: DataFrame, threshold: int = THRESHOLD)
     likely = materialize((found(a, b) if likely is None else found(a, b).union(likely)).distinct())
     texts = _texts(at, likely.select(F.col("x").alias("k")).union(likely.select("y")).distinct(), 2 * likely.count())
     pairs = likely.join(texts.select(F.col("k").alias("x"), F.col("line").alias("xl")), "x").join(texts.select(F.col("k").alias("y"), F.col("line").alias("yl")), "y")
-    return pairs.where(F.levenshtein("xl", "yl", threshold) >= 0).select("x", "y")
+    return pairs.where(within(F.col("xl"), F.col("yl"), threshold)).select("x", "y")
 
 
 def decisions(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
