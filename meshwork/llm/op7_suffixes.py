@@ -16,10 +16,12 @@ refinement (doubling the compared length, unsorted groups only) in numpy, with c
 Kasai's rule, which runs through all regions side by side. Suffixes that share `length` bytes and
 start at different places are covered.
 
-Since the strings that a shard must compare all meet in it, shards need no merging. The exception
-is an anchor with more than `HOT` different regions, which one task should not sort: its regions
-are compared across tasks by exact window digests (one row per window) instead of by binary search
-in each other's suffix arrays, whose number of searches would grow with the square of the shards.
+The regions of one anchor are dealt over shards, about `REGIONS` to each; a shard that holds all of
+them needs no merging. Those that hold a part are merged: each offers, in the order of its suffix
+array, the strings whose rolling hash stands in another part too, and every run of offered strings is
+merged with the others two by two, each string of the one found in the other by binary search. Runs
+are cut by the hash into buckets, so merges are bounded and what moves grows with the regions,
+not with pairs of shards: a hash per string first, then the bytes of those that meet.
 
 Scale: shuffled are anchors (about two in five sixths of a length), the texts twice (to cut regions,
 to cut results), and the regions that differ. Counts by region are combined on the map side, so
@@ -34,7 +36,6 @@ extra columns are ignored.
 from __future__ import annotations
 
 import functools
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,8 @@ from .common import key_columns, mapped, materialize, table
 
 LENGTH = 400
 PASSAGE, WORDS = 240, 50
-HOT = 20_000
+REGIONS = 4_000  # different regions of one anchor that a shard holds, about
+BUCKET = 4_096  # offered strings that one merge holds, about
 SHARD_BYTES = 1 << 20
 CHUNK, BUFFER = 1 << 20, 1 << 19  # bytes worked on at a time
 _BASE = 0x9E3779B97F4A7C15
@@ -257,31 +259,71 @@ def _several(order: np.ndarray, first: np.ndarray, where: np.ndarray, many: np.n
     return several & (np.diff(np.r_[first, len(order)]) > 1)
 
 
-def sorted_spans(regions: list[bytes], absolute: np.ndarray, many: np.ndarray, length: int, across: bool = False) -> list[list[tuple[int, int]]]:
-    """For each region, the bytes in strings of `length` that start at a second place (`across`: in a
-    second document). `absolute` numbers the place where each region starts (`across`: its document)."""
+def _sorted_strings(regions: list[bytes], absolute: np.ndarray, many: np.ndarray, length: int, across: bool) -> tuple[np.ndarray, ...]:
+    """The regions one after the other, where each starts, and the region of each place; the places from
+    which `length` bytes lie in one region, in suffix order, which of them are the first of equal strings,
+    and whether those stand at a second place (`across`: in a second document)."""
     sizes = np.array([len(r) for r in regions], np.int64)
     text = np.frombuffer(b"".join(regions), np.uint8)
     begins, owner = _starts(sizes), np.repeat(np.arange(len(sizes)), sizes)
     ends = (begins + sizes)[owner]
     order = suffix_array(text, ends, int(sizes.max()))  # to the end: Kasai's rule needs a full order
-    shared = common_prefixes(text, begins, sizes, ends, order, length)[order]
-    first = np.flatnonzero(shared < length)
+    new = common_prefixes(text, begins, sizes, ends, order, length)[order] < length
     where = absolute[owner] + (0 if across else np.arange(len(text)) - begins[owner])
-    good = _several(order, first, where, many[owner])
-    at = order[good[np.cumsum(shared < length) - 1]]
-    at = at[ends[at] - at >= length]
+    several = _several(order, np.flatnonzero(new), where, many[owner])[np.cumsum(new) - 1]
+    room = ends[order] - order >= length
+    return text, begins, owner, order[room], new[room], several[room]
+
+
+def sorted_spans(regions: list[bytes], absolute: np.ndarray, many: np.ndarray, length: int, across: bool = False) -> list[list[tuple[int, int]]]:
+    """For each region, the bytes in strings of `length` that start at a second place (`across`: in a
+    second document). `absolute` numbers the place where each region starts (`across`: its document)."""
+    text, begins, _, at, _, several = _sorted_strings(regions, absolute, many, length, across)
+    at = at[several]
     change = np.zeros(len(text) + 1, np.int64)
     np.add.at(change, at, 1)
     np.add.at(change, at + length, -1)
     inside = np.cumsum(change[:-1]) > 0
     out: list[list[tuple[int, int]]] = []
-    for b, z in zip(begins, sizes, strict=True):
+    for b, z in zip(begins.tolist(), [len(r) for r in regions], strict=True):
         edge = np.flatnonzero(np.diff(np.r_[False, inside[b : b + z], False].astype(np.int8)))
         out.append([(int(x), int(y)) for x, y in zip(edge[::2], edge[1::2], strict=True)])
     return out
 
 
+def offered(regions: list[bytes], absolute: np.ndarray, many: np.ndarray, length: int, across: bool, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The strings of `length` bytes with a rolling hash among `wanted`, in suffix order: hash, region,
+    place in it, and whether they are known to be repeated (one stands for all of those)."""
+    text, begins, owner, at, new, several = _sorted_strings(regions, absolute, many, length, across)
+    known = several | many[owner[at]]
+    h = Rolling(text)(at, at + length)
+    pick = np.isin(h, wanted) & (new | ~known)
+    return h[pick], owner[at[pick]], at[pick] - begins[owner[at[pick]]], known[pick]
+
+
+Run = tuple[np.ndarray, np.ndarray, np.ndarray]  # different strings in order, the least and the greatest place of each
+
+
+def run_of(strings: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Run:
+    """A run of strings in order, equal ones as one."""
+    first = np.flatnonzero(np.r_[True, strings[1:] != strings[:-1]])
+    return strings[first], np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
+
+
+def merged_runs(runs: list[Run]) -> Run:
+    """Runs merged two by two: strings of the one are searched in the other."""
+    while len(runs) > 1:
+        out = [] if len(runs) % 2 == 0 else [runs.pop()]
+        for (big, lo, hi), (small, least, most) in zip(runs[::2], runs[1::2], strict=True):
+            at = np.searchsorted(big, small)
+            new = big[np.minimum(at, len(big) - 1)] != small
+            lo[at[~new]] = np.minimum(lo[at[~new]], least[~new])
+            hi[at[~new]] = np.maximum(hi[at[~new]], most[~new])
+            out.append((np.insert(big, at[new], small[new]), np.insert(lo, at[new], least[new]), np.insert(hi, at[new], most[new])))
+        runs = out
+    return runs[0]
+
+
 def repeated_spans(regions: list[bytes], absolute: list[tuple[int, int]], many: list[bool], length: int = LENGTH, across: bool = False) -> list[list[tuple[int, int]]]:
     """The same, for regions most of which have nothing repeated: those, and ends that cannot be, are
     dropped before the rest is sorted, and equal pieces are sorted once.
@@ -369,28 +411,29 @@ def occurrences(keyed: DataFrame, across: dict[int, bool]) -> DataFrame:
 
 
 def _regions(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the regions that `wanted` (_i, _h, KEY, a, e, many, hot) names."""
-    names = [*KEY, "a", "e", "many", "hot"]
+    """The bytes of the regions that `wanted` (_i, _h, KEY, a, e, many, part, parts) names."""
+    names = [*KEY, "a", "e", "many", "part", "parts"]
     per = wanted.groupBy("_i", "_h").agg(F.collect_list(F.struct(*names)).alias("w"))
     joined = keyed.join(per, ["_i", "_h"]).dropDuplicates(["_i", "_h"]).select("_i", "_h", "text", *[F.col(f"w.{c}").alias(c) for c in names])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["i", "h", *KEY, "many", "hot", "start", "bytes"]
+        columns = ["i", "h", *KEY, "many", "part", "parts", "start", "bytes"]
         for b in batches:
             rows: list[tuple] = []
             for i, h, t, *cols in b.itertuples(index=False, name=None):
                 data = _text(t)
-                rows += [(i, h, *key, many, hot, a, data[a:e]) for *key, a, e, many, hot in zip(*cols, strict=True)]
+                rows += [(i, h, *key, many, part, parts, a, data[a:e]) for *key, a, e, many, part, parts in zip(*cols, strict=True)]
                 if len(rows) > 5_000:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
-    return mapped(joined, run, "i long, h long, n int, fp long, d long, d2 long, many boolean, hot boolean, start int, bytes binary")
+    return mapped(joined, run, "i long, h long, n int, fp long, d long, d2 long, many boolean, part long, parts long, start int, bytes binary")
 
 
 SPANS = "n int, fp long, d long, d2 long, x int, y int"
+PART = ["n", "fp", "part"]
 
 
 def _sorted_spans(regions: DataFrame, shards: int, across: dict[int, bool]) -> DataFrame:
@@ -402,23 +445,51 @@ def _sorted_spans(regions: DataFrame, shards: int, across: dict[int, bool]) -> D
         rows = [(n, fp, d, d2, x, y) for fp, d, d2, spans in zip(b["fp"], b["d"], b["d2"], found, strict=True) for x, y in spans]
         return pd.DataFrame(rows, columns=[*KEY, "x", "y"])
 
-    shard = F.pmod(F.xxhash64("fp"), F.lit(shards))
+    shard = F.pmod(F.xxhash64("fp", "part"), F.lit(shards))
     return regions.withColumn("shard", shard).groupBy("n", "shard").applyInPandas(lambda b: run(b), SPANS)
 
 
-def _window_spans(regions: DataFrame, across: dict[int, bool]) -> DataFrame:
-    """The same for anchors with very many regions: every window of a region is looked up by digest."""
+def _merged_spans(regions: DataFrame, across: dict[int, bool]) -> DataFrame:
+    """Spans of regions whose anchors are dealt over several shards: what stands in several of them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples(index=False):  # one row per window each
-                at = range(len(r.bytes) - r.n + 1)
-                w = [hashlib.blake2b(r.bytes[x : x + r.n], digest_size=16).digest() for x in at]
-                yield pd.DataFrame({"n": r.n, "fp": r.fp, "d": r.d, "d2": r.d2, "x": list(at), "w": w, "place": [f"{r.i}:{r.h}" + ("" if across[r.n] else f":{r.start + x}") for x in at], "many": r.many})
-
-    rows = mapped(regions, run, "n int, fp long, d long, d2 long, x int, w binary, place string, many boolean")
-    twice = rows.groupBy("n", "w").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("many").alias("many")).where("many or lo <> hi").select("n", "w")
-    return rows.join(twice, ["n", "w"]).select(*KEY, "x", (F.col("x") + F.col("n")).alias("y"))
+            per = [np.unique(Rolling(np.frombuffer(r, np.uint8)).every(n)) for r, n in zip(b["bytes"], b["n"], strict=True)]
+            if per:
+                yield b[PART].loc[b.index.repeat([len(p) for p in per])].assign(s=np.concatenate(per).view(np.int64))
+
+    def offer(b: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        columns = [*KEY, "part", "s", "rank", "string", "place", "x"]
+        if not len(b) or not len(met):
+            return pd.DataFrame(columns=columns)
+        docs, n = pd.MultiIndex.from_frame(b[["i", "h"]]).factorize()[0], int(b["n"].iloc[0])
+        absolute = (docs.astype(np.int64) << 40) + (0 if across[n] else b["start"].to_numpy(np.int64))
+        held = b["bytes"].tolist()
+        s, r, x, known = offered(held, absolute, b["many"].to_numpy(bool), n, across[n], met["s"].to_numpy(np.int64).view(np.uint64))
+        out = b[[*KEY, "part"]].iloc[r].reset_index(drop=True)
+        i, h, start = (b[c].to_numpy()[r] for c in ("i", "h", "start"))
+        place = [None if k else f"{p}:{q}" + ("" if across[n] else f":{z}") for k, p, q, z in zip(known, i, h, start + x, strict=True)]
+        out = out.assign(s=s.view(np.int64), rank=np.arange(len(s)), string=[held[j][y : y + n] for j, y in zip(r, x, strict=True)], place=place, x=x)
+        return out[columns]
+
+    def merge(b: pd.DataFrame) -> pd.DataFrame:
+        n = int(b["n"].iloc[0])
+        b = b.sort_values(["fp", "part", "rank"], kind="stable").reset_index(drop=True)
+        place = b["place"].factorize()[0].astype(np.int64)  # -1: known to be repeated
+        lo, hi = place, np.where(place < 0, len(b), place)
+        strings = np.array(b["string"].tolist(), f"S{n}")
+        runs = [run_of(strings[at], lo[at], hi[at]) for at in b.groupby(["fp", "part"]).indices.values()]
+        every, least, most = merged_runs(runs)
+        twice = (least != most)[np.searchsorted(every, strings)] & (place >= 0)
+        return b.loc[twice, [*KEY, "x"]].assign(y=lambda d: d["x"] + n)
+
+    split = regions.where("parts > 1")
+    strings = materialize(mapped(split, hashes, "n int, fp long, part long, s long").distinct())
+    several = strings.groupBy("n", "fp", "s").agg((F.min("part") < F.max("part")).alias("met")).where("met").select("n", "fp", "s")
+    met = strings.join(several, ["n", "fp", "s"]).groupBy(*PART)
+    offers = materialize(split.groupBy(*PART).cogroup(met).applyInPandas(lambda b, met: offer(b, met), "n int, fp long, d long, d2 long, part long, s long, rank long, string binary, place string, x int"))
+    buckets = offers.count() // BUCKET + 1
+    return offers.groupBy("n", F.pmod("s", F.lit(buckets)).alias("bucket")).applyInPandas(lambda b: merge(b), SPANS)
 
 
 def spans(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> DataFrame:
@@ -433,11 +504,12 @@ def spans(docs: DataFrame, length: int = LENGTH, passage: int | None = None) ->
     occ = materialize(found.join(often, ["n", "fp"]))
     groups = materialize(occ.groupBy(*KEY).agg((F.sum("times") > 1).alias("many"), F.min(F.struct("_i", "_h", "a", "e")).alias("rep")))
     # a region alone with its anchor is met nowhere else in part
-    crowds = groups.groupBy("n", "fp").agg(F.count("*").alias("m")).where("m > 1").select("n", "fp", (F.col("m") > HOT).alias("hot"))
-    wanted = groups.join(crowds, ["n", "fp"]).select("rep._i", "rep._h", *KEY, "rep.a", "rep.e", "many", "hot")
+    crowds = groups.groupBy("n", "fp").agg(F.count("*").alias("m")).where("m > 1").select("n", "fp", F.ceil(F.col("m") / REGIONS).alias("parts"))
+    part = F.pmod(F.xxhash64("d", "d2"), F.col("parts"))
+    wanted = groups.join(crowds, ["n", "fp"]).select("rep._i", "rep._h", *KEY, "rep.a", "rep.e", "many", part.alias("part"), "parts")
     regions = materialize(_regions(keyed, wanted))
     shards = max(1, int((regions.agg(F.sum(F.octet_length("bytes"))).head()[0] or 0) // SHARD_BYTES // len(across)) + 1)
-    some = _sorted_spans(regions.where("not hot"), shards, across).unionByName(_window_spans(regions.where("hot"), across))
+    some = _sorted_spans(regions, shards, across).unionByName(_merged_spans(regions, across))
     # what is known of a region holds wherever it occurs; regions that occur twice are covered whole
     whole = groups.where("many").select(*KEY, F.lit(None).cast("array<struct<x:int,y:int>>").alias("cover"))
     facts = some.groupBy(*KEY).agg(F.collect_list(F.struct("x", "y")).alias("cover")).join(whole.select(*KEY), KEY, "left_anti")

@@ -557,9 +557,11 @@ def covered(texts, length, across=False):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_repeated_bytes(spark, monkeypatch, hot):
-    monkeypatch.setattr(op7_suffixes, "HOT", hot)
+@pytest.mark.parametrize(("held", "bucket"), [(4_000, 4_096), (3, 4_096), (1, 7)])
+def test_repeated_bytes(spark, monkeypatch, held, bucket):
+    """In whole shards, and in shards that hold parts of an anchor's regions and are merged."""
+    monkeypatch.setattr(op7_suffixes, "REGIONS", held)
+    monkeypatch.setattr(op7_suffixes, "BUCKET", bucket)
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefé") for _ in range(rng.randrange(2, 9)))
     text = lambda n: " ".join(word() for _ in range(n))
