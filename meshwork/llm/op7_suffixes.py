@@ -493,8 +493,8 @@ def _merged_spans(regions: DataFrame, across: dict[int, bool]) -> DataFrame:
 
 
 def spans(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> DataFrame:
-    """_i, _h (document key), n, cut: [start, end) of the bytes repeated in strings of n, in order, not
-    merged. For `passage`, repeated in other documents."""
+    """_i, _h (document key), cut, seen: [start, end) of the bytes repeated in strings of `length`, and in
+    those of `passage` in other documents; in order, not merged."""
     across = {length: False} | ({passage: True} if passage else {})
     i, h = key_columns()
     keyed = docs.select(i.alias("_i"), h.alias("_h"), F.col("text").cast("string").alias("text"))
@@ -517,7 +517,8 @@ def spans(docs: DataFrame, length: int = LENGTH, passage: int | None = None) ->
     cut = F.when(F.col("cover").isNull(), F.array(F.struct("a", "e"))).otherwise(F.transform("cover", lambda c: F.struct((F.col("a") + c["x"]).alias("a"), (F.col("a") + c["y"]).alias("e"))))
     placed = occ.select("_i", "_h", *KEY, "a", "e").join(covers, KEY).select("_i", "_h", "n", cut.alias("cut"))
     own = found.where("fp is null").select("_i", "_h", "n", F.array(F.struct("a", "e")).alias("cut"))
-    return placed.unionByName(own).groupBy("_i", "_h", "n").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"))
+    of = lambda n: F.sort_array(F.flatten(F.collect_list(F.when(F.col("n") == (n or -1), F.col("cut")))))
+    return placed.unionByName(own).groupBy("_i", "_h").agg(of(length).alias("cut"), of(passage).alias("seen"))
 
 
 def whole_words(data: bytes, start: int, end: int) -> int:
@@ -534,8 +535,7 @@ def remove(docs: DataFrame, length: int = LENGTH, passage: int | None = PASSAGE,
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), removed (spans), passages
     (spans) and passage_words (the words in them) per row."""
     i, h = key_columns()
-    of = lambda n: F.max(F.when(F.col("n") == (n or -1), F.col("cut")))  # noqa: E731  one row each
-    cut = spans(docs, length, passage).groupBy("_i", "_h").agg(of(length).alias("cut"), of(passage).alias("seen"))
+    cut = spans(docs, length, passage)
     cut = cut.select("_i", "_h", *[F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in ("cut", "seen") for x in ("a", "e")])
     had = docs.select(i.alias("_i"), h.alias("_h"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(cut, ["_i", "_h"], "left").drop("_i", "_h")
 
