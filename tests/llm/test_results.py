@@ -580,6 +580,30 @@ def test_repeated_bytes(spark, monkeypatch, held, bucket):
         assert (got[k]["passages"], got[k]["passage_words"]) == ([x for a, b, n in runs if n > 50 for x in (a, b)], sum(n for _, _, n in runs if n > 50))
 
 
+def test_crowded_anchor_is_merged_across_shards(spark, monkeypatch):
+    """One header in every text makes one anchor with hundreds of regions; a tenth share more than the header."""
+    monkeypatch.setattr(op7_suffixes, "REGIONS", 40)
+    monkeypatch.setattr(op7_suffixes, "BUCKET", 100)
+    rng = random.Random(1)
+    rand = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    head, texts = rand(230), []
+    for k in range(400):
+        texts.append(rand(100) + texts[-1][100:630] + rand(100) if k % 10 == 1 else rand(250) + head + rand(250))
+    want = covered([t.encode() for t in texts], 400)
+    got = {r["doc_id"]: r["n_removed"] for r in op7_suffixes.remove(frame(spark, texts), passage=None).collect()}
+    assert got == {k: gone.sum() for k, gone in enumerate(want)} and sum(got.values()) >= 80 * 530
+
+
+def test_runs_are_merged_by_search():
+    rng = random.Random(3)
+    parts = [sorted(bytes(rng.choice(b"\0ab") for _ in range(4)) for _ in range(rng.randrange(1, 40))) for _ in range(7)]
+    runs = [op7_suffixes.run_of(np.array(p, "S4"), np.full(len(p), k), np.full(len(p), k)) for k, p in enumerate(parts)]
+    strings, lo, hi = op7_suffixes.merged_runs(runs)
+    held = {s: [k for k, p in enumerate(parts) if s in p] for s in sorted(set().union(*parts))}
+    assert [bytes(s).ljust(4, b"\0") for s in strings] == list(held)
+    assert list(zip(lo, hi, strict=True)) == [(min(k), max(k)) for k in held.values()]
+
+
 def test_passages_of_over_fifty_words(spark):
     """Passages of 51 words and under 400 bytes are reported and stay; shorter ones and repeats within a document are not reported."""
     rng = random.Random(5)
