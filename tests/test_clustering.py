@@ -9,11 +9,12 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from meshwork import catalog
 from meshwork.operators import clusters, similarity
 from meshwork.operators.components import connected_components
 from meshwork.operators.orders import core_order, neighbor_order
 from meshwork.plans import layout
-from meshwork.sources import files, graph
+from meshwork.sources import blocks, files, graph
 
 
 def make(spark, pairs, vertices):
@@ -249,3 +250,59 @@ def test_text_files(spark, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
     assert text.splitlines() == ["c 0 0 2", "c 1 0 2", "c 2 0 2", "n 3 4"]
     assert [r["line"] for r in files.similarity_text(similarity.open_common(edges)).orderBy("src", "dst").limit(2).collect()] == ["0 1 1", "0 2 1"]
+
+
+def co_occurring(rows):
+    """Pairs that share a group, by plain sets, and the vertices in both closed neighbourhoods."""
+    groups, nbr = defaultdict(set), defaultdict(set)
+    for v, *g in rows:
+        if v is not None and None not in g:
+            groups[tuple(g)].add(v)
+    for g in groups.values():
+        for v in g:
+            nbr[v] |= g - {v}
+    return {(a, b): 2 + len(nbr[a] & nbr[b]) for a in nbr for b in nbr[a] if a < b}
+
+
+@pytest.mark.parametrize(("block", "batch", "small", "strip"), [(4096, 256, 4096, 256), (3, 2, 4, 2), (7, 1, 0, 1)])
+def test_packed_blocks(spark, monkeypatch, block, batch, small, strip):
+    for name, value in (("BLOCK", block), ("BATCH_ROWS", batch), ("SMALL", small), ("STRIP", strip), ("CHUNK", 8 if block < 9 else 1 << 19)):
+        monkeypatch.setattr(blocks, name, value)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        rng = random.Random(block)
+        rows = [(10**12 * (v % 3) - v, rng.choice("ab"), rng.choice([1, 2, 3, None])) for v in (rng.randrange(40) for _ in range(60))]
+        rows += [(None, "a", 1), (5, None, 2), (77, "alone", 1), (78, "b", None)] + [(1000 + k, "many", 1) for k in range(20)]
+        rows += rows[:20]
+        got = blocks.together(spark.createDataFrame(rows, "v long, t string, n int"), "v", "t", "n")
+        want = co_occurring(rows)
+        assert sorted(map(tuple, blocks.edges(got).collect())) == sorted([*want, *((b, a) for a, b in want)])
+        assert sorted(map(tuple, blocks.closed_common(got).collect())) == sorted((*e, n) for e, n in want.items())
+        none = blocks.together(spark.createDataFrame([], "v long, t string"), "v", "t")
+        assert blocks.edges(none).count() == 0 and blocks.closed_common(none).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def _shuffled(spark, run):
+    """Bytes that `run` writes for shuffles, by Spark's own figures."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def bytes_now():
+        got = sc.statusStore().executorList(False)
+        return sum(got.apply(k).totalShuffleWrite() for k in range(got.size()))
+
+    before = bytes_now()
+    run()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return bytes_now() - before
+
+
+@pytest.mark.parametrize(("query", "most"), [("closed_common_userhour", 8)])
+def test_dense_pairs_are_not_shuffled(spark, tmp_path, query, most):
+    rng = random.Random(3)
+    events = spark.createDataFrame([(rng.randrange(600), rng.choice("abc"), 3600 * rng.randrange(40)) for _ in range(12000)], "user_id long, event_type string, s long")
+    events.select("user_id", "event_type", F.timestamp_seconds("s").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    moved = _shuffled(spark, lambda: catalog.queries()[query](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out"))
+    rows = spark.read.parquet(f"{tmp_path}/out").count()
+    assert rows > 150_000 and moved < most * rows  # a shuffled pair takes eight bytes or so, once to be found and once more to be told apart
