@@ -298,7 +298,7 @@ def _shuffled(spark, run):
     return bytes_now() - before
 
 
-@pytest.mark.parametrize(("query", "most"), [("closed_common_userhour", 8)])
+@pytest.mark.parametrize(("query", "most"), [("closed_common_userhour", 8), ("edges_userhour", 4)])
 def test_dense_pairs_are_not_shuffled(spark, tmp_path, query, most):
     rng = random.Random(3)
     events = spark.createDataFrame([(rng.randrange(600), rng.choice("abc"), 3600 * rng.randrange(40)) for _ in range(12000)], "user_id long, event_type string, s long")
