@@ -712,3 +712,21 @@ def test_pipeline_against_plain_steps(spark, documents):
 def test_sha_of_nothing():
     assert op6_secrets.joined([]) == "" and hashlib.sha256(b"").hexdigest().startswith("e3b0")
 
+
+
+# 10
+
+
+def test_language_learns_every_row_and_letter(spark):
+    """A word that ends one long text among 2,600, and every count, are in the model."""
+    rng = random.Random(21)
+    words = {"aa": ["bado", "kemi", "lusa", "nofe"], "bb": ["ghirt", "spolk", "wrent", "zjump"]}
+    rows = [(k, x, " ".join(rng.choice(words[x]) for _ in range(6))) for k, x in enumerate(["aa", "bb"] * 1300)]
+    rows[1000] = (1000, "aa", rows[1000][2] + " lusa" * 10_000 + " xyqv")
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert rows[1000] in learned
+    model = op10_language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    whole = op10_language.Model(["aa", "bb"], {x: [t for _, y, t in learned if y == x] for x in words})
+    texts = ["xyqv", "kemi xyqv spolk", *(t for _, _, t in rows[:50])]
+    assert np.allclose(model.entropies(texts)[0], whole.entropies(texts)[0], rtol=1e-6)
+    assert model.predict(["xyqv"])[0] == ["aa"]
