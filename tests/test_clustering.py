@@ -306,3 +306,30 @@ def test_dense_pairs_are_not_shuffled(spark, tmp_path, query, most):
     moved = _shuffled(spark, lambda: catalog.queries()[query](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out"))
     rows = spark.read.parquet(f"{tmp_path}/out").count()
     assert rows > 150_000 and moved < most * rows  # a shuffled pair takes eight bytes or so, once to be found and once more to be told apart
+
+
+def _copied(users, rows, copies):
+    """Users in the same hours, again and again with shifted ids."""
+    rng = random.Random(5)
+    some = [(rng.randrange(users), rng.choice("abc"), rng.randrange(20)) for _ in range(rows)]
+    return [(v + users * k, t, n) for k in range(copies) for v, t, n in some]
+
+
+@pytest.mark.parametrize("told", [True, False])
+def test_twins_are_spelt_out(spark, monkeypatch, told):
+    monkeypatch.setattr(blocks, "BLOCK", 30)
+    if not told:  # marks that all vertices agree in: no group of a class has all of it
+        monkeypatch.setattr(blocks, "_marks", lambda group: [F.lit(1).alias("n"), F.lit(1).alias("h1"), F.lit(1).alias("h2")])
+    rows = [*_copied(40, 160, 3), (7, "a", 99), (10**12, "alone", 1), (10**12 + 1, "pair", 1), (10**12 + 2, "pair", 1), (5, "pair", None)]
+    got = blocks.together(spark.createDataFrame(rows, "v long, t string, n int"), "v", "t", "n")
+    want = co_occurring(rows)
+    assert sorted(map(tuple, blocks.edges(got).collect())) == sorted([*want, *((b, a) for a, b in want)])
+    assert sorted(map(tuple, blocks.closed_common(got).collect())) == sorted((*e, n) for e, n in want.items())
+
+
+def test_blocks_of_twins_are_sent_once(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 400)
+    events = spark.createDataFrame(_copied(200, 1000, 12), "v long, t string, n int").coalesce(1)
+    got, rows = blocks.together(events, "v", "t", "n"), []
+    moved = _shuffled(spark, lambda: rows.append(blocks.closed_common(got).count()))
+    assert rows[0] > 900_000 and moved < 1_000_000  # 3,968,662 when each vertex had a row of its own, 232,730 with classes
